@@ -129,8 +129,11 @@ class Benchmark:
         return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed_words: int = SEED_WORDS, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, contaminated, n_items, item_id, coverage for each row of docs.
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed_words: int = SEED_WORDS, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", carry: bool = False
+) -> DataFrame:
+    """doc_id, contaminated, n_items, item_id, coverage for each row of docs, without a shuffle of texts; with carry also row, a
+    struct of all columns of docs.
 
     Words are runs of other than ASCII white space, with A-Z in lower case. An item is found in a document when tiles of at
     least seed_words words (the whole item, if it has fewer) cover `coverage` of its words, in whatever order the passages
@@ -138,41 +141,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     where no item is found. Null and empty texts, of documents or items, match nothing; repeated items are counted once;
     repeated documents give repeated rows; other columns are left out.
 
-    The benchmark goes to the tasks in blocks of a bounded size, one pass over the documents for each block.
+    The benchmark goes to the tasks in blocks of a bounded size, one pass over the rows after the other.
     """
     items = common.cut(
         benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).filter("item_id IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text")), "benchmark"
     )
     n = common.blocks(items, BENCHMARK_BYTES)
-    rows = common.texts(docs, key, text)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, contaminated boolean, n_items long, item_id long, coverage double"
+    extra = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
+    start = [F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage")]
+    rows = docs.select(F.col(key).alias("doc_id"), *start, F.coalesce(F.col(text), F.lit("")).alias("text"), *extra)
 
-    def passed(block: int) -> DataFrame:
-        held = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block).collect()]
+    def passed(rows: DataFrame, block: int) -> DataFrame:
+        held = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block).orderBy("item_id").collect()]
+        sent = docs.sparkSession.sparkContext.broadcast(held)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = Benchmark(held, seed_words)
+            tests = Benchmark(sent.value, seed_words)
             for batch in batches:
                 out = []
-                for t in batch.column("text"):
+                for t, count, best, covered in zip(*(batch.column(c) for c in ("text", "n_items", "item_id", "coverage"))):
                     found = [(-c, i) for i, c in tests.covered(t.as_py(), coverage) if c >= coverage]
-                    best = min(found, default=(0.0, None))
-                    out.append((bool(found), len(found), best[1], -best[0] + 0.0))
+                    least = min(found + ([(-covered.as_py(), best.as_py())] if best.as_py() is not None else []), default=(0.0, None))
+                    out.append((least[1] is not None, count.as_py() + len(found), least[1], -least[0] + 0.0))
                 columns = list(zip(*out)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64(), pa.int64(), pa.float64())))], names=[x.split()[0] for x in shape.split(", ")])
-
-        return rows.mapInArrow(scan, shape)
-
-    if n == 1:
-        return passed(0)
-    # Several passes: the best of each row's answers. Repeated rows keep their number through a row key.
-    rows = common.cut(rows.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))), "documents")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, contaminated boolean, n_items long, item_id long, coverage double"
-    every = passed(0)
-    for block in range(1, n):
-        every = every.unionByName(passed(block))
-    best = F.min(F.when(F.col("contaminated"), F.struct((-F.col("coverage")).alias("c"), "item_id")))
-    every = every.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), best.alias("best"))
-    return every.select("doc_id.doc_id", "contaminated", "n_items", F.col("best.item_id").alias("item_id"), F.coalesce(-F.col("best.c"), F.lit(0.0)).alias("coverage"))
+                fresh = [pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64(), pa.int64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *fresh, *batch.columns[5:]], names=batch.schema.names)
+
+        return rows.mapInArrow(scan, rows.schema)
+
+    for block in range(n):
+        rows = passed(rows, block)
+    return rows.drop("text")

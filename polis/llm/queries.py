@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .decontamination import decontaminate
+from .language_id import identify
+from .language_model import score_documents
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pivot_search import top_k
+from .suffix_dedup import dedup_substrings
 from .token_counts import token_counts
+from .toxicity import score_toxicity
 from .warc import read_warc, write_warc
 
 
@@ -22,10 +26,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_read(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), numerator=85, denominator=100, words=5)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(_read(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
@@ -34,6 +52,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"))
 
@@ -78,5 +100,38 @@ SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 1000
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_near_dedup, op6_mixing, op7_decontamination, op9_pivot_search, op10_warc)}
-SQL = {"op9_pivot_search": _VECTORS, "op10_warc": _WARC}
+_SHINGLES = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id, c.c = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
+"""
+
+_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS p FROM d)),
+f AS (SELECT s, min({'d': doc_id, 'p': p}) AS m FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE {'d': w.doc_id, 'p': w.p} <> f.m),
+i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM g),
+j AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i),
+s AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM j GROUP BY doc_id, k),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS l FROM s),
+x AS (SELECT t.doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * l + 1, 2 * (a - l)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_language_id, op3_near_dedup, op4_toxicity, op5_suffix_dedup, op6_mixing, op7_decontamination, op8_language_model, op9_pivot_search, op10_warc,
+    )
+}
+SQL = {"op3_near_dedup": _SHINGLES, "op5_suffix_dedup": _REPEATS, "op9_pivot_search": _VECTORS, "op10_warc": _WARC}
