@@ -37,7 +37,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every document, without the bytes of 100-byte strings that also start earlier; halves of characters at the edges of a
     removed run go too. n_chars is counted anew. A text that repeats others throughout becomes empty, null stays null."""
     out = dedup_substrings(docs, length=100, carry=True)
-    text = F.when(F.col("row.text").isNotNull(), F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.expr("regexp_replace(decode(kept, 'UTF-8'), '\\uFFFD', '')")))
+    text = F.when(F.col("row.text").isNotNull(), F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.expr("regexp_replace(CAST(kept AS STRING), '\\uFFFD', '')")))
     fresh = {"text": text, "n_chars": F.when(F.size("spans") == 0, F.col("row.n_chars")).otherwise(F.length(text))}
     return out.select(*[fresh.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 

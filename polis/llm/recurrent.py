@@ -19,20 +19,26 @@ def forward(x: np.ndarray, u: np.ndarray, h: np.ndarray, mask: np.ndarray, keep:
     states = np.empty((steps, *h.shape), np.float32)
     saved = [np.empty((steps, h.shape[0], size * k), np.float32) for k in (2, 1, 1)] if keep else None
     mask = mask[..., None]
+    g, a, n = np.empty((len(h), 3 * size), np.float32), np.empty((len(h), 2 * size), np.float32), np.empty_like(h)
     for t in range(steps):
-        g = h @ u
-        a = x[t, :, : 2 * size] + g[:, : 2 * size]
+        np.matmul(h, u, out=g)
+        np.add(x[t, :, : 2 * size], g[:, : 2 * size], out=a)
         np.negative(a, out=a)
         np.exp(a, out=a)
         a += 1
         np.reciprocal(a, out=a)
         own = g[:, 2 * size :]
-        n = np.tanh(x[t, :, 2 * size :] + a[:, :size] * own)
+        np.multiply(a[:, :size], own, out=n)
+        n += x[t, :, 2 * size :]
+        np.tanh(n, out=n)
         if keep:
             saved[0][t], saved[1][t], saved[2][t] = a, n, own
-        h = n + a[:, size:] * (h - n)
-        h *= mask[t]
-        states[t] = h
+        now = states[t]
+        np.subtract(h, n, out=now)
+        now *= a[:, size:]
+        now += n
+        now *= mask[t]
+        h = now
     return states, saved
 
 

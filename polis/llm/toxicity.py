@@ -16,32 +16,41 @@ from .language_id import letter_words
 from .recurrent import Adagrad, backward, by_row, forward, sigmoid
 
 #: Words of a window, and from one window's start to the next.
-WINDOW, STRIDE = 64, 32
+WINDOW, STRIDE = 64, 48
 #: Labelled documents to learn from, of label 1 and of label 0, and windows of one of them.
-POSITIVE, NEGATIVE, WINDOWS = 1500, 3000, 64
-#: Sizes: hidden units of a direction, word and character vectors, attention, hashed character trigrams, known words.
-HIDDEN, WORD, CHARACTER, ATTENTION, TRIGRAMS, VOCABULARY = 12, 16, 8, 8, 4096, 20_000
+POSITIVE, NEGATIVE, WINDOWS = 1000, 2000, 24
+#: Sizes: hidden units of a direction, word and character vectors, attention, hashed byte n-grams, known words.
+HIDDEN, WORD, CHARACTER, ATTENTION, PIECES, VOCABULARY = 12, 16, 12, 8, 1 << 16, 20_000
+#: Lengths of byte n-grams; training documents that a known word stands in; share of words that training hides.
+LENGTHS, KNOWN_FROM, HIDDEN_WORDS = (3, 7), 4, 0.3
 #: Windows scored at once; words whose inputs a worker remembers; bytes of text taken at once.
-BATCH, REMEMBERED, RUN_BYTES = 2048, 150_000, 2 << 20
+BATCH, REMEMBERED, RUN_BYTES = 512, 150_000, 2 << 20
 
 
-def windows(words: list[str]) -> list[list[str]]:
-    """All overlapping windows: the last one ends with the text; none without words."""
-    last = max(0, len(words) - WINDOW)
-    starts = [*range(0, last, STRIDE), last] if words else []
-    return [words[s : s + WINDOW] for s in starts]
+def starts(n: int) -> list[int]:
+    """Where the overlapping windows of n words start: the last one ends with the text; none without words."""
+    last = max(0, n - WINDOW)
+    return [*range(0, last, STRIDE), last] if n else []
 
 
-def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed byte trigrams of the words with marked edges, how many each word has)."""
+def pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed byte n-grams of the words with marked edges, word by word, how many each word has)."""
     marked = [b"<%b>" % w.encode() for w in words]
     size = np.array([len(m) for m in marked], np.int64)
-    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
-    h = (data[:-2] * np.uint32(0x9E3779B1) ^ data[1:-1] * np.uint32(0x85EBCA6B) ^ data[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
-    start = np.cumsum(size) - size
-    inside = np.ones(len(data), bool)
-    inside[start + size - 1] = inside[start + size - 2] = False
-    return ((h >> np.uint32(16)) % np.uint32(TRIGRAMS)).astype(np.int64)[inside[:-2]], size - 2
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32) + np.uint32(1)
+    owner = np.repeat(np.arange(len(words)), size)
+    left = (np.cumsum(size))[owner] - np.arange(len(data))  # bytes from here to the end of the word
+    grams, owners = [], []
+    for n in LENGTHS:
+        h = np.full(max(0, len(data) - n + 1), np.uint32(n))
+        for k in range(n):
+            h = (h ^ data[k : k + len(h)]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        inside = left[: len(h)] >= n
+        grams.append((h % np.uint32(PIECES)).astype(np.int64)[inside])
+        owners.append(owner[: len(h)][inside])
+    owners = np.concatenate(owners)
+    return np.concatenate(grams)[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
 
 
 class Network:
@@ -51,32 +60,30 @@ class Network:
         self.vocabulary, self.prior = {w: i + 1 for i, w in enumerate(vocabulary)}, prior
         r = np.random.default_rng(seed)
         shape = {
-            "word": (len(vocabulary) + 1, WORD), "character": (TRIGRAMS, CHARACTER), "input": (WORD + CHARACTER, 6 * HIDDEN), "bias": (6 * HIDDEN,), "u0": (HIDDEN, 3 * HIDDEN), "u1": (HIDDEN, 3 * HIDDEN),
+            "word": (len(vocabulary) + 1, WORD), "character": (PIECES, CHARACTER), "input": (WORD + CHARACTER, 6 * HIDDEN), "bias": (6 * HIDDEN,), "u0": (HIDDEN, 3 * HIDDEN), "u1": (HIDDEN, 3 * HIDDEN),
             "attend": (2 * HIDDEN, ATTENTION), "query": (ATTENTION,), "out": (2 * HIDDEN,), "shift": (1,),
         }
         self.p = p or {k: (r.normal(0, 0.1 if k in ("word", "character") else 0.3, s) * (k not in ("bias", "shift"))).astype(np.float32) for k, s in shape.items()}
         self.seen: dict[str, int] = {}
         self.table = np.zeros((1024, 6 * HIDDEN), np.float32)
 
-    def inputs(self, words: list[str]):
-        """(word ids, trigrams, their numbers, vectors) of distinct words: a word's own vector beside the mean of its trigrams'."""
-        ids = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
-        grams, n = trigrams(words)
-        character = np.add.reduceat(self.p["character"][grams], np.cumsum(n) - n, axis=0) / n[:, None]
-        return ids, grams, n, np.concatenate([self.p["word"][ids], character.astype(np.float32)], 1)
+    def vectors(self, ids: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A word's own vector beside the sum of its n-grams', which is scaled by the root of their number."""
+        character = np.add.reduceat(self.p["character"][grams], np.cumsum(n) - n, axis=0) / np.sqrt(n, dtype=np.float32)[:, None]
+        return np.concatenate([self.p["word"][ids], character], 1)
 
-    def index(self, words: list[str]) -> list[int]:
+    def index(self, words: list[str]) -> np.ndarray:
         """Rows of table for words; the table remembers their inputs to the gates."""
-        new = [w for w in dict.fromkeys(words) if w not in self.seen]
+        new = list(set(words).difference(self.seen))
         if new:
-            x = self.inputs(new)[3] @ self.p["input"] + self.p["bias"]
+            ids = np.array([self.vocabulary.get(w, 0) for w in new], np.int64)
+            x = self.vectors(ids, *pieces(new)) @ self.p["input"] + self.p["bias"]
             at = len(self.seen)
             while len(self.table) < at + len(new):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[at : at + len(new)] = x
             self.seen.update(zip(new, range(at, at + len(new))))
-        get = self.seen.__getitem__
-        return [get(w) for w in words]
+        return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
 
     def pooled(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """(logits, what gradient needs) of windows x (T, B, 6H)."""
@@ -111,98 +118,117 @@ class Network:
         loss = -(weight * np.where(label > 0, np.log(y + 1e-9), np.log(1 - y + 1e-9))).sum()
         return loss, np.concatenate([dx0, dx1[::-1]], 2), g
 
-    def step(self, optimizer: Adagrad, batch: list[list[str]], label: np.ndarray, weight: np.ndarray) -> float:
-        """Learn from one batch of windows."""
-        p, words = self.p, list(dict.fromkeys(w for x in batch for w in x))
-        place = {w: i for i, w in enumerate(words)}
-        ids, grams, n, vectors = self.inputs(words)
-        at, mask = padded([[place[w] for w in x] for x in batch])
-        loss, dx, g = self.gradient((vectors @ p["input"] + p["bias"])[at], mask, label, weight)
-        own, dtable = by_row(at.ravel(), dx.reshape(-1, 6 * HIDDEN))
-        full = np.zeros((len(words), 6 * HIDDEN), np.float32)
-        full[own] = dtable
+    def step(self, optimizer: Adagrad, corpus: Corpus, first: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray, hide: np.random.Generator) -> float:
+        """Learn from one batch of windows of a corpus."""
+        p, many = self.p, len(first)
+        at, mask = cut(first, size)
+        words, inverse = np.unique(corpus.words[at], return_inverse=True)
+        ids = np.where(hide.random(len(words)) < HIDDEN_WORDS, 0, corpus.known[words])
+        grams, n = corpus.pieces(words)
+        vectors = self.vectors(ids, grams, n)
+        loss, dx, g = self.gradient((vectors @ p["input"] + p["bias"])[inverse.reshape(at.shape)], mask, label, weight)
+        full = by_row(inverse.ravel(), dx.reshape(-1, 6 * HIDDEN))[1]
         g |= {"input": vectors.T @ full, "bias": full.sum(0)}
-        dv = full @ p["input"].T
+        dv = full @ p["input"].T / many
         for k, v in g.items():
-            optimizer.step(k, p[k], np.clip(v / len(batch), -1, 1))
+            optimizer.step(k, p[k], np.clip(v / many, -1, 1))
         rows, d = by_row(ids, dv[:, :WORD])
-        optimizer.step("word", p["word"], d / len(batch), rows)
-        rows, d = by_row(grams, np.repeat(dv[:, WORD:] / n[:, None], n, axis=0))
-        optimizer.step("character", p["character"], d / len(batch), rows)
-        return float(loss) / len(batch)
-
-    def forget(self) -> None:
-        self.seen.clear()
-
-    def scores(self, batch: list[list[int]]) -> np.ndarray:
-        """The score of each window, given as rows of table."""
-        out = np.empty(len(batch))
-        order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
+        optimizer.step("word", p["word"], d, rows)
+        rows, d = by_row(grams, np.repeat(dv[:, WORD:] / np.sqrt(n, dtype=np.float32)[:, None], n, axis=0))
+        optimizer.step("character", p["character"], d, rows)
+        return float(loss) / many
+
+    def scores(self, words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The score of each window of words, given as rows of table."""
+        out, order = np.empty(len(first)), np.argsort(size, kind="stable")
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
-            ids, mask = padded([batch[i] for i in own])
-            out[own] = sigmoid(self.pooled(self.table[ids], mask)[0].astype(np.float64))
+            place, mask = cut(first[own], size[own])
+            out[own] = sigmoid(self.pooled(self.table[words[place]], mask)[0].astype(np.float64))
         return out
 
     def score_texts(self, texts: list[str | None]) -> list[float]:
         """The highest score of a text's windows; the share of label 1 among what was learned from, for a text without words."""
         if len(self.seen) > REMEMBERED:
-            self.forget()
-        batch: list[list[int]] = []
-        owner: list[int] = []
+            self.seen.clear()
+        words, first, size, owner = [], [], [], []
         for i, t in enumerate(texts):
-            w = windows(self.index(letter_words(t or "")))
-            batch += w
-            owner += [i] * len(w)
+            own = letter_words(t or "")
+            at = starts(len(own))
+            first += [len(words) + s for s in at]
+            size += [min(WINDOW, len(own))] * len(at)
+            owner += [i] * len(at)
+            words += own
         out = np.full(len(texts), -1.0)
-        if batch:
-            np.maximum.at(out, owner, self.scores(batch))
+        if words:
+            np.maximum.at(out, owner, self.scores(self.index(words), np.array(first), np.array(size)))
         return np.where(out < 0, self.prior, out).tolist()
 
 
-def padded(batch: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids (T, B), mask (T, B))."""
-    size = np.array([len(x) for x in batch])
-    mask = np.arange(size.max())[:, None] < size[None, :]
-    ids = np.zeros(mask.shape[::-1], np.int64)
-    ids[mask.T] = np.concatenate(batch)
-    return np.ascontiguousarray(ids.T), mask.astype(np.float32)
+def cut(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places (T, B), mask (T, B)) of windows."""
+    step = np.arange(size.max())[:, None]
+    return first + np.minimum(step, size - 1), (step < size).astype(np.float32)
 
 
-def fit(examples: list[tuple[int, list[list[str]]]], seed: int = 4, first: int = 3, later: int = 4, size: int = 128) -> Network:
+class Corpus:
+    """Windows to learn from, with their words numbered."""
+
+    def __init__(self, examples: list[tuple[int, list[list[str]]]]):
+        flat = [w for _, ws in examples for x in ws for w in x]
+        place = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        seen = Counter(w for _, ws in examples for w in {w for x in ws for w in x})
+        self.vocabulary = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= KNOWN_FROM][:VOCABULARY]
+        self.words = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        number = {w: i + 1 for i, w in enumerate(self.vocabulary)}
+        self.known = np.array([number.get(w, 0) for w in place], np.int64)
+        self.grams, self.n = pieces(list(place))
+        self.at = np.cumsum(self.n) - self.n
+        self.names = list(place)
+        self.size = np.array([len(x) for _, ws in examples for x in ws], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.doc = np.repeat(np.arange(len(examples)), [len(ws) for _, ws in examples])
+        self.label = np.array([label for label, _ in examples], np.int64)
+
+    def pieces(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n[words]
+        return self.grams[np.repeat(self.at[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def fit(examples: list[tuple[int, list[list[str]]]], seed: int = 4, first: int = 2, later: int = 3, size: int = 256) -> Network:
     """Learn from (label, windows) of documents: first from all windows of short documents, then from the window of each
-    document that scores highest, and other windows of documents of label 0 beside."""
+    document that scores highest, and one other window of documents of label 0 beside."""
     examples = [x for x in examples if x[1]]
-    seen = Counter(w for _, ws in examples for w in {w for x in ws for w in x})
-    vocabulary = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n > 1][:VOCABULARY]
-    labels = np.array([label for label, _ in examples], float)
-    net = Network(vocabulary, float(labels.mean()) if len(labels) else 0.0, seed=seed)
+    labels = np.array([label for label, _ in examples], np.int64)
     if not 0 < labels.sum() < len(labels):
+        net = Network([], float(labels.mean()) if len(labels) else 0.0, seed=seed)
         net.p["out"][:], net.p["shift"][0] = 0, 9.0 if labels.sum() else -9.0
         return net
-    share = (len(labels) / 2 / np.array([max(1, (labels == k).sum()) for k in (0, 1)])).clip(0.5, 3)
+    corpus = Corpus(examples)
+    net = Network(corpus.vocabulary, float(labels.mean()), seed=seed)
+    share = (len(labels) / 2 / np.bincount(labels, minlength=2)).clip(0.5, 3)
     r, optimizer = np.random.default_rng(seed), Adagrad(0.08)
+    many = np.bincount(corpus.doc)
 
-    def epoch(chosen: list[tuple[int, list[str], float]]) -> None:
-        order = r.permutation(len(chosen))
+    def epoch(windows: np.ndarray, weight: np.ndarray) -> None:
+        order = r.permutation(len(windows))
         for at in range(0, len(order), size):
-            own = [chosen[i] for i in order[at : at + size]]
-            net.step(optimizer, [w for _, w, _ in own], np.array([x for x, _, _ in own], np.float32), np.array([w * share[x] for x, _, w in own], np.float32))
+            own = windows[order[at : at + size]]
+            label = labels[corpus.doc[own]]
+            net.step(optimizer, corpus, corpus.first[own], corpus.size[own], label.astype(np.float32), (share[label] * weight[order[at : at + size]]).astype(np.float32), r)
 
+    short = np.flatnonzero(many[corpus.doc] <= 8)
     for _ in range(first):
-        epoch([(label, w, len(ws) ** -0.5) for label, ws in examples if len(ws) <= 8 for w in ws])
+        epoch(short, many[corpus.doc[short]] ** -0.5)
     for _ in range(later):
-        net.forget()
-        flat = [net.index(w) for _, ws in examples for w in ws]
-        score, at, chosen = net.scores(flat), 0, []
-        for label, ws in examples:
-            own = score[at : at + len(ws)]
-            at += len(ws)
-            chosen.append((label, ws[int(own.argmax())], 1.0))
-            if not label:
-                chosen += [(0, ws[k], 0.5) for k in r.choice(len(ws), min(len(ws), 2), replace=False)]
-        epoch(chosen)
-    net.forget()
+        net.seen.clear()
+        score = net.scores(net.index(corpus.names)[corpus.words], corpus.first, corpus.size)
+        order = np.lexsort((-score, corpus.doc))
+        head = np.cumsum(many) - many
+        best = order[head]
+        other = order[head + (r.random(len(many)) * many).astype(np.int64)][labels == 0]
+        epoch(np.r_[best, other], np.r_[np.ones(len(best)), np.full(len(other), 0.5)])
+    net.seen.clear()
     return net
 
 
@@ -218,7 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, key: st
         for batch in batches:
             doc, own, out = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), []
             for d, t in zip(doc, batch.column("text")):
-                ws = windows(letter_words(t.as_py()))
+                words = letter_words(t.as_py())
+                ws = [words[s : s + WINDOW] for s in starts(len(words))]
                 if len(ws) > WINDOWS:
                     r = np.random.default_rng(zlib.crc32(str(d).encode()))
                     ws = [ws[i] for i in sorted(r.choice(len(ws), WINDOWS, replace=False))]
