@@ -14,10 +14,12 @@ from polis.llm.mixing import mix
 from polis.llm.near_dedup import near_duplicates
 from polis.llm.suffix_dedup import dedup_substrings
 from polis.llm.toxicity import score_toxicity
+from polis.session import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted label is 0, whole. Rows with null text or doc_id are judged like any other."""
+    ship(spark)
     scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
     return scored.filter("predicted = 0").select("row.*")
 
@@ -25,6 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group; of rows with one doc_id, the first by the hash of the text. Rows
     without doc_id, and texts without words, stay."""
+    ship(spark)
     kept = near_duplicates(docs, numerator=80, denominator=100, words=5).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     own = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     # The join has brought rows of one doc_id together, so this sorts without another shuffle.
@@ -36,6 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the bytes of 100-byte strings that also start earlier; halves of characters at the edges of a
     removed run go too. n_chars is counted anew. A text that repeats others throughout becomes empty, null stays null."""
+    ship(spark)
     out = dedup_substrings(docs, length=100, carry=True)
     text = F.when(F.col("row.text").isNotNull(), F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.expr("regexp_replace(CAST(kept AS STRING), '\\uFFFD', '')")))
     fresh = {"text": text, "n_chars": F.when(F.size("spans") == 0, F.col("row.n_chars")).otherwise(F.length(text))}
@@ -44,12 +48,14 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    ship(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
     return found.filter("NOT contaminated").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
+    ship(spark)
     return mix(docs)
 
 

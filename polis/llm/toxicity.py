@@ -195,9 +195,10 @@ class Corpus:
         return self.grams[np.repeat(self.at[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
-def fit(examples: list[tuple[int, list[list[str]]]], seed: int = 4, first: int = 2, later: int = 3, size: int = 256) -> Network:
+def fit(examples: list[tuple[int, list[list[str]]]], seed: int = 4, first: int = 2, later: int = 3, size: int = 256, least: int = 90) -> Network:
     """Learn from (label, windows) of documents: first from all windows of short documents, then from the window of each
-    document that scores highest, and one other window of documents of label 0 beside."""
+    document that scores highest, and one other window of documents of label 0 beside. Small samples are learned from in
+    smaller batches and more often, in at least `least` steps of the first kind and of the second."""
     examples = [x for x in examples if x[1]]
     labels = np.array([label for label, _ in examples], np.int64)
     if not 0 < labels.sum() < len(labels):
@@ -210,16 +211,17 @@ def fit(examples: list[tuple[int, list[list[str]]]], seed: int = 4, first: int =
     r, optimizer = np.random.default_rng(seed), Adagrad(0.08)
     many = np.bincount(corpus.doc)
 
-    def epoch(windows: np.ndarray, weight: np.ndarray) -> None:
-        order = r.permutation(len(windows))
-        for at in range(0, len(order), size):
-            own = windows[order[at : at + size]]
-            label = labels[corpus.doc[own]]
-            net.step(optimizer, corpus, corpus.first[own], corpus.size[own], label.astype(np.float32), (share[label] * weight[order[at : at + size]]).astype(np.float32), r)
+    def learn(windows: np.ndarray, weight: np.ndarray, times: int, steps: int) -> None:
+        batch = int(np.clip(len(windows) // 20, 32, size))
+        for _ in range(max(times, -(-steps * batch // max(1, len(windows))))):
+            order = r.permutation(len(windows))
+            for at in range(0, len(order), batch):
+                part = order[at : at + batch]
+                own, label = windows[part], labels[corpus.doc[windows[part]]]
+                net.step(optimizer, corpus, corpus.first[own], corpus.size[own], label.astype(np.float32), (share[label] * weight[part]).astype(np.float32), r)
 
     short = np.flatnonzero(many[corpus.doc] <= 8)
-    for _ in range(first):
-        epoch(short, many[corpus.doc[short]] ** -0.5)
+    learn(short, many[corpus.doc[short]] ** -0.5, first, least)
     for _ in range(later):
         net.seen.clear()
         score = net.scores(net.index(corpus.names)[corpus.words], corpus.first, corpus.size)
@@ -227,7 +229,7 @@ def fit(examples: list[tuple[int, list[list[str]]]], seed: int = 4, first: int =
         head = np.cumsum(many) - many
         best = order[head]
         other = order[head + (r.random(len(many)) * many).astype(np.int64)][labels == 0]
-        epoch(np.r_[best, other], np.r_[np.ones(len(best)), np.full(len(other), 0.5)])
+        learn(np.r_[best, other], np.r_[np.ones(len(best)), np.full(len(other), 0.5)], 1, least // later)
     net.seen.clear()
     return net
 
