@@ -56,3 +56,19 @@ def blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 def by_block(df: DataFrame, n: int) -> DataFrame:
     """df with a column block in 0..n-1, which depends on doc_id alone."""
     return df.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+
+
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of the highest counts, at most limit of them: rows of one count are all in or all out, so no task ranks them.
+    Only where more than limit rows share the highest counts are they ranked."""
+    top = 100_000
+    sizes = sorted(df.groupBy(F.least(F.col(count), F.lit(top)).alias("c")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["c"])
+    least, total = None, 0
+    for r in sizes:
+        total += r["rows"]
+        if total > limit:
+            break
+        least = r["c"]
+    if least is None:
+        return df.orderBy(F.desc(count), *[c for c in df.columns if c != count and not df.schema[c].dataType.typeName() == "map"]).limit(limit)
+    return df.filter(F.col(count) >= least)

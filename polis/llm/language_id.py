@@ -91,8 +91,9 @@ def train(rows: DataFrame, language: str = "lang", text: str = "text") -> Model:
     place = {x: i for i, x in enumerate(languages)}
 
     def kept(df: DataFrame, limit: int) -> dict[str, np.ndarray]:
-        """Log frequencies for the entries of the highest counts, ties in the order of the entry."""
-        top = df.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by")).orderBy(F.desc("total"), "word").limit(limit).collect()
+        """Counts of the entries of the highest counts."""
+        totals = df.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"))
+        top = common.most_frequent(totals, "total", limit).collect()
         c = np.full((len(top), len(languages)), ADDED)
         for i, r in enumerate(top):
             for x, n in r["by"].items():
