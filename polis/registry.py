@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .plans.queries import QUERIES, SQL
 
 FLAGSHIP = "case_workload"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
