@@ -248,7 +248,7 @@ def _links(rows: DataFrame, members: DataFrame, numerator: int, denominator: int
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "blocks", "block", "id")), pa.array(sets, pa.binary())], names=["component", "blocks", "block", "id", "shingles"])
 
-    texts = rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id").join(placed, "id").select("component", "blocks", "block", "id", "text")
+    texts = rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id").join(placed.hint("merge"), "id").select("component", "blocks", "block", "id", "text")
     sets = texts.mapInArrow(full, "component long, blocks int, block int, id long, shingles binary")
     # A block meets every block of its class, itself included, in a group (component, lo, hi).
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
