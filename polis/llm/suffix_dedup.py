@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, hashing
 
@@ -374,7 +375,8 @@ def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = GRAM, key:
     gone = found.filter("kind = 0").select("doc", F.col("at").alias("start"), F.col("key").alias("stop")).unionByName(settled).unionByName(frequent)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
+    shape = T.StructType.fromDDL(f"doc_id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    shape = shape.add("row", rows.schema["row"].dataType) if carry else shape
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
         held = Block(table)
