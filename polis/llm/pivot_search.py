@@ -15,7 +15,7 @@ from . import common
 CANDIDATES, QUERIES = 8192, 1024
 #: Pivots, and how many rows they are chosen from.
 PIVOTS, PIVOT_SAMPLE = 16, 1024
-#: Candidates evaluated between two looks at the bound.
+#: Candidates evaluated before the first look at the bound; twice as many before each later one.
 STEP = 128
 
 
@@ -57,14 +57,17 @@ def block_top_k(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
         for i, bound in enumerate(high):
             own = q_ids[at + i]
             order, done = np.argsort(-bound, kind="stable"), 0
-            ids, scores = np.empty(0, np.int64), np.empty(0, np.float64)
+            ids, scores, step = np.empty(0, np.int64), np.empty(0, np.float64), STEP
             while done < len(order):
                 if len(scores) >= k and bound[order[done]] < scores[-1]:
                     break
-                more = order[done : done + STEP]
-                done += len(more)
+                more = order[done : done + step]
+                done, step = done + len(more), 2 * step
                 more = more[x_ids[more] != own]
-                ids, scores = np.r_[ids, x_ids[more]], np.r_[scores, x[more] @ q[at + i]]
+                found = x[more] @ q[at + i]
+                if len(scores) >= k:  # only what can still be among the best is ranked
+                    more, found = more[found >= scores[-1]], found[found >= scores[-1]]
+                ids, scores = np.r_[ids, x_ids[more]], np.r_[scores, found]
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
             if len(ids):
