@@ -313,12 +313,12 @@ def canonical_grid(read):
 @query(f"""
 WITH t AS (SELECT item_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(upper(trim(translate(text, '{X.ACCENTED}', '{X.PLAIN}'))), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4))) AS w FROM benchmark)
 SELECT a.item_id AS left_id, b.item_id AS right_id, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) AS score FROM t a JOIN t b ON a.item_id <> b.item_id
-WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.35
+WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.1
 """)
 def token_overlap(read):
     """Register entries matched by the share of common tokens (JN-12 to JN-15, SF-11)."""
     rows = read("benchmark").select(F.col("item_id").alias("left_id"), X.significant_tokens(F.col("text")).alias("tokens"))
-    out = J.token_overlap(rows, rows.withColumnRenamed("left_id", "right_id"), "left_id", "right_id", "tokens", 0.35)
+    out = J.token_overlap(rows, rows.withColumnRenamed("left_id", "right_id"), "left_id", "right_id", "tokens", 0.1)
     return out.filter("left_id <> right_id")
 
 
