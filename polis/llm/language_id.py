@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .word_counts import word_counts
+from .word_counts import HELD, word_counts
 
 #: Size of the model: words, and n-grams of each length, of the highest counts; what is beyond backs off.
 WORDS, GRAMS = 60_000, 20_000
@@ -37,36 +37,46 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies of words and n-grams by language."""
+    """Log frequencies of words and n-grams by language; every entry is a row of one matrix."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], by_length: dict[int, dict[str, np.ndarray]], prior: np.ndarray):
-        self.languages, self.words, self.by_length, self.prior = languages, words, by_length, prior
+    def __init__(self, languages: list[str], words: dict[str, int], by_length: dict[int, dict[str, int]], matrix: np.ndarray, prior: np.ndarray):
+        self.languages, self.words, self.by_length, self.matrix, self.prior = languages, words, by_length, matrix, prior
         self.seen: dict[str, int] = {}
         self.table = np.zeros((1024, len(languages)))
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Scores of one word: its own, or the mean over its n-grams of the longest length of which one is known, shorter
-        n-grams standing in for the unknown ones; nothing where no character is known."""
+    def entries(self, word: str) -> list[int]:
+        """The rows whose mean is the score of a word: its own, or those of its known n-grams of the longest length of which
+        one is known; none where no character is known."""
         own = self.words.get(word)
         if own is not None:
-            return own
+            return [own]
         for n in LENGTHS:
-            known = [g for g in (self.by_length.get(n, {}).get(g) for g in grams(word, n)) if g is not None]
+            known = [i for i in map(self.by_length.get(n, {}).get, grams(word, n)) if i is not None]
             if known:
-                return np.sum(known, 0) / max(1, len(known))
-        return np.zeros(len(self.languages))
+                return known
+        return []
+
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """Scores of words, a row each; zeros for one without entries."""
+        each = [self.entries(w) for w in words]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        out, some = np.zeros((len(words), len(self.languages))), sizes > 0
+        if some.any():
+            starts = np.cumsum(sizes) - sizes
+            flat = np.fromiter((i for e in each for i in e), np.int64, int(sizes.sum()))
+            out[some] = np.add.reduceat(self.matrix[flat], starts[some], axis=0) / sizes[some, None]
+        return out
 
     def indices(self, words: list[str]) -> np.ndarray:
-        get, out = self.seen.get, []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = self.seen[w] = len(self.seen)
-                if i >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[i] = self.backoff(w)
-            out.append(i)
-        return np.array(out, np.int64)
+        """Places of words in the table, which new words extend."""
+        new = [w for w in dict.fromkeys(words) if w not in self.seen]
+        if new:
+            first, last = len(self.seen), len(self.seen) + len(new)
+            if last > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(len(self.table), last), len(self.languages)))])
+            self.table[first:last] = self.backoff(new)
+            self.seen.update(zip(new, range(first, last)))
+        return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, its posterior); und where there is no letter or nothing was learned."""
@@ -75,12 +85,38 @@ class Model:
             return "und", 0.0
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        score = self.prior + np.bincount(at := self.indices(words), minlength=1)[np.unique(at)] @ self.table[np.unique(at)]
+        at = self.indices(words)  # before the table is read, as new words extend it
+        score = self.prior + self.table[at].sum(0)
         p = np.exp(score - score.max())
         best = int(np.argmax(p))
         return self.languages[best], float(p[best] / p.sum())
 
 
+def gram_counts(counts: DataFrame) -> DataFrame:
+    """(word, label, n) of the n-grams of all LENGTHS of the words of counts, combined in the tasks before they shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, int]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, own in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([name] * len(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "label", "n"])
+            held.clear()
+
+        for batch in batches:
+            for word, name, times in zip(*(batch.column(c).to_pylist() for c in ("word", "label", "n"))):
+                own = held.setdefault(name, {})
+                for n in LENGTHS:
+                    for g in grams(word, n):
+                        own[g] = own.get(g, 0) + times
+            if sum(map(len, held.values())) > HELD:
+                yield from flush()
+        yield from flush()
+
+    pieces = counts.select("word", "label", "n").mapInArrow(count, "word string, label string, n long")
+    return pieces.groupBy("word", "label").agg(F.sum("n").alias("n"))
+
+
 def train(rows: DataFrame, language: str = "lang", text: str = "text") -> Model:
     """Learn from all rows whose language is not null. Counts cover every row; the model keeps the WORDS and GRAMS of the
     highest counts, so what reaches the driver is bounded."""
@@ -100,24 +136,24 @@ def train(rows: DataFrame, language: str = "lang", text: str = "text") -> Model:
                 c[i, place[x]] += n
         return dict(zip([r["word"] for r in top], c))
 
-    def logs(counted: dict[str, np.ndarray], sums: np.ndarray) -> dict[str, np.ndarray]:
-        return {w: np.log(c) - np.log(sums + ADDED * len(counted)) for w, c in counted.items()}
+    def logs(counted: dict[str, np.ndarray], sums: np.ndarray) -> dict[str, int]:
+        """Put the entries into the matrix; their rows."""
+        first = sum(map(len, parts))
+        parts.append(np.log(np.array(list(counted.values())).reshape(-1, len(languages))) - np.log(sums + ADDED * len(counted)))
+        return {w: first + i for i, w in enumerate(counted)}
 
+    parts: list[np.ndarray] = []
     all_words = np.array([totals[x] for x in languages], float)
     words = logs(kept(counts, WORDS), all_words) if languages else {}
     by_length = {}
     if languages:
-        marked = F.concat(F.lit("<"), "word", F.lit(">"))
-        pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, n))
-        each = [F.when(F.length(marked) >= n, pieces(n)).otherwise(F.array().cast("array<string>")) for n in LENGTHS]
         # n-grams of words count once for each occurrence of the word; the length of an n-gram tells its n.
-        exploded = counts.select(F.explode(F.concat(*each)).alias("word"), "label", "n")
-        gram = common.cut(exploded.groupBy("word", "label").agg(F.sum("n").alias("n")).withColumn("length", F.length("word")), "grams")
+        gram = common.cut(gram_counts(counts).withColumn("length", F.length("word")), "grams")
         sums = {(r["length"], r["label"]): r["n"] for r in gram.groupBy("length", "label").agg(F.sum("n").alias("n")).collect()}
         for n in LENGTHS:
             by_length[n] = logs(kept(gram.filter(F.col("length") == n), GRAMS), np.array([sums.get((n, x), 0) for x in languages], float))
     prior = np.log((all_words + 1) / (all_words + 1).sum()) if languages else np.empty(0)
-    return Model(languages, words, by_length, prior)
+    return Model(languages, words, by_length, np.concatenate(parts) if parts else np.zeros((0, 0)), prior)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
@@ -129,7 +165,7 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, key: str = "doc
     """
     learned = docs.filter(F.coalesce(common.learns(key, folds, held_out), F.lit(False)))
     model = train(learned, language, text)
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.by_length, model.prior))
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.by_length, model.matrix, model.prior))
     rows = common.texts(docs, key, text).withColumn("held_out", F.coalesce(~common.learns("doc_id", folds, held_out), F.lit(False)))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -83,7 +83,7 @@ def test_language_backoff(spark):
     for n, counts in brute.items():
         total, size = sum(counts.values()), len(model.by_length[n])
         for g, c in counts.items():
-            assert model.by_length[n][g][0] == pytest.approx(math.log((c + language_id.ADDED) / (total + language_id.ADDED * size)))
+            assert model.matrix[model.by_length[n][g], 0] == pytest.approx(math.log((c + language_id.ADDED) / (total + language_id.ADDED * size)))
 
 
 def _gram_counts(words, n):
