@@ -18,6 +18,8 @@ LARGE = 2000
 BUCKET_BYTES, BUCKET_ROWS = 48_000_000, 60_000
 #: Bytes of text that are hashed at once.
 RUN_BYTES = 1 << 20
+#: Window starts of a longer text that are hashed at once.
+PART_BYTES = 1 << 23
 #: Bytes beyond the gram to which multikey passes sort before blind tries take over.
 SHALLOW = 16
 
@@ -82,13 +84,17 @@ class Block:
             yield at, end
             at = end
 
-    def anchors(self, length: int, gram: int) -> dict[str, np.ndarray]:
-        """Anchors of the block in order; first is False where the same cover stands earlier in the block."""
+    def anchors(self, length: int, gram: int, size: int) -> dict[str, np.ndarray]:
+        """Anchors of the block in order; new is False where the same cover stands earlier in the block.
+
+        A longer text goes in parts of size bytes and the length - 1 after them, so each window starts in one part only.
+        """
         parts = []
         for a, b in self.runs():
-            for lo in range(0, max(1, int(self.ends[b - 1] - self.start[a])), 1 << 23):  # a longer text in overlapping parts
-                data = np.frombuffer(b"".join(self.raw[a:b])[lo : lo + (1 << 23) + 2 * length], np.uint8)
-                ends = np.minimum(self.ends[a:b] - self.start[a] - lo, len(data))
+            whole = np.frombuffer(b"".join(self.raw[a:b]), np.uint8)
+            for lo in range(0, max(1, len(whole)), size):
+                data = whole[lo : lo + size + length - 1]
+                ends = np.clip(self.ends[a:b] - self.start[a] - lo, 0, len(data))
                 anchor, first, last, gram_hash, cover = anchors(data, ends, length, gram)
                 row = a + np.searchsorted(ends, first, "right")
                 at = self.start[a] + lo - self.start[row] + self.base[row]
@@ -115,10 +121,9 @@ def _joined(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return doc[head], start[head], np.maximum.reduceat(stop, head)
 
 
-def _grams(length: int, gram: int, buckets: int):
+def _grams(length: int, gram: int, buckets: int, size: int):
     def of(table: pa.Table) -> pa.Table:
-        block, found = Block(table), None
-        found = block.anchors(length, gram)
+        found = Block(table).anchors(length, gram, size)
         rows = []
         if found:
             grams, count = np.unique(found["gram"][found["new"]], return_counts=True)
@@ -158,7 +163,7 @@ def _repeated(large: int):
     return of
 
 
-def _open(length: int, gram: int):
+def _open(length: int, gram: int, size: int):
     """What a block knows of repeats: removed spans (kind 0), suffixes to sort (1) and windows of frequent grams (2)."""
 
     def of(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -172,7 +177,7 @@ def _open(length: int, gram: int):
             out[6].extend(part if part is not None else [None] * n)
 
         block = Block(table)
-        found = block.anchors(length, gram)
+        found = block.anchors(length, gram, size)
         if found:
             doc = block.doc[found["row"]]
             gone = ~found["new"]
@@ -363,9 +368,9 @@ def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = GRAM, key:
     n, buckets = max(1, -(-total // common.BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
     block = F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int").alias("block")
     blocked = rows.select("doc", "text", block)
-    grams = blocked.groupBy("block").applyInArrow(_grams(length, gram, buckets), "bucket int, block int, grams binary, counts binary")
+    grams = blocked.groupBy("block").applyInArrow(_grams(length, gram, buckets, PART_BYTES), "bucket int, block int, grams binary, counts binary")
     known = grams.groupBy("bucket").applyInArrow(_repeated(LARGE), "block int, grams binary, hot binary")
-    found = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_open(length, gram), FOUND)
+    found = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_open(length, gram, PART_BYTES), FOUND)
     found = common.cut(found, "suffixes")
     n_open = found.filter("kind = 1").count()
     bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n_open // BUCKET_ROWS)))).alias("bucket")

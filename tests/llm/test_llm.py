@@ -200,6 +200,21 @@ def test_removed_bytes_of_periodic_texts(spark):
     assert got == brute_removed(texts, 100)
 
 
+@pytest.mark.parametrize("size", [700, 50_000])
+def test_long_texts_in_parts_match_brute_force(spark, sf_dir, monkeypatch, size):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", size)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute_removed({r.doc_id: r.text for r in table.collect()}, 100)
+    got = {r.doc_id: (bytes(r.kept), len(r.spans)) for r in suffix_dedup.dedup_substrings(table).collect()}
+    assert got == want
+
+
+def test_clean_text_over_the_part_s_size_stays_whole(spark):
+    text = np.random.default_rng(7).integers(97, 123, (1 << 23) + 5000).astype(np.uint8).tobytes().decode()
+    (row,) = suffix_dedup.dedup_substrings(docs(spark, [text])).collect()
+    assert row.spans == [] and bytes(row.kept) == text.encode()
+
+
 def test_deep_shallow_orders_like_sorted():
     r = np.random.default_rng(5)
     strings = [bytes(r.integers(97, 99, r.integers(0, 60)).astype(np.uint8)) + b"tail" * 5 for _ in range(400)]
