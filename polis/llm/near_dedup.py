@@ -20,7 +20,7 @@ TOKENS = 96
 DEPTHS = (3, 5, 8, 12)
 #: Documents that are compared with one another in one node or block.
 NODE, BLOCK = 512, 256
-#: Recall of the trees for a pair at the threshold itself.
+#: Recall of all depths together for a pair at the threshold itself, over the choice of trees and of minwise tokens.
 RECALL = 0.9999
 #: Columns of shingles that a block's comparison holds at once.
 COLUMNS = 4096
@@ -56,10 +56,10 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def paths(sketch: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The node of each set in each tree at a depth. Which token a node branches by depends on the node, that is on the
+def paths(sketch: np.ndarray, trees: int, depth: int, first: int = 0) -> np.ndarray:
+    """The node of each set in each tree, from tree `first` on, at a depth. Which token a node branches by depends on the node, that is on the
     tree and the tokens chosen before."""
-    node = hashing.mix(np.arange(1, trees + 1, dtype=np.uint64) * hashing.BASE)[None, :].repeat(len(sketch), 0)
+    node = hashing.mix(np.arange(first + 1, first + trees + 1, dtype=np.uint64) * hashing.BASE)[None, :].repeat(len(sketch), 0)
     row = np.arange(len(sketch))[:, None]
     for _ in range(depth):
         token = sketch[row, (node >> np.uint64(20)) % np.uint64(TOKENS)]
@@ -67,6 +67,23 @@ def paths(sketch: np.ndarray, trees: int, depth: int) -> np.ndarray:
     return node.view(np.int64)
 
 
+def trees_for(threshold: float, depth: int, miss: float) -> int:
+    """The least number of trees in which a pair at the threshold shares no node of a depth with a probability of at most miss.
+
+    All trees choose from the same TOKENS places, so the mean is over how many of these agree.
+    """
+    k = np.arange(TOKENS + 1)
+    chance = np.array([math.comb(TOKENS, int(i)) for i in k], float) * threshold**k * (1 - threshold) ** (TOKENS - k)
+    apart = 1 - (k / TOKENS) ** depth
+    low, high = 0, 1
+    while high < 1 << 20 and chance @ apart**high > miss:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if chance @ apart**mid > miss else (low, mid)
+    return high
+
+
 def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a boolean matrix."""
     n, out = len(linked), []
@@ -146,25 +163,26 @@ def _in_turn(pairs: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield _edges(held)
 
 
-def _candidates(reps: DataFrame, threshold: float, trees: int) -> DataFrame:
+def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) that connect all sets which some tree finds alike by their sketches; at most one less than a node's sets
-    leave a node."""
+    leave a node.
+
+    Sets of large nodes go on, whole, to fresh trees of the next depth, as many as that depth needs. A pair that meets in large
+    nodes only thus has another chance at each depth, and the depths share what may be missed.
+    """
     # Five standard deviations below the mean of agreeing places at the threshold.
     least = math.floor(TOKENS * threshold - 5 * math.sqrt(TOKENS * threshold * (1 - threshold)))
 
-    def nodes(depth: int):
+    def nodes(depth: int, trees: int, first: int):
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, 25_000 // trees)
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     sketch = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in part.column("sketch")])
-                    node = paths(sketch, trees, depth)
-                    if "tree" in part.schema.names:
-                        tree = part.column("tree").to_numpy()
-                        yield pa.RecordBatch.from_arrays([pa.array(node[np.arange(len(node)), tree]), part.column("doc_id"), part.column("sketch"), part.column("tree")], names=["node", "doc_id", "sketch", "tree"])
-                        continue
+                    node = paths(sketch, trees, depth, first)
                     again = pa.array(np.repeat(np.arange(len(node)), trees))
-                    yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), part.column("doc_id").take(again), part.column("sketch").take(again), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(node)))], names=["node", "doc_id", "sketch", "tree"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), part.column("doc_id").take(again), part.column("sketch").take(again)], names=["node", "doc_id", "sketch"])
 
         return walk
 
@@ -178,9 +196,11 @@ def _candidates(reps: DataFrame, threshold: float, trees: int) -> DataFrame:
 
         return _in_turn(each())
 
-    found, rows = None, reps.select("doc_id", "sketch")
+    found, sets, first = None, reps.select("doc_id", "sketch"), 0
     for level, depth in enumerate(DEPTHS):
-        rows = rows.mapInArrow(nodes(depth), "node long, doc_id long, sketch binary, tree int")
+        trees = trees_for(threshold, depth, (1 - RECALL) / len(DEPTHS))
+        rows = sets.mapInArrow(nodes(depth, trees, first), "node long, doc_id long, sketch binary")
+        first += trees
         large = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).filter(F.col("n") > NODE)
         large = common.cut(large, "large_nodes")
         some = bool(large.head(1))
@@ -189,11 +209,12 @@ def _candidates(reps: DataFrame, threshold: float, trees: int) -> DataFrame:
         found = edges if found is None else found.unionByName(edges)
         if not some:
             break
-        rows = rows.join(large, "node").select("doc_id", "sketch", "tree", "pivot")
+        held = rows.join(large, "node")
         if level == len(DEPTHS) - 1:
             # Sets that share so many chosen tokens are taken as one class of candidates; full sets decide.
-            found = found.unionByName(rows.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
-        rows = common.cut(rows.drop("pivot"), "rows")
+            found = found.unionByName(held.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+        else:
+            sets = common.cut(held.select("doc_id", "sketch").distinct(), "sets")
     return found.filter("a != b").distinct()
 
 
@@ -202,7 +223,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
 
     Two documents are linked when denominator * |A & B| >= numerator * |A | B| for their sets of word shingles; component_id
     is the smallest doc_id that links lead to. Equal sets are collapsed first. Trees of chosen minwise tokens bring alike
-    sets together with a recall of RECALL for a pair at the threshold, candidate classes are the connected sets, and within a
+    sets together with a recall of RECALL for a pair at the threshold, in large nodes too, candidate classes are the connected sets, and within a
     class the full sets decide every link. A class of more than NODE sets is compared in pairs of blocks of BLOCK sets, each
     pair a group of its own, so no task holds a whole class.
 
@@ -227,8 +248,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     classes = signed.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     reps = common.cut(classes, "classes")
     threshold = numerator / denominator
-    trees = math.ceil(math.log(1 - RECALL) / math.log(1 - threshold ** DEPTHS[0]))
-    members = common.cut(components(_candidates(reps, threshold, trees)), "members")
+    members = common.cut(components(_candidates(reps, threshold)), "members")
     links = _links(rows, members, numerator, denominator, words)
     final = components(links)
     of = reps.select("print", F.col("doc_id").alias("rep")).join(final.withColumnRenamed("id", "rep"), "rep", "left")

@@ -122,6 +122,28 @@ def test_large_classes_are_compared_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, texts)).collect()} == want
 
 
+def test_pairs_at_the_threshold_in_large_nodes_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE", 300)
+    r, n = np.random.default_rng(1), 4000
+    one = r.integers(0, 256, (n, near_dedup.TOKENS)).astype(np.uint8)
+    one[:, :59] = 7  # what all share; two sketches of a pair agree in 82 of 96 places
+    two = one.copy()
+    two[:, 82:] += np.uint8(1)
+    both = np.stack([one, two], 1).reshape(2 * n, -1)
+    reps = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(both)], "doc_id long, sketch binary")
+    found = {r.id: r.component for r in components(near_dedup._candidates(reps, 0.85)).collect()}
+    assert [p for p in range(n) if found.get(2 * p, -1) != found.get(2 * p + 1, -2)] == []
+
+
+@pytest.mark.parametrize("depth", near_dedup.DEPTHS)
+def test_trees_give_the_recall(depth):
+    r = np.random.default_rng(depth)
+    agree, trees = r.random((1000, near_dedup.TOKENS)) < 0.8, near_dedup.trees_for(0.8, depth, 0.02)
+    a = r.integers(0, 128, agree.shape).astype(np.uint8)
+    met = (near_dedup.paths(a, trees, depth, 5) == near_dedup.paths(a + np.uint8(128) * ~agree, trees, depth, 5)).any(1)
+    assert met.mean() >= 0.965
+
+
 def test_near_duplicates_edges(odd, empty):
     out = near_dedup.near_duplicates(odd).collect()
     assert len(out) == odd.count()
