@@ -22,8 +22,8 @@ CLASSES, CLASS, HIDDEN = 64, 64, 32
 HELD = 150_000
 #: Steps of a window, in training and in scoring; lanes in training, and at most in scoring.
 TRAIN_STEPS, SCORE_STEPS, TRAIN_LANES, SCORE_LANES = 32, 64, 64, 384
-#: Rounds of training, and the part of the training documents that a round learns from: one in PART, others each round.
-ROUNDS, PART = 3, 24
+#: Rounds of training; each learns from other training documents, all rounds together from every one.
+ROUNDS = 3
 #: Bytes of text scored at once; models averaged at once.
 RUN_BYTES, FAN_IN = 6 << 20, 64
 #: Stands for the end of a text; no word holds white space.
@@ -214,18 +214,18 @@ def _average(frame: pd.DataFrame) -> pd.DataFrame:
 def train(rows: DataFrame, symbols: dict[str, int], frequency: np.ndarray) -> Model:
     """Rounds of training: blocks of documents learn side by side from one model, whose copies are then averaged by tokens.
 
-    A round takes one in PART of the training documents, by the hash of their text, so what is learned from grows with the
-    corpus; the counts behind the biases and the words outside the softmax cover all of them.
+    The rounds part the training documents among them, so each is learned from once. Round and block go by the hashes of id and
+    text, so neither copies of a text nor rows of one id come together.
     """
     model = Model.fresh(frequency)
     session = rows.sparkSession
     words = session.sparkContext.broadcast({w.encode(): i for w, i in symbols.items()})
     for turn in range(ROUNDS):
-        part = rows.filter(F.pmod(F.xxhash64("text", F.lit(8)), F.lit(PART)) == turn)
+        part = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(ROUNDS)) == turn)
         n = common.blocks(part)
         learn = _learner(words, session.sparkContext.broadcast(model.p), 0.1 / (turn + 1) ** 0.5)
         shape = "block int, weight double, model binary"
-        models = common.cut(common.by_block(part.withColumn("doc_id", F.xxhash64("text")), n).select("block", "text").groupBy("block").applyInArrow(learn, shape), "models")
+        models = common.cut(common.by_block(part.withColumn("doc_id", F.xxhash64("doc_id", "text", F.lit(9))), n).select("block", "text").groupBy("block").applyInArrow(learn, shape), "models")
         while n > 1:
             models = common.cut(models.groupBy(F.floor(F.col("block") / FAN_IN)).applyInPandas(_average, shape), "models")
             n = -(-n // FAN_IN)
@@ -245,7 +245,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, key: str
     """
     session = docs.sparkSession
     rows = common.texts(docs, key, text).withColumn("learns", common.learns("doc_id", folds, held_out))
-    learned = rows.filter(F.coalesce("learns", F.lit(False))).select("text")
+    learned = rows.filter(F.coalesce("learns", F.lit(False))).select("doc_id", "text")
     counts = common.cut(word_counts(learned, with_end).select("word", "n"), "words")
     n_all, v_all = counts.agg(F.sum("n"), F.count("*")).head()
     n_all = n_all or 0

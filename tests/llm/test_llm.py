@@ -363,6 +363,20 @@ def test_language_model_scores(spark, sf_dir, monkeypatch, held):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_language_model_learns_from_every_training_document(spark, sf_dir, monkeypatch):
+    models, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df, name="table": models.append(cut(df, name)) or models[-1] if name == "models" else cut(df, name))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    total = language_model.score_documents(table).head().train_tokens
+    assert sum(r["weight"] for df in models for r in df.select("weight").collect()) > 0.99 * total
+    copies = docs(spark, ["the same words again and again"] * 200).select("doc_id", "text")
+    models.clear()
+    monkeypatch.setattr(common, "blocks", lambda df, block_bytes=0: 4)
+    language_model.train(copies, {"\n": 1, "the": 2}, np.ones(3))
+    learned = [df.select("block", "weight").collect() for df in models]
+    assert [len(x) for x in learned] == [4, 1] * language_model.ROUNDS and max(r["weight"] for r in learned[0]) < 0.5 * sum(r["weight"] for r in learned[0])
+
+
 def test_language_model_is_a_distribution_and_carries_state():
     model = language_model.Model.fresh(np.arange(1, 4000, dtype=float)[::-1].copy())
     h = np.random.default_rng(1).normal(size=(1, language_model.HIDDEN)).astype(np.float32)
