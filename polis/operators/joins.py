@@ -40,12 +40,31 @@ def crosswalk(df: DataFrame, registry: DataFrame, code: str, registry_code: str,
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, least: float, common_most: int = 1000) -> DataFrame:
-    """(left_id, right_id, score): pairs whose share of common tokens of the smaller set reaches `least`. Pairs meet on their
-    tokens; a token of more than common_most rows on the right leads to no pair by itself but still counts in the score."""
-    a = left.select(left_id, F.explode(F.array_distinct(tokens)).alias("__t"))
-    b = right.select(right_id, F.explode(F.array_distinct(tokens)).alias("__t"))
-    rare = b.groupBy("__t").agg(F.count("*").alias("__n")).filter(F.col("__n") <= common_most).select("__t")
-    pairs = a.join(b.join(rare, "__t", "left_semi"), "__t").select(left_id, right_id).distinct()
+    """(left_id, right_id, score): pairs with a common token whose share of common tokens of the smaller set reaches `least`.
+
+    A set that shares `least` of its n tokens has one of its n - ceil(least n) + 1 rarest among them, so a pair meets on those
+    of its smaller set with any of the other's. A token of more than common_most rows on the right is dealt over as many groups
+    as hold that many each.
+    """
+    n = F.col("__n")
+    counts = right.select(F.explode(F.array_distinct(tokens)).alias("__t")).groupBy("__t").agg(F.count("*").alias("__n"))
+
+    def ranked(df: DataFrame, key: str) -> DataFrame:
+        sets = df.select(F.col(key).alias("__id"), F.array_distinct(tokens).alias("__s")).distinct()
+        rows = sets.select("__id", F.xxhash64("__s").alias("__set"), F.size("__s").alias("__size"), F.explode("__s").alias("__t"))
+        rows = rows.join(counts, "__t", "left").withColumn("__n", F.coalesce(n, F.lit(0)))
+        # Nulls come last: they count in the score, but no pair meets on them.
+        rank = F.row_number().over(Window.partitionBy("__id", "__set").orderBy(F.col("__t").isNull(), n, "__t"))
+        need = F.greatest(F.lit(1), F.ceil(F.col("__size") * F.lit(float(least)) - 1e-9))
+        return rows.select("__id", "__size", "__t", F.ceil(n / common_most).cast("int").alias("__groups"), (rank <= F.col("__size") - need + 1).alias("__rare"))
+
+    groups = F.greatest(F.lit(1), F.col("__groups"))
+    a = ranked(left, left_id).withColumn("__g", F.explode(F.sequence(F.lit(0), groups - 1)))
+    b = ranked(right, right_id).withColumn("__g", F.pmod(F.xxhash64("__id"), groups).cast("int"))
+    a = a.select("__t", "__g", F.col("__id").alias("__x"), F.col("__size").alias("__xs"), F.col("__rare").alias("__xr"))
+    b = b.select("__t", "__g", F.col("__id").alias("__y"), F.col("__size").alias("__ys"), F.col("__rare").alias("__yr"))
+    met = a.join(b, ["__t", "__g"]).filter("(__xr AND __xs <= __ys) OR (__yr AND __ys <= __xs)")
+    pairs = met.select(F.col("__x").alias(left_id), F.col("__y").alias(right_id)).distinct()
     pairs = pairs.join(left.select(left_id, F.col(tokens).alias("__a")), left_id).join(right.select(right_id, F.col(tokens).alias("__b")), right_id)
     score = F.size(F.array_intersect("__a", "__b")) / F.least(F.size(F.array_distinct("__a")), F.size(F.array_distinct("__b")))
     return pairs.select(left_id, right_id, score.alias("score")).filter(F.col("score") >= least)

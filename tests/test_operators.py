@@ -57,6 +57,25 @@ def test_keep_last_and_reconcile(spark):
     assert sorted(map(tuple, out.collect())) == [("a", True, False), ("b", True, True), ("c", False, True)]
 
 
+@pytest.mark.parametrize("least", [0.1, 0.5, 0.75, 1.0])
+def test_token_overlap_has_pairs_of_frequent_tokens(spark, least):
+    rows = [(k, [f"t{(k * j) % (1 + 7 * j)}" for j in range(k % 9)] + ["every"] * (k % 3) + [None] * (k % 11 == 1)) for k in range(60)]
+    left = spark.createDataFrame(rows, "a int, w array<string>")
+    got = {(r.a, r.b): r.score for r in J.token_overlap(left, left.withColumnRenamed("a", "b"), "a", "b", "w", least, 3).collect()}
+    sets, want = {k: set(w) for k, w in rows}, {}
+    for x in sets:
+        for y in sets:
+            if sets[x] & sets[y] - {None} and len(sets[x] & sets[y]) / min(len(sets[x]), len(sets[y])) >= least:
+                want[x, y] = len(sets[x] & sets[y]) / min(len(sets[x]), len(sets[y]))
+    assert got == pytest.approx(want)
+
+
+def test_token_overlap_past_the_number_of_a_common_token(spark):
+    rows = spark.range(1001).select(F.col("id").alias("a"), F.when(F.col("id") < 2, F.array(F.lit("every"))).otherwise(F.array(F.lit("every"), *[F.concat(F.lit(f"{j}x"), "id") for j in range(4)])).alias("w"))
+    out = J.token_overlap(rows, rows.withColumnRenamed("a", "b"), "a", "b", "w", 0.5)
+    assert out.filter("a <> b").count() == 2 * 999 * 2 + 2
+
+
 def test_ledger_and_cut_points(spark):
     df = spark.createDataFrame([("p", 1, 10, True), ("p", 2, 5, True), ("p", 3, 12, False)], "p string, k int, v long, cut boolean")
     assert sorted(map(tuple, W.fifo_ledger(df, "p", ["k"], "k", "v", "cut").collect())) == [("p", 3, 1, 10), ("p", 3, 2, 2)]
