@@ -55,12 +55,14 @@ def tile(item: list[int], doc: list[int], shortest: int) -> list[tuple[int, int,
         if longest >= 2 * s:
             s = longest
             continue
+        before = len(tiles)
         for n, i, j in sorted(found):  # the longest first
             if not any(a[i : i - n]) and not any(b[j : j - n]):
                 a[i : i - n] = [True] * -n
                 b[j : j - n] = [True] * -n
                 tiles.append((i, j, -n))
-        if s == shortest:
+        # What a tile of this pass has cut short may still be long enough.
+        if s == shortest and len(tiles) == before:
             return tiles
         s = max(shortest, s // 2)
 

@@ -320,6 +320,12 @@ def test_tiles_match_brute_force():
         assert sum(t[2] for t in tiles) >= 0.8 * brute_tiles(item, doc, 4)
 
 
+def test_matches_that_a_tile_cuts_short_are_tiled():
+    item = list(range(1, 21))
+    tiles = decontamination.tile(item, [*item[:7], -1, *item[5:13], -1, *item[13:]], 5)
+    assert sorted(n for _, _, n in tiles) == [5, 7, 8]
+
+
 def test_reordered_passages_are_found(spark, odd, empty):
     words = [f"k{k}" for k in range(60)]
     item = spark.createDataFrame([(7, " ".join(words)), (8, None), (9, ""), (7, " ".join(words))], "item_id long, text string")
