@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text of a block that one task holds at once.
 BLOCK_BYTES = 12_000_000
@@ -47,6 +48,13 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def shape(rows: DataFrame, columns: str) -> T.StructType:
+    """The type of rows of doc_id, columns and, if rows has it, the carried row, whatever its columns are called."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    out = T.StructType([T.StructField("doc_id", kinds["doc_id"]), *T.StructType.fromDDL(columns).fields])
+    return out.add("row", kinds["row"]) if "row" in kinds else out
+
+
 def blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks of about block_bytes hold the texts of df."""
     total = df.agg(F.sum(F.octet_length("text"))).head()[0] or 0

@@ -26,8 +26,12 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str) -> list[str]:
-    """Runs of letters in lower case."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters (category L) in lower case."""
+    words = _LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    # The pattern also takes numerals other than digits, as fractions.
+    return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
 
 def grams(word: str, n: int) -> list[str]:

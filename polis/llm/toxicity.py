@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +16,8 @@ from .recurrent import Adagrad, backward, by_row, forward, sigmoid
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
-#: Labelled documents to learn from, of label 1 and of label 0, and windows of one of them.
-POSITIVE, NEGATIVE, WINDOWS = 1000, 2000, 24
+#: Labelled documents to learn from, of label 1 and of label 0; each with all its windows.
+POSITIVE, NEGATIVE = 1000, 2000
 #: Sizes: hidden units of a direction, word and character vectors, attention, hashed byte n-grams, known words.
 HIDDEN, WORD, CHARACTER, ATTENTION, PIECES, VOCABULARY = 12, 16, 12, 8, 1 << 16, 20_000
 #: Lengths of byte n-grams; training documents that a known word stands in; share of words that training hides.
@@ -74,8 +73,9 @@ class Network:
 
     def index(self, words: list[str]) -> np.ndarray:
         """Rows of table for words; the table remembers their inputs to the gates."""
-        new = list(set(words).difference(self.seen))
-        if new:
+        fresh = list(set(words).difference(self.seen))
+        for k in range(0, len(fresh), 20_000):
+            new = fresh[k : k + 20_000]
             ids = np.array([self.vocabulary.get(w, 0) for w in new], np.int64)
             x = self.vectors(ids, *pieces(new)) @ self.p["input"] + self.p["bias"]
             at = len(self.seen)
@@ -172,40 +172,48 @@ def cut(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Corpus:
-    """Windows to learn from, with their words numbered."""
-
-    def __init__(self, examples: list[tuple[int, list[list[str]]]]):
-        flat = [w for _, ws in examples for x in ws for w in x]
-        place = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        seen = Counter(w for _, ws in examples for w in {w for x in ws for w in x})
-        self.vocabulary = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= KNOWN_FROM][:VOCABULARY]
-        self.words = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-        number = {w: i + 1 for i, w in enumerate(self.vocabulary)}
-        self.known = np.array([number.get(w, 0) for w in place], np.int64)
-        self.grams, self.n = pieces(list(place))
-        self.at = np.cumsum(self.n) - self.n
+    """Labelled texts to learn from: their words numbered in one array, their windows as places in it."""
+
+    def __init__(self, examples: list[tuple[int, str]]):
+        place: dict[str, int] = {}
+        flat, first, size, owner, self.label, total = [], [], [], [], [], 0
+        for label, text in examples:
+            own = letter_words(text)
+            if own:
+                at = starts(len(own))
+                first.append(np.array(at, np.int64) + total)
+                total += len(own)
+                size.append(np.full(len(at), min(WINDOW, len(own))))
+                owner.append(np.full(len(at), len(self.label)))
+                flat.append(np.fromiter((place.setdefault(w, len(place)) for w in own), np.int32, len(own)))
+                self.label.append(label)
+        self.label = np.array(self.label, np.int64)
         self.names = list(place)
-        self.size = np.array([len(x) for _, ws in examples for x in ws], np.int64)
-        self.first = np.cumsum(self.size) - self.size
-        self.doc = np.repeat(np.arange(len(examples)), [len(ws) for _, ws in examples])
-        self.label = np.array([label for label, _ in examples], np.int64)
+        self.words, self.first, self.size, self.doc = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (flat, first, size, owner))
+        documents = np.bincount(np.concatenate([np.unique(x) for x in flat]), minlength=len(place)) if flat else np.empty(0, np.int64)
+        known = sorted(np.flatnonzero(documents >= KNOWN_FROM).tolist(), key=lambda i: (-documents[i], self.names[i]))[:VOCABULARY]
+        self.vocabulary = [self.names[i] for i in known]
+        self.known = np.zeros(len(place), np.int64)
+        self.known[known] = np.arange(1, len(known) + 1)
+        self.grams, self.n = pieces(self.names) if place else (np.empty(0, np.int64),) * 2
+        self.at = np.cumsum(self.n) - self.n
 
     def pieces(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.n[words]
         return self.grams[np.repeat(self.at[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
-def fit(examples: list[tuple[int, list[list[str]]]], seed: int = 4, first: int = 2, later: int = 3, size: int = 256, least: int = 90) -> Network:
-    """Learn from (label, windows) of documents: first from all windows of short documents, then from the window of each
+def fit(examples: list[tuple[int, str]], seed: int = 4, first: int = 2, later: int = 3, size: int = 256, least: int = 90) -> Network:
+    """Learn from (label, text) of documents: first from all windows of short documents, then from the window of each
     document that scores highest, and one other window of documents of label 0 beside. Small samples are learned from in
-    smaller batches and more often, in at least `least` steps of the first kind and of the second."""
-    examples = [x for x in examples if x[1]]
-    labels = np.array([label for label, _ in examples], np.int64)
+    smaller batches and more often, in at least `least` steps of the first kind and of the second. Texts without words are
+    left out."""
+    corpus = Corpus(examples)
+    labels = corpus.label
     if not 0 < labels.sum() < len(labels):
         net = Network([], float(labels.mean()) if len(labels) else 0.0, seed=seed)
         net.p["out"][:], net.p["shift"][0] = 0, 9.0 if labels.sum() else -9.0
         return net
-    corpus = Corpus(examples)
     net = Network(corpus.vocabulary, float(labels.mean()), seed=seed)
     share = (len(labels) / 2 / np.bincount(labels, minlength=2)).clip(0.5, 3)
     r, optimizer = np.random.default_rng(seed), Adagrad(0.08)
@@ -234,47 +242,52 @@ def fit(examples: list[tuple[int, list[list[str]]]], seed: int = 4, first: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
-    """Learn from a bounded sample of labelled rows: POSITIVE and NEGATIVE documents, the first by the hash of their id, and
-    WINDOWS windows of each, drawn by a seed that the id gives. A document labelled twice has its larger label."""
+def _packed(net: Network) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, vocabulary="\n".join(net.vocabulary), prior=net.prior, **{f"p_{k}": v for k, v in net.p.items()})
+    return out.getvalue()
+
+
+def _unpacked(data: bytes) -> tuple[list[str], float, dict[str, np.ndarray]]:
+    held = np.load(io.BytesIO(data))
+    return [w for w in str(held["vocabulary"]).split("\n") if w], float(held["prior"]), {k[2:]: held[k] for k in held.files if k.startswith("p_")}
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, key: str = "doc_id", text: str = "text", label: str = "toxic") -> bytes:
+    """The packed network, learned from a bounded sample of labelled rows: POSITIVE and NEGATIVE documents, the first by the
+    hash of their id, with their whole texts. A document labelled twice has its larger label.
+
+    The sample goes to one task, which learns; only the network comes to the driver.
+    """
     known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)").filter(common.learns("doc_id", folds, held_out))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, POSITIVE), (0, NEGATIVE))]
     sample = common.texts(docs, key, text).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, own, out = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), []
-            for d, t in zip(doc, batch.column("text")):
-                words = letter_words(t.as_py())
-                ws = [words[s : s + WINDOW] for s in starts(len(words))]
-                if len(ws) > WINDOWS:
-                    r = np.random.default_rng(zlib.crc32(str(d).encode()))
-                    ws = [ws[i] for i in sorted(r.choice(len(ws), WINDOWS, replace=False))]
-                out.append([" ".join(w) for w in ws])
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(str, doc)), pa.string()), pa.array(own, pa.int32()), pa.array(out, pa.list_(pa.string()))], names=["doc", "label", "windows"])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((str(d), t, k) for batch in batches for d, t, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))))
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(fit([(k, t) for _, t, k in rows]))], pa.binary())], names=["network"])
 
-    rows = sample.select("doc_id", "label", "text").mapInArrow(draw, "doc string, label int, windows array<string>").collect()
-    return fit([(r["label"], [w.split(" ") for w in r["windows"]]) for r in sorted(rows, key=lambda r: (r["doc"], r["windows"]))])
+    found = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(learn, "network binary").head(1)
+    return bytes(found[0]["network"]) if found else _packed(fit([]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held_out: int = 2, key: str = "doc_id", text: str = "text", label: str = "toxic", carry: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, without a shuffle of texts; with carry also row, a struct of all
     columns of docs.
 
-    Words are runs of letters in lower case. A text's score is the highest of its overlapping windows', 0 to 1; predicted is
-    1 from threshold on. Only the text is an input. Texts that are null, empty or without letters score the share of label 1
-    among what was learned from; without labels of both kinds the score is near 0 or 1, as they say, and near 0 without any.
-    A null doc_id is in no fold. Repeated rows give repeated rows; other columns are left out.
+    Words are runs of letters in lower case. A text's score is the highest of its overlapping windows', 0 to 1, however long
+    the text; predicted is 1 from threshold on. Only the text is an input. Texts that are null, empty or without letters score
+    the share of label 1 among what was learned from; without labels of both kinds the score is near 0 or 1, as they say, and
+    near 0 without any. A null doc_id is in no fold. Repeated rows give repeated rows, an empty table no rows; other columns,
+    whatever their names, are left out or carried.
     """
-    net = train(docs, labels, folds, held_out, key, text, label)
-    sent = docs.sparkSession.sparkContext.broadcast((list(net.vocabulary), net.prior, net.p))
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held_out, key, text, label))
     extra = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(~common.learns(key, folds, held_out), F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"), *extra)
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(*sent.value)
+        own = Network(*_unpacked(sent.value))
         for batch in batches:
             texts, at, out = batch.column("text").to_pylist(), 0, []
             while at < len(texts):  # runs of bounded size
@@ -290,4 +303,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
                 columns, names = [*columns, batch.column("row")], [*names, "row"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""))
+    return rows.mapInArrow(score, common.shape(rows, "held_out boolean, score double, predicted int"))

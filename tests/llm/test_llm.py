@@ -186,7 +186,7 @@ def test_toxicity_of_held_out_rows(spark):
 
 def test_toxicity_scores_every_window(spark):
     words = ["calm"] * 1000
-    net = toxicity.fit([(k % 2, [(["bad"] if k % 2 else []) + ["calm", "day"] * 10]) for k in range(60)])
+    net = toxicity.fit([(k % 2, "bad " * (k % 2) + "calm day " * 10) for k in range(60)])
     for at in (0, 500, 999):
         own = words.copy()
         own[at] = "bad"
