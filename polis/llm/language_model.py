@@ -24,6 +24,8 @@ HELD = 150_000
 TRAIN_STEPS, SCORE_STEPS, TRAIN_LANES, SCORE_LANES = 32, 64, 64, 384
 #: Rounds of training; each learns from other training documents, all rounds together from every one.
 ROUNDS = 3
+#: Tokens whose softmax is computed at once, so that it stays in cache.
+CHUNK = 2048
 #: Bytes of text scored at once; models averaged at once.
 RUN_BYTES, FAN_IN = 6 << 20, 64
 #: Stands for the end of a text; no word holds white space.
@@ -41,6 +43,15 @@ def with_end(text: str) -> list[str]:
     return [*(w.decode() for w in tokens(text)), END]
 
 
+def _log_share(logit: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of logit + bias at the target of each row; logit is spent."""
+    logit += bias
+    logit -= logit.max(1, keepdims=True)
+    own = logit[np.arange(len(target)), target]
+    np.exp(logit, out=logit)
+    return own - np.log(logit.sum(1))
+
+
 class Model:
     """State h predicts a token's class, then the token within its class; then the token changes the state. Symbol 0 is any
     word outside the softmax."""
@@ -71,16 +82,19 @@ class Model:
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each token (n,) from the state before it (n, H)."""
         p, which = self.p, ids // CLASS
-        logit = h @ p["class"] + p["class_bias"]
-        top = logit.max(1)
-        out = logit[np.arange(len(ids)), which] - top - np.log(np.exp(logit - top[:, None]).sum(1))
         order = np.argsort(which, kind="stable")
-        edges = np.searchsorted(which[order], np.arange(CLASSES + 1))
+        which, ids, h = which[order], ids[order], h[order]
+        got = np.empty(len(ids), np.float32)
+        for at in range(0, len(ids), CHUNK):
+            part = slice(at, at + CHUNK)
+            got[part] = _log_share(h[part] @ p["class"], p["class_bias"], which[part])
+        edges = np.searchsorted(which, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(edges)):
-            own = order[edges[c] : edges[c + 1]]
-            logit = h[own] @ p["word"][c] + p["word_bias"][c]
-            top = logit.max(1)
-            out[own] += logit[np.arange(len(own)), ids[own] % CLASS] - top - np.log(np.exp(logit - top[:, None]).sum(1))
+            for at in range(edges[c], edges[c + 1], CHUNK):
+                part = slice(at, min(at + CHUNK, edges[c + 1]))
+                got[part] += _log_share(h[part] @ p["word"][c], p["word_bias"][c], ids[part] % CLASS)
+        out = np.empty(len(ids))
+        out[order] = got
         return out
 
     def learn(self, optimizer: Adagrad, ids: np.ndarray, mask: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -91,13 +105,15 @@ class Model:
         x, own, scale = before.reshape(-1, HIDDEN)[use], ids.ravel()[use], np.float32(1 / max(1, len(use)))
         which, d = own // CLASS, np.zeros((real.size, HIDDEN), np.float32)
 
-        def soft(logit: np.ndarray, target: np.ndarray) -> np.ndarray:
-            e = np.exp(logit - logit.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True)
-            e[np.arange(len(target)), target] -= 1
-            return e * scale
+        def soft(e: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+            e += bias
+            e -= e.max(1, keepdims=True)
+            np.exp(e, out=e)
+            e *= scale / e.sum(1, keepdims=True)
+            e[np.arange(len(target)), target] -= scale
+            return e
 
-        e = soft(x @ p["class"] + p["class_bias"], which)
+        e = soft(x @ p["class"], p["class_bias"], which)
         dx = e @ p["class"].T
         steps = [("class", x.T @ e), ("class_bias", e.sum(0))]
         order = np.argsort(which, kind="stable")
@@ -106,9 +122,10 @@ class Model:
         dword, dbias = np.empty((len(present), HIDDEN, CLASS), np.float32), np.empty((len(present), CLASS), np.float32)
         for k, c in enumerate(present):
             at = order[edges[c] : edges[c + 1]]
-            e = soft(x[at] @ p["word"][c] + p["word_bias"][c], own[at] % CLASS)
+            z = x[at]
+            e = soft(z @ p["word"][c], p["word_bias"][c], own[at] % CLASS)
             dx[at] += e @ p["word"][c].T
-            dword[k], dbias[k] = x[at].T @ e, e.sum(0)
+            dword[k], dbias[k] = z.T @ e, e.sum(0)
         d[use] = dx
         d = d.reshape(*real.shape, HIDDEN)
         dtoken, du = backward(np.concatenate([d[1:], np.zeros_like(d[:1])]), states, saved, p["u"], h, mask)
@@ -241,7 +258,8 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, key: str
     A word outside the softmax has the probability of symbol 0 times its share (c + 0.5) / (N' + 0.5 (V' + 1)) among the words
     outside, so that counts of all training documents take part. Every text ends with an end token, null and empty ones too.
     A null doc_id is in no fold: neither learned from nor held out. Without training documents both scores are those of the
-    base formula with N = V = 0. Repeated rows give repeated rows; an empty table gives no rows; other columns are left out.
+    base formula with N = V = 0. Very long texts are scored whole, the state carried from window to window. Repeated rows give
+    repeated rows; an empty table gives no rows; other columns are left out.
     """
     session = docs.sparkSession
     rows = common.texts(docs, key, text).withColumn("learns", common.learns("doc_id", folds, held_out))
@@ -253,15 +271,16 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, key: str
     # Symbol 0 is for the words outside; the end always has a symbol.
     ranked = [END, *(r["word"] for r in top if r["word"] != END)][: CLASSES * CLASS - 1]
     symbols = {w: i + 1 for i, w in enumerate(ranked)}
-    held = {r["word"]: r["n"] for r in top}
-    inside = sum(held.get(w, 0) for w in ranked)
-    n_out, v_out = n_all - inside, v_all - sum(w in held for w in ranked)
-    frequency = np.array([n_out + 0.5, *(held.get(w, 0) + 0.5 for w in ranked)], float)
+    ends = counts.filter(F.col("word") == END).head(1)
+    # The end is held too, however seldom it is.
+    held = {r["word"]: r["n"] for r in top} | {END: ends[0]["n"] if ends else 0}
+    inside = sum(held[w] for w in ranked)
+    n_out, v_out = n_all - inside, v_all - sum(held[w] > 0 for w in ranked)
+    frequency = np.array([n_out + 0.5, *(held[w] + 0.5 for w in ranked)], float)
     model = train(learned, symbols, frequency) if n_all else None
     base_log, out_log = math.log10(n_all + 0.5 * (v_all + 1)), math.log10(n_out + 0.5 * (v_out + 1))
     sent = session.sparkContext.broadcast(({w.encode(): (symbols.get(w, 0), n) for w, n in held.items()}, model and model.p))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>"
+    shape = common.shape(rows, "held_out boolean, number long, n_tokens long, n_known long, base double, score double, rare array<string>")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, p = sent.value
@@ -270,7 +289,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, key: str
         place = {w: i for i, w in enumerate(names)}
         symbol, count = (np.array([known[w][k] for w in names], np.int64) for k in (0, 1))
         weight = np.log10(count + 0.5)
-        end = place.get(END.encode(), -1)
+        end = place[END.encode()]
         for batch in batches:
             texts, at, out = batch.column("text").to_pylist(), 0, []
             while at < len(texts):
@@ -285,12 +304,9 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, key: str
                     x = np.array([*(place.get(w, -1) for w in words), end], np.int64)
                     rare = [w.decode() for w, i in zip(words, x) if i < 0]
                     have = x[x >= 0]
-                    s = np.where(x >= 0, symbol[x], 0) if len(names) else np.zeros(len(x), np.int64)
-                    if end < 0:
-                        s[-1] = 1
+                    s = np.where(x >= 0, symbol[x], 0)
                     outside = int((s == 0).sum())
-                    lone = math.log10(0.5) if end < 0 else 0.0  # the end, where no training document has one
-                    base = float(weight[have].sum()) + lone
+                    base = float(weight[have].sum())
                     inner = float(weight[have[symbol[have] == 0]].sum())
                     values.append((len(x), int((count[have] > 0).sum()), base - len(x) * base_log, inner - outside * out_log, rare))
                     ids.append(s)
@@ -298,16 +314,16 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, key: str
                 out += [(*v[:3], v[3] + x, v[4]) for v, x in zip(values, like.tolist())]
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()))
             columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(columns, types))], names=[x.split()[0] for x in shape.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("number"), *(pa.array(c, t) for c, t in zip(columns, types))], names=shape.names)
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(~F.col("learns"), F.lit(False)).alias("held_out"), "text")
+    numbered = rows.select(F.monotonically_increasing_id().alias("number"), "doc_id", F.coalesce(~F.col("learns"), F.lit(False)).alias("held_out"), "text")
     scored = common.cut(numbered.mapInArrow(score, shape), "scored")
     # Words that no task holds: their counts are joined, word by word, and summed for each text.
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    found = rare.join(counts, "word", "left").groupBy("row").agg(
+    rare = scored.select("number", F.explode("rare").alias("word")).groupBy("number", "word").agg(F.count("*").alias("times"))
+    found = rare.join(counts, "word", "left").groupBy("number").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("weight"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known")
     )
-    whole = scored.drop("rare").join(found, "row", "left")
+    whole = scored.drop("rare").join(found, "number", "left")
     more = F.coalesce("weight", F.lit(0.0))
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),

@@ -49,14 +49,27 @@ def backward(d: np.ndarray, states: np.ndarray, saved, u: np.ndarray, h0: np.nda
     dx, dg = np.empty((*d.shape[:2], 3 * size), np.float32), np.empty((*d.shape[:2], 3 * size), np.float32)
     dh = np.zeros_like(h0)
     before = np.concatenate([h0[None], states[:-1]])
+    # What does not depend on dh, for all steps at once.
+    r, z = gates[..., :size], gates[..., size:]
+    to_new = 1 - new * new
+    to_new *= 1 - z
+    to_reset = own * r
+    to_reset *= 1 - r
+    to_update = before - new
+    to_update *= z
+    to_update *= 1 - z
+    back = np.ascontiguousarray(u.T)
     for t in range(steps - 1, -1, -1):
-        dh = (dh + d[t]) * mask[t][:, None]
-        r, z = gates[t, :, :size], gates[t, :, size:]
-        dn = dh * (1 - z) * (1 - new[t] * new[t])
-        dx[t, :, :size] = dg[t, :, :size] = dn * own[t] * r * (1 - r)
-        dx[t, :, size : 2 * size] = dg[t, :, size : 2 * size] = dh * (before[t] - new[t]) * z * (1 - z)
-        dx[t, :, 2 * size :], dg[t, :, 2 * size :] = dn, dn * r
-        dh = dh * z + dg[t] @ u.T
+        dh += d[t]
+        dh *= mask[t][:, None]
+        dn, g = dx[t, :, 2 * size :], dg[t]
+        np.multiply(dh, to_new[t], out=dn)
+        np.multiply(dn, to_reset[t], out=g[:, :size])
+        np.multiply(dh, to_update[t], out=g[:, size : 2 * size])
+        np.multiply(dn, r[t], out=g[:, 2 * size :])
+        dh *= z[t]
+        dh += g @ back
+    dx[..., : 2 * size] = dg[..., : 2 * size]
     return dx, before.reshape(-1, size).T @ dg.reshape(-1, 3 * size)
 
 

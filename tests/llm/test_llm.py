@@ -369,6 +369,15 @@ def test_language_model_scores(spark, sf_dir, monkeypatch, held):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_language_model_holds_the_end(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HELD", 3)
+    table = docs(spark, [" ".join(f"w{(k * j) % 97}" for j in range(400)) for k in range(12)])
+    want = brute_base({r.doc_id: r.text for r in table.collect()})
+    for r in language_model.score_documents(table).collect():
+        n, known, total, base = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and r.base_score == pytest.approx(base)
+
+
 def test_language_model_learns_from_every_training_document(spark, sf_dir, monkeypatch):
     models, cut = [], common.cut
     monkeypatch.setattr(common, "cut", lambda df, name="table": models.append(cut(df, name)) or models[-1] if name == "models" else cut(df, name))
