@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +14,13 @@ from pyspark.sql import functions as F
 from . import common
 from .word_counts import HELD, word_counts
 
-#: Size of the model: words, and n-grams of each length, of the highest counts; what is beyond backs off.
-WORDS, GRAMS = 60_000, 20_000
+#: Numbers that each task holds of the most frequent words, which are scored in the tasks; all other words are joined with
+#: their scores. The split changes no result.
+HELD_NUMBERS = 600_000
 #: Lengths of character n-grams, the longest first.
 LENGTHS = (5, 4, 3, 2, 1)
 #: Added to each count.
 ADDED = 0.1
-#: Words whose scores a worker remembers.
-REMEMBERED = 300_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -40,62 +40,6 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-class Model:
-    """Log frequencies of words and n-grams by language; every entry is a row of one matrix."""
-
-    def __init__(self, languages: list[str], words: dict[str, int], by_length: dict[int, dict[str, int]], matrix: np.ndarray, prior: np.ndarray):
-        self.languages, self.words, self.by_length, self.matrix, self.prior = languages, words, by_length, matrix, prior
-        self.seen: dict[str, int] = {}
-        self.table = np.zeros((1024, len(languages)))
-
-    def entries(self, word: str) -> list[int]:
-        """The rows whose mean is the score of a word: its own, or those of its known n-grams of the longest length of which
-        one is known; none where no character is known."""
-        own = self.words.get(word)
-        if own is not None:
-            return [own]
-        for n in LENGTHS:
-            known = [i for i in map(self.by_length.get(n, {}).get, grams(word, n)) if i is not None]
-            if known:
-                return known
-        return []
-
-    def backoff(self, words: list[str]) -> np.ndarray:
-        """Scores of words, a row each; zeros for one without entries."""
-        each = [self.entries(w) for w in words]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        out, some = np.zeros((len(words), len(self.languages))), sizes > 0
-        if some.any():
-            starts = np.cumsum(sizes) - sizes
-            flat = np.fromiter((i for e in each for i in e), np.int64, int(sizes.sum()))
-            out[some] = np.add.reduceat(self.matrix[flat], starts[some], axis=0) / sizes[some, None]
-        return out
-
-    def indices(self, words: list[str]) -> np.ndarray:
-        """Places of words in the table, which new words extend."""
-        new = [w for w in dict.fromkeys(words) if w not in self.seen]
-        if new:
-            first, last = len(self.seen), len(self.seen) + len(new)
-            if last > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(len(self.table), last), len(self.languages)))])
-            self.table[first:last] = self.backoff(new)
-            self.seen.update(zip(new, range(first, last)))
-        return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, its posterior); und where there is no letter or nothing was learned."""
-        words = letter_words(text or "")
-        if not words or not self.languages:
-            return "und", 0.0
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        at = self.indices(words)  # before the table is read, as new words extend it
-        score = self.prior + self.table[at].sum(0)
-        p = np.exp(score - score.max())
-        best = int(np.argmax(p))
-        return self.languages[best], float(p[best] / p.sum())
-
-
 def gram_counts(counts: DataFrame) -> DataFrame:
     """(word, label, n) of the n-grams of all LENGTHS of the words of counts, combined in the tasks before they shuffle."""
 
@@ -121,62 +65,100 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     return pieces.groupBy("word", "label").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, language: str = "lang", text: str = "text") -> Model:
-    """Learn from all rows whose language is not null. Counts cover every row; the model keeps the WORDS and GRAMS of the
-    highest counts, so what reaches the driver is bounded."""
-    # The columns are named anew: docs may have others of these names.
-    counts = common.cut(word_counts(rows.filter(F.col(language).isNotNull()), letter_words, language, text), "words")
-    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy("label").collect()}
-    languages = sorted(totals)
-    place = {x: i for i, x in enumerate(languages)}
-
-    def kept(df: DataFrame, limit: int) -> dict[str, np.ndarray]:
-        """Counts of the entries of the highest counts."""
-        totals = df.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"))
-        top = common.most_frequent(totals, "total", limit).collect()
-        c = np.full((len(top), len(languages)), ADDED)
-        for i, r in enumerate(top):
-            for x, n in r["by"].items():
-                c[i, place[x]] += n
-        return dict(zip([r["word"] for r in top], c))
-
-    def logs(counted: dict[str, np.ndarray], sums: np.ndarray) -> dict[str, int]:
-        """Put the entries into the matrix; their rows."""
-        first = sum(map(len, parts))
-        parts.append(np.log(np.array(list(counted.values())).reshape(-1, len(languages))) - np.log(sums + ADDED * len(counted)))
-        return {w: first + i for i, w in enumerate(counted)}
-
-    parts: list[np.ndarray] = []
-    all_words = np.array([totals[x] for x in languages], float)
-    words = logs(kept(counts, WORDS), all_words) if languages else {}
-    by_length = {}
-    if languages:
-        # n-grams of words count once for each occurrence of the word; the length of an n-gram tells its n.
-        gram = common.cut(gram_counts(counts).withColumn("length", F.length("word")), "grams")
-        sums = {(r["length"], r["label"]): r["n"] for r in gram.groupBy("length", "label").agg(F.sum("n").alias("n")).collect()}
-        for n in LENGTHS:
-            by_length[n] = logs(kept(gram.filter(F.col("length") == n), GRAMS), np.array([sums.get((n, x), 0) for x in languages], float))
-    prior = np.log((all_words + 1) / (all_words + 1).sum()) if languages else np.empty(0)
-    return Model(languages, words, by_length, np.concatenate(parts) if parts else np.zeros((0, 0)), prior)
+def log_frequencies(counts: DataFrame, languages: list[str]) -> DataFrame:
+    """(word, total, v): v is the log of (n + ADDED) / (all n + ADDED * distinct words) by language, from (word, label, n)."""
+    own = [F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)) for x in languages]
+    table = common.cut(counts.groupBy("word").agg(F.array(*own).alias("by")), "frequencies")
+    size, *sums = table.agg(F.count("*"), *[F.sum(F.col("by")[i]) for i in range(len(languages))]).head()
+    logs = [F.log((F.col("by")[i] + ADDED) / F.lit((n or 0) + ADDED * size)) for i, n in enumerate(sums)]
+    return table.select("word", sum((F.col("by")[i] for i in range(1, len(languages))), F.col("by")[0]).alias("total"), F.array(*logs).alias("v"))
+
+
+def backoff(words: DataFrame, by_length: dict[int, DataFrame], width: int) -> DataFrame:
+    """(word, v) of distinct unseen words: the mean over their known n-grams, repeats included, of the longest length of which
+    one is known. Words for which a length knows nothing go on to the next."""
+    found = None
+    for n in LENGTHS:
+        gram = F.expr(f"transform(sequence(1, char_length(word) + 3 - {n}), i -> substring(concat('<', word, '>'), i, {n}))")
+        parts = words.filter(F.char_length("word") + 2 >= n).select(F.col("word").alias("of"), F.explode(gram).alias("word"))
+        own = parts.join(by_length[n], "word").groupBy("of").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(width)]).alias("v"))
+        own = common.cut(own.withColumnRenamed("of", "word"), "backed_off")
+        found = own if found is None else found.unionByName(own)
+        words = common.cut(words.join(own.select("word"), "word", "left_anti"), "unseen")
+        if not words.head(1):
+            break
+    return found
+
+
+class Learned:
+    """What was learned: languages, log prior, and tables (word, total, v) of words and of n-grams by length."""
+
+    def __init__(self, rows: DataFrame, language: str = "lang", text: str = "text"):
+        # The columns are named anew: docs may have others of these names.
+        counts = common.cut(word_counts(rows.filter(F.col(language).isNotNull()), letter_words, language, text), "words")
+        totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        self.languages = sorted(totals)
+        if self.languages:
+            n = np.array([totals[x] for x in self.languages], float)
+            self.prior = np.log((n + 1) / (n + 1).sum())
+            self.words = log_frequencies(counts, self.languages)
+            # n-grams of words count once for each occurrence of the word; the length of an n-gram tells its n.
+            gram = common.cut(gram_counts(counts), "grams")
+            self.by_length = {n: log_frequencies(gram.filter(F.char_length("word") == n), self.languages) for n in LENGTHS}
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs, without a shuffle of texts.
 
+    Words are runs of letters (category L) in lower case. A word of the training texts scores its log frequency in each
+    language, any other the mean log frequency of its n-grams of the longest length of which one is known; a text scores the
+    prior and the sum of its words, and score is the posterior of the best language. Counts cover all training texts and whole
+    texts, very long ones too. The most frequent words are scored in the tasks, the others are joined, word by word.
+
     Learns from the rows that common.learns picks and whose language is not null; a null doc_id is in no fold and is neither
     learned from nor held out. Null and empty texts, and those without a letter, are und with score 0, as is every text where
-    nothing was learned. Repeated rows give repeated rows; other columns are left out.
+    nothing was learned. Languages that tie go by code point. Repeated rows give repeated rows, an empty table no rows; other
+    columns are left out.
     """
-    learned = docs.filter(F.coalesce(common.learns(key, folds, held_out), F.lit(False)))
-    model = train(learned, language, text)
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.by_length, model.matrix, model.prior))
+    learned = Learned(docs.filter(F.coalesce(common.learns(key, folds, held_out), F.lit(False))), language, text)
     rows = common.texts(docs, key, text).withColumn("held_out", F.coalesce(~common.learns("doc_id", folds, held_out), F.lit(False)))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value)
+    width = len(learned.languages)
+    if not width:
+        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    top = common.most_frequent(learned.words, "total", HELD_NUMBERS // width).select("word", "v").toArrow()
+    matrix = np.array(top.column("v").combine_chunks().flatten(), float).reshape(-1, width) if top.num_rows else np.zeros((0, width))
+    sent = docs.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), matrix))
+    shape = common.shape(rows, "held_out boolean, number long, n_words long, v array<double>, rare array<string>, times array<long>")
+
+    def held_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table = sent.value
+        place = {w: i for i, w in enumerate(names)}
+        table = np.vstack([table, np.zeros(width)])  # the last row is for words that are not held
         for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+            n, sums, rare, times = [], [], [], []
+            for t in batch.column("text"):
+                words = letter_words(t.as_py())
+                at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+                other = Counter(words[i] for i in np.flatnonzero(at < 0))
+                n.append(len(words))
+                sums.append(table[at].sum(0))
+                rare.append(list(other))
+                times.append(list(other.values()))
+            fresh = [pa.array(x, k) for x, k in ((n, pa.int64()), (map(np.ndarray.tolist, sums), pa.list_(pa.float64())), (rare, pa.list_(pa.string())), (times, pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "number")), *fresh], names=shape.names)
+
+    numbered = rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("number"), "text")
+    scored = common.cut(numbered.mapInArrow(held_words, shape), "scored")
+    rare = scored.select("number", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("number", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    distinct = common.cut(rare.select("word").distinct().join(learned.words.select("word", "v"), "word", "left"), "rare_words")
+    known, unseen = distinct.filter("v IS NOT NULL"), distinct.filter("v IS NULL").select("word")
+    table = known.unionByName(backoff(unseen, learned.by_length, width)) if unseen.head(1) else known
+    more = rare.join(table, "word").groupBy("number").agg(*[F.sum(F.col("times") * F.col("v")[i]).alias(f"more{i}") for i in range(width)])
+    score = F.array(*[F.col("v")[i] + F.coalesce(f"more{i}", F.lit(0.0)) + float(learned.prior[i]) for i in range(width)])
+    best = F.array_max("scores")
+    posterior = 1 / F.aggregate("scores", F.lit(0.0), lambda total, x: total + F.exp(x - best))
+    names = F.array(*map(F.lit, learned.languages))
+    return scored.join(more, "number", "left").withColumn("scores", score).select(
+        "doc_id", "held_out", F.when(F.col("n_words") > 0, F.element_at(names, F.array_position("scores", best).cast("int"))).otherwise("und").alias("lang_pred"),
+        F.when(F.col("n_words") > 0, posterior).otherwise(0.0).alias("score"),
+    )

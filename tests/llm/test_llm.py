@@ -76,24 +76,41 @@ def test_language_of_held_out_rows(spark):
     assert all(zlib.crc32(str(k).encode()) % 4 == 2 for k, v in held.items() if v)
 
 
-def test_language_backoff(spark):
-    model = language_id.train(spark.createDataFrame([("the house is there", "en"), ("la maison est rouge", "fr")], "text string, lang string"))
-    assert model.predict("house")[0] == "en" and model.predict("maisonnette")[0] == "fr" and model.predict("12 !")[0] == "und"
-    brute = {n: {g: c for g, c in _gram_counts({"the": 1, "house": 1, "is": 1, "there": 1}, n).items()} for n in (1, 3)}
-    for n, counts in brute.items():
-        total, size = sum(counts.values()), len(model.by_length[n])
-        for g, c in counts.items():
-            assert model.matrix[model.by_length[n][g], 0] == pytest.approx(math.log((c + language_id.ADDED) / (total + language_id.ADDED * size)))
-
-
-def _gram_counts(words, n):
+def brute_languages(rows):
+    """Plain word-first backoff: (language, posterior) by doc_id of (doc_id, text, lang)."""
+    words = {k: re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (t or "").lower())) for k, t, _ in rows}
+    learned = [(k, x) for k, _, x in rows if x is not None and zlib.crc32(str(k).encode()) % 4 != 2]
+    names = sorted({x for k, x in learned if words[k]})
+    count = {n: {} for n in range(6)}  # 0: words
+    for k, x in learned:
+        for w in words[k]:
+            for n, e in [(0, w), *((n, g) for n in range(1, 6) for g in language_id.grams(w, n))]:
+                count[n].setdefault(e, dict.fromkeys(names, 0))[x] += 1
+    total = {n: {x: sum(c[x] for c in count[n].values()) for x in names} for n in count}
+    log = lambda n, e, x: math.log((count[n][e][x] + 0.1) / (total[n][x] + 0.1 * len(count[n])))
     out = {}
-    for w, c in words.items():
-        for g in language_id.grams(w, n):
-            out[g] = out.get(g, 0) + c
+    for k, own in words.items():
+        score = {x: math.log((total[0][x] + 1) / sum(v + 1 for v in total[0].values())) for x in names}
+        for w in own:
+            level, entries = (0, [w]) if w in count[0] else next((n, e) for n in (5, 4, 3, 2, 1) if (e := [g for g in language_id.grams(w, n) if g in count[n]]))
+            for x in names:
+                score[x] += sum(log(level, e, x) for e in entries) / len(entries)
+        best = max(names, key=lambda x: (score[x], [-ord(c) for c in x]))
+        out[k] = (best, 1 / sum(math.exp(score[x] - score[best]) for x in names)) if own else ("und", 0.0)
     return out
 
 
+@pytest.mark.parametrize("held", [language_id.HELD_NUMBERS, 80])
+def test_every_language_is_the_brute_one(spark, sf_dir, monkeypatch, held):
+    monkeypatch.setattr(language_id, "HELD_NUMBERS", held)
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(9001, "½ ² 12 Ⅷ ①", "en"), (9002, "zzqx ñandú ½x 3ème", None), (9003, "日本語 ไทย e\u0301", "fr")]
+    want = brute_languages(rows)
+    for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        assert (r.lang_pred, r.score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1], rel=1e-6))
+    assert want[9001] == ("und", 0.0)
+
+
 def test_language_edges(odd, empty):
     out = language_id.identify(odd).collect()
     assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
