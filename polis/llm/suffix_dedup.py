@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common, hashing
 
 #: Bytes of the gram that a window of the full length is found by.
 GRAM = 32
-#: Suffixes of one gram that are sorted together; the windows of a more frequent gram are grouped one by one.
+#: Suffixes of one gram that are sorted together; those of a more frequent gram are parted by longer grams first.
 LARGE = 2000
+#: Tasks over which the rows of one string are spread where they meet its first place.
+SALT = 16
 #: Bytes of text that a bucket of grams stands for, and open suffixes that a bucket sorts.
 BUCKET_BYTES, BUCKET_ROWS = 48_000_000, 60_000
 #: Bytes of text that are hashed at once.
@@ -25,6 +29,7 @@ SHALLOW = 16
 
 _PLACE = np.uint64((1 << 24) - 1)
 FOUND = "kind int, doc long, at long, lo int, hi int, key long, part binary"
+OPEN = "doc long, at long, lo int, hi int, key long, part binary"
 PLACES = "doc long, start long, stop long"
 
 
@@ -85,7 +90,7 @@ class Block:
             at = end
 
     def anchors(self, length: int, gram: int, size: int) -> dict[str, np.ndarray]:
-        """Anchors of the block in order; new is False where the same cover stands earlier in the block.
+        """Anchors of the block in order; new is False where the same cover stands earlier in the block, byte by byte.
 
         A longer text goes in parts of size bytes and the length - 1 after them, so each window starts in one part only.
         """
@@ -101,9 +106,15 @@ class Block:
                 parts.append((row, anchor + at, first + at, last + at, gram_hash, cover))
         out = dict(zip(("row", "anchor", "first", "last", "gram", "cover"), map(np.concatenate, zip(*parts)))) if parts else {}
         if out:
-            _, index = np.unique(out["cover"], return_index=True)
+            _, index, inverse = np.unique(out["cover"], return_index=True, return_inverse=True)
             out["new"] = np.zeros(len(out["row"]), bool)
             out["new"][index] = True
+            again = np.flatnonzero(~out["new"])
+            base = self.base[out["row"]]
+            row, lo, hi = out["row"].tolist(), (out["first"] - base).tolist(), (out["last"] - base + length).tolist()
+            for i, j in zip(again.tolist(), index[inverse[again]].tolist()):
+                if self.raw[row[i]][lo[i] : hi[i]] != self.raw[row[j]][lo[j] : hi[j]]:  # the hashes agree by chance
+                    out["new"][i] = True
         return out
 
 
@@ -164,7 +175,7 @@ def _repeated(large: int):
 
 
 def _open(length: int, gram: int, size: int):
-    """What a block knows of repeats: removed spans (kind 0), suffixes to sort (1) and windows of frequent grams (2)."""
+    """What a block knows of repeats: removed spans (kind 0), suffixes to sort (1) and suffixes of frequent grams (2)."""
 
     def of(table: pa.Table, known: pa.Table) -> pa.Table:
         shape = [("kind", pa.int32()), ("doc", pa.int64()), ("at", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.int64()), ("part", pa.binary())]
@@ -172,7 +183,7 @@ def _open(length: int, gram: int, size: int):
 
         def add(kind, doc, at, lo, hi, key, part=None):
             n = len(doc)
-            for k, v in enumerate((np.full(n, kind), doc, at, lo, hi, key)):
+            for k, v in enumerate((np.full(n, kind) if isinstance(kind, int) else kind, doc, at, lo, hi, key)):
                 out[k].append(v)
             out[6].extend(part if part is not None else [None] * n)
 
@@ -189,28 +200,11 @@ def _open(length: int, gram: int, size: int):
                 grams, hot = grams[order], hot[order]
                 at = np.minimum(np.searchsorted(grams, found["gram"]), len(grams) - 1)
                 again = found["new"] & (grams[at] == found["gram"])
-                is_hot = again & (hot[at] > 0)
-                i = np.flatnonzero(again & ~is_hot)
+                i = np.flatnonzero(again)
                 base = block.base[found["row"][i]]
                 lo, hi = found["first"][i] - base, found["last"][i] - base + length
                 part = [block.raw[r][a:b] for r, a, b in zip(found["row"][i].tolist(), lo.tolist(), hi.tolist())]
-                add(1, doc[i], found["anchor"][i], found["anchor"][i] - found["last"][i], found["anchor"][i] - found["first"][i], found["gram"][i].view(np.int64), part)
-                i = np.flatnonzero(is_hot)
-                if len(i):
-                    n = found["last"][i] - found["first"][i] + 1
-                    row = np.repeat(found["row"][i], n)
-                    start = np.repeat(found["first"][i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    key = np.empty(len(start), np.uint64)
-                    for r in np.unique(row):
-                        own = row == r if len(i) < 64 else slice(*np.searchsorted(row, [r, r + 1]))
-                        local = start[own] - block.base[r]
-                        key[own] = hashing.spans(hashing.prefixes(np.frombuffer(block.raw[r], np.uint8)), local, local + length)
-                    _, index = np.unique(key, return_index=True)
-                    first = np.zeros(len(key), bool)
-                    first[index] = True
-                    spans.append((block.doc[row[~first]], start[~first], start[~first] + length))
-                    none = np.zeros(first.sum(), np.int64)
-                    add(2, block.doc[row[first]], start[first], none, none, key[first].view(np.int64))
+                add(1 + (hot[at[i]] > 0), doc[i], found["anchor"][i], found["anchor"][i] - found["last"][i], found["anchor"][i] - found["first"][i], found["gram"][i].view(np.int64), part)
             a, b, c = _joined(*map(np.concatenate, zip(*spans)))
             add(0, a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), c)
         arrays = [pa.array(np.concatenate(c) if c else [], t) for c, (_, t) in zip(out[:6], shape)]
@@ -219,6 +213,57 @@ def _open(length: int, gram: int, size: int):
     return of
 
 
+def _longer(length: int, gram: int, whole: bool):
+    """Suffixes of a gram as suffixes of longer grams: of about half of what the windows hold beside the gram, on its left for
+    windows that start far before the anchor and on its right for the others; or, whole, as single windows."""
+    left = (length - gram) // 2
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, at, lo, hi, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "at", "lo", "hi", "part"))):
+                ranges = [(d, d) for d in range(lo, hi + 1)] if whole else [(max(lo, left), hi), (lo, min(hi, left - 1))]
+                for a, b in ranges:
+                    if a <= b:
+                        if whole:
+                            known = part[hi - a : hi - a + length]
+                        else:
+                            known = b"<" + part[hi - left : hi + gram] if a >= left else b">" + part[hi : hi + length - left + 1]
+                        rows.append((doc, at, a, b, xxhash.xxh3_64_intdigest(known) - (1 << 63), part[hi - b : hi - a + length]))
+            columns = list(zip(*rows)) or [()] * 6
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc", "at", "lo", "hi", "key", "part"])
+
+    return split
+
+
+def _parted(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(suffixes to sort, removed spans) of the suffixes of frequent grams.
+
+    Suffixes whose windows are the same bytes keep only the first of them; what is left of a gram goes to the sort, by longer
+    grams where it is still too much for a task, and in the end by whole windows, which the first step settles alone.
+    """
+    ready, gone = None, []
+    for level in range(3):
+        same = ["key", "lo", "hi", "part"]
+        first = common.cut(rows.groupBy(*same).agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")), "first")
+        # A frequent string has one first place, given to each of the tasks that its rows are spread over.
+        salted = first.filter("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALT)).cast("int")).join(salted, [*same, "salt"])
+        later = met.filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
+        gone.append(later.select("doc", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("stop")))
+        distinct = first.select("first.doc", "first.at", "lo", "hi", "key", "part")
+        sizes = distinct.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        sized = common.cut(distinct.join(sizes, "key"), "sized")
+        own = sized.filter(F.col("size") <= LARGE).drop("size").select("doc", "at", "lo", "hi", "key", "part")
+        ready = own if ready is None else ready.unionByName(own)
+        rows = sized.filter(F.col("size") > LARGE)
+        if level == 2 or not rows.head(1):
+            break
+        rows = common.cut(rows.select("doc", "at", "lo", "hi", "part").mapInArrow(_longer(length, gram, level == 1), OPEN), "longer")
+    return ready, gone
+
+
 def _common(a: bytes, b: bytes, at: int) -> int:
     """Length of the common prefix of strings of one length, which agree before at."""
     end = len(a)
@@ -351,11 +396,13 @@ def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = GRAM, key:
     in the same one. Strings are judged on the input and never cross documents. Spans are the maximal removed runs.
 
     Blocks of documents find the anchor gram of each window; grams that stand once in the corpus can't be part of a repeat and
-    stay where they are. The suffixes at repeated anchors, forwards and backwards, are sorted bucket by bucket; the windows of
-    grams more frequent than LARGE are grouped by their own hashes, so no task holds a frequent gram. Texts move three times.
+    stay where they are. The suffixes at repeated anchors, forwards and backwards, are sorted bucket by bucket. Of the suffixes
+    of a gram more frequent than LARGE, those of equal bytes first keep only their first, and longer grams part the rest, so no
+    task holds a frequent gram. Hashes only bring candidates together: every removed string is compared byte by byte.
 
     Null text is empty. Rows without doc_id come after all others, in the order of their text's hash. Rows of one doc_id are
-    parts of one document, in the order of their bytes. An empty table gives no rows.
+    parts of one document, in the order of their bytes. Very long texts go in parts, and matches cross these. An empty table
+    gives no rows; other columns, whatever their names, are left out or carried.
     """
     if not 0 < gram < length:
         raise ValueError("gram must be shorter than length")
@@ -367,21 +414,23 @@ def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = GRAM, key:
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n, buckets = max(1, -(-total // common.BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
     block = F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int").alias("block")
-    blocked = rows.select("doc", "text", block)
+    blocked = rows.select("doc", "text", block).repartition(n, "block")
     grams = blocked.groupBy("block").applyInArrow(_grams(length, gram, buckets, PART_BYTES), "bucket int, block int, grams binary, counts binary")
-    known = grams.groupBy("bucket").applyInArrow(_repeated(LARGE), "block int, grams binary, hot binary")
-    found = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_open(length, gram, PART_BYTES), FOUND)
+    known = grams.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated(LARGE), "block int, grams binary, hot binary")
+    found = blocked.groupBy("block").cogroup(known.repartition(n, "block").groupBy("block")).applyInArrow(_open(length, gram, PART_BYTES), FOUND)
     found = common.cut(found, "suffixes")
-    n_open = found.filter("kind = 1").count()
-    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n_open // BUCKET_ROWS)))).alias("bucket")
-    settled = found.filter("kind = 1").select("doc", "at", "lo", "hi", "key", "part", bucket).groupBy("bucket").applyInArrow(_settled(length, gram, SHALLOW), PLACES)
-    first = F.row_number().over(Window.partitionBy("key").orderBy("doc", "at"))
-    frequent = found.filter("kind = 2").select("key", "doc", "at", first.alias("n")).filter("n > 1").select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-    gone = found.filter("kind = 0").select("doc", F.col("at").alias("start"), F.col("key").alias("stop")).unionByName(settled).unionByName(frequent)
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = T.StructType.fromDDL(f"doc_id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
-    shape = shape.add("row", rows.schema["row"].dataType) if carry else shape
+    suffixes, gone = found.filter("kind = 1").select("doc", "at", "lo", "hi", "key", "part"), [found.filter("kind = 0").select("doc", F.col("at").alias("start"), F.col("key").alias("stop"))]
+    frequent = found.filter("kind = 2")
+    if frequent.head(1):
+        ready, later = _parted(frequent.select("doc", "at", "lo", "hi", "key", "part"), length, gram)
+        suffixes, gone = suffixes.unionByName(ready), gone + later
+    n_buckets = max(1, -(-suffixes.count() // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(n_buckets)).alias("bucket")
+    gone.append(suffixes.select("*", bucket).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_settled(length, gram, SHALLOW), PLACES))
+    spans = gone[0]
+    for other in gone[1:]:
+        spans = spans.unionByName(other)
+    shape = common.shape(rows, "n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
         held = Block(table)
@@ -405,5 +454,5 @@ def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = GRAM, key:
             columns, names = [*columns, table.column("row").take(order)], [*names, "row"]
         return pa.table(columns, names=names)
 
-    whole = rows.select("*", block).groupBy("block")
-    return whole.cogroup(gone.select("*", block).groupBy("block")).applyInArrow(finish, shape)
+    whole = rows.select("*", block).repartition(n, "block").groupBy("block")
+    return whole.cogroup(spans.select("*", block).repartition(n, "block").groupBy("block")).applyInArrow(finish, shape)

@@ -233,6 +233,16 @@ def test_removed_bytes_match_brute_force(spark, sf_dir, monkeypatch, large, bloc
     assert got == want
 
 
+def test_one_gram_in_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LARGE", 5)
+    r = np.random.default_rng(3)
+    letters = lambda n: r.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    middle, sides = letters(40), [letters(70) for _ in range(6)]
+    texts = {k + 1: letters(9) + sides[r.integers(6)][-int(r.integers(5, 70)) :] + middle + sides[r.integers(6)][: int(r.integers(5, 70))] + letters(9) for k in range(150)}
+    got = {r.doc_id: (bytes(r.kept), len(r.spans)) for r in suffix_dedup.dedup_substrings(docs(spark, [texts[k] for k in sorted(texts)])).collect()}
+    assert got == brute_removed(texts, 100) and sum(n for _, n in got.values()) > 50
+
+
 def test_removed_bytes_of_periodic_texts(spark):
     texts = {1: "ab" * 300, 2: "x" + "ab" * 60, 3: "é" * 130, 4: "q" * 99, 5: "q" * 99, 6: "q" * 100, 7: "q" * 101}
     got = {r.doc_id: (bytes(r.kept), len(r.spans)) for r in suffix_dedup.dedup_substrings(docs(spark, [texts[k] for k in sorted(texts)])).collect()}
