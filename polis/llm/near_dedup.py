@@ -22,6 +22,9 @@ DEPTHS = (3, 5, 8, 12)
 NODE, BLOCK = 512, 256
 #: Recall of all depths together for a pair at the threshold itself, over the choice of trees and of minwise tokens.
 RECALL = 0.9999
+#: Representatives of a large class that each of its sets is compared with in a round, and the share of the sets that a round
+#: must settle for another to follow.
+REPRESENTATIVES, SETTLED = 16, 0.25
 #: Columns of shingles that a block's comparison holds at once.
 COLUMNS = 4096
 
@@ -108,8 +111,8 @@ def alike(sketch: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], numerator: int, denominator: int) -> np.ndarray:
-    """Which sets have denominator * intersection >= numerator * union, from their full sizes and intersections."""
+def overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(intersection sizes, union sizes) of all sets with one another."""
     owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.full(len(count), -1)
@@ -122,7 +125,13 @@ def linked(sets: list[np.ndarray], numerator: int, denominator: int) -> np.ndarr
         m[owner[part], column[part] - at] = 1
         common_size += m @ m.T
     size = np.array(list(map(len, sets)), np.float64)
-    return denominator * common_size >= numerator * (size[:, None] + size[None, :] - common_size)
+    return common_size, size[:, None] + size[None, :] - common_size
+
+
+def linked(sets: list[np.ndarray], numerator: int, denominator: int) -> np.ndarray:
+    """Which sets have denominator * intersection >= numerator * union, from their full sizes and intersections."""
+    both, either = overlaps(sets)
+    return denominator * both >= numerator * either
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -224,11 +233,13 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     Two documents are linked when denominator * |A & B| >= numerator * |A | B| for their sets of word shingles; component_id
     is the smallest doc_id that links lead to. Equal sets are collapsed first. Trees of chosen minwise tokens bring alike
     sets together with a recall of RECALL for a pair at the threshold, in large nodes too, candidate classes are the connected sets, and within a
-    class the full sets decide every link. A class of more than NODE sets is compared in pairs of blocks of BLOCK sets, each
-    pair a group of its own, so no task holds a whole class.
+    class the full sets decide every link. A class of more than NODE sets is first compared with representatives: sets linked to
+    one form its ball, and by the triangle inequality of the Jaccard distance a ball need only meet the sets within twice the
+    distance of a link. What no ball takes is compared in pairs of blocks of BLOCK sets; no task holds a whole class.
 
     Null and empty texts, and those without words, have no shingles and are linked with nothing. A null doc_id takes part in
-    no link and keeps a null component. Repeated rows give repeated rows. Other columns are left out.
+    no link and keeps a null component. Very long texts have all their shingles. Repeated rows give repeated rows; an empty
+    table gives no rows; other columns are left out.
     """
     rows = common.texts(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     shape = "doc_id long, n_shingles long, print binary, sketch binary"
@@ -259,33 +270,105 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
 
 def _links(rows: DataFrame, members: DataFrame, numerator: int, denominator: int, words: int) -> DataFrame:
     """A spanning forest of the links within each candidate class."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    placed = members.join(sizes, "component").withColumn("blocks", F.when(F.col("n") > NODE, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = common.cut(members.groupBy("component").agg(F.count("*").alias("n")), "class_sizes")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "blocks", "block", "id")), pa.array(sets, pa.binary())], names=["component", "blocks", "block", "id", "shingles"])
-
-    texts = rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id").join(placed.hint("merge"), "id").select("component", "blocks", "block", "id", "text")
-    sets = texts.mapInArrow(full, "component long, blocks int, block int, id long, shingles binary")
-    # A block meets every block of its class, itself included, in a group (component, lo, hi).
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = sets.select("component", "block", "id", "shingles", other)
-    pairs = pairs.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "shingles")
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array(sets, pa.binary())], names=["component", "id", "shingles"])
+
+    texts = rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
+
+    def sets_of(classes: DataFrame) -> DataFrame:
+        own = texts.join(members.join(classes.select("component"), "component").hint("merge"), "id").select("component", "id", "text")
+        return own.mapInArrow(full, "component long, id long, shingles binary")
+
+    zero = [F.lit(0).alias(c) for c in ("ball", "lo", "hi", "side")]
+    pairs = sets_of(sizes.filter(F.col("n") <= NODE)).select("component", *zero, "id", "shingles")
+    edges = []
+    large = sizes.filter(F.col("n") > NODE)
+    if large.head(1):
+        left = common.cut(sets_of(large).dropDuplicates(["component", "id"]), "large_classes")
+        left, edges, more = _balls(left, numerator, denominator)
+        for p in more:
+            pairs = pairs.unionByName(p)
+        # A block meets every block of what is left of its class, itself included, in a group (component, lo, hi).
+        placed = left.join(left.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "component")
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = pairs.unionByName(placed.select("component", F.lit(-1).alias("ball"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.lit(0).alias("side"), "id", "shingles"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
-            for group in _grouped(batches, 3):
-                ids = group.column("id").to_pylist()
-                held = dict(zip(ids, group.column("shingles")))  # repeated rows once
-                ids = list(held)
-                yes = linked([np.frombuffer(s.as_py(), np.uint64) for s in held.values()], numerator, denominator)
+            for group in _grouped(batches, 4):
+                held = dict(zip(group.column("id").to_pylist(), zip(group.column("shingles"), group.column("side").to_pylist())))  # repeated rows once
+                ids, side = list(held), np.array([v[1] for v in held.values()])
+                yes = linked([np.frombuffer(v[0].as_py(), np.uint64) for v in held.values()], numerator, denominator)
+                if side.any():  # a ball and those near it: links within either are known or found elsewhere
+                    yes &= side[:, None] != side[None, :]
                 for i, j in _spanning(yes):
                     yield ids[i], ids[j]
 
         return _in_turn(each())
 
-    key = ["component", "lo", "hi"]
-    return pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(decide, EDGE)
+    key = ["component", "ball", "lo", "hi"]
+    found = pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(decide, EDGE)
+    for e in edges:
+        found = found.unionByName(e)
+    return found
+
+
+def _balls(left: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(sets that no ball takes, links to representatives, (component, ball, lo, hi, side, id, shingles) that balls must meet)
+    of the sets (component, id, shingles) of large classes.
+
+    A set belongs to the ball of its first representative that it is linked to. A later set whose distance to that
+    representative is over twice that of a link can't be linked to the ball. Rounds go on while they settle SETTLED of the sets.
+    """
+    near = 2 * numerator - denominator
+
+    def assess(own: pa.Table, reps: pa.Table) -> pa.Table:
+        reps = reps.sort_by("rep")
+        ids, n = own.column("id").to_pylist(), own.num_rows
+        both, either = overlaps([np.frombuffer(x.as_py(), np.uint64) for c in (own, reps) for x in c.column("shingles")])
+        both, either = both[:n, n:], either[:n, n:]
+        link, close = denominator * both >= numerator * either, denominator * both >= near * either
+        names = reps.column("id").to_pylist()
+        ball = np.where(link.any(1), link.argmax(1), -1)
+        rings = [[r for r in np.flatnonzero(close[i]).tolist() if ball[i] < 0 or r < ball[i]] for i in range(n)]
+        numbers = reps.column("rep").to_pylist()
+        return pa.table(
+            [own.column("component"), pa.array(ids, pa.int64()), pa.array([numbers[b] if b >= 0 else -1 for b in ball], pa.int32()), pa.array([names[b] if b >= 0 else None for b in ball], pa.int64()), pa.array([[numbers[r] for r in x] for x in rings], pa.list_(pa.int32()))],
+            names=["component", "id", "ball", "center", "rings"],
+        )
+
+    edges, meetings, turn = [], [], 0
+    while True:
+        sizes = common.cut(left.groupBy("component").agg(F.count("*").alias("n")), "class_sizes")
+        if not sizes.filter(F.col("n") > NODE).head(1):
+            return left, edges, meetings
+        parts = F.ceil(F.col("n") / BLOCK).cast("int")
+        numbered = left.select("component", "id", F.xxhash64("id", F.lit(turn)).alias("h"))
+        first = numbered.groupBy("component", F.pmod("h", F.lit(REPRESENTATIVES)).cast("int").alias("rep")).agg(F.min_by("id", "h").alias("id"))
+        # Numbers of representatives tell rounds apart.
+        reps = first.join(left, ["component", "id"]).join(sizes, "component").withColumn("rep", F.col("rep") + turn * REPRESENTATIVES).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+        reps = common.cut(reps, "representatives")
+        own = left.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("int")).drop("n")
+        out = own.groupBy("component", "part").cogroup(reps.groupBy("component", "part")).applyInArrow(assess, "component long, id long, ball int, center long, rings array<int>")
+        out = common.cut(out, "balls")
+        edges.append(out.filter("ball >= 0 AND id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")))
+        inside, around = out.filter("ball >= 0").select("component", "ball", "id"), out.select("component", F.explode("rings").alias("ball"), "id")
+        blocks = lambda df, name: df.groupBy("component", "ball").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        counts = common.cut(blocks(inside, "n0").join(blocks(around, "n1"), ["component", "ball"]), "meetings")
+
+        def side(df: DataFrame, k: int) -> DataFrame:
+            mine, others = (("lo", "n0"), ("hi", "n1"))[:: 1 - 2 * k]
+            df = df.join(counts, ["component", "ball"]).withColumn(mine[0], F.pmod(F.xxhash64("id"), F.col(mine[1])).cast("int"))
+            return df.withColumn(others[0], F.explode(F.sequence(F.lit(0), F.col(others[1]) - 1))).withColumn("side", F.lit(k))
+
+        met = side(inside, 0).unionByName(side(around, 1))
+        meetings.append(met.join(left.select("id", "shingles"), "id").select("component", "ball", "lo", "hi", "side", "id", "shingles"))
+        rest = common.cut(left.join(out.filter("ball < 0").select("id"), "id", "left_semi").select("component", "id", "shingles"), "left")
+        before, after = (df.agg(F.count("*")).head()[0] for df in (left, rest))
+        left, turn = rest, turn + 1
+        if after > (1 - SETTLED) * before:
+            return left, edges, meetings

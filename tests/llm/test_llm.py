@@ -139,6 +139,24 @@ def test_large_classes_are_compared_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, texts)).collect()} == want
 
 
+@pytest.mark.parametrize("settled", [0.0, 0.25, 0.99])
+def test_balls_of_large_classes_lose_no_link(spark, monkeypatch, settled):
+    for name, value in (("NODE", 8), ("BLOCK", 4), ("REPRESENTATIVES", 3), ("SETTLED", settled)):
+        monkeypatch.setattr(near_dedup, name, value)
+    r = np.random.default_rng(5)
+    base, texts = [f"w{k}" for k in range(80)], []
+    for family in range(3):  # chains of texts that drift away from one another
+        own = [f"f{family}" if k % 27 == 0 else w for k, w in enumerate(base)]
+        for _ in range(25):
+            own = own.copy()
+            own[int(r.integers(80))] = f"x{int(r.integers(10**6))}"
+            texts.append(" ".join(own))
+            if r.random() < 0.4:
+                own = texts[-int(r.integers(1, 5))].split() if len(texts) > 5 else own
+    want = brute_components({k + 1: t for k, t in enumerate(texts)}, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, texts)).collect()} == want
+
+
 def test_pairs_at_the_threshold_in_large_nodes_are_found(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "NODE", 300)
     r, n = np.random.default_rng(1), 4000
