@@ -277,18 +277,18 @@ def _links(rows: DataFrame, members: DataFrame, numerator: int, denominator: int
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array(sets, pa.binary())], names=["component", "id", "shingles"])
 
-    texts = rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
-
-    def sets_of(classes: DataFrame) -> DataFrame:
-        own = texts.join(members.join(classes.select("component"), "component").hint("merge"), "id").select("component", "id", "text")
-        return own.mapInArrow(full, "component long, id long, shingles binary")
+    def sets_of(own: DataFrame) -> DataFrame:
+        return own.select("component", "id", "text").mapInArrow(full, "component long, id long, shingles binary")
 
+    # Texts move once, to their classes; what follows works on the members' alone.
+    texts = rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
+    own = common.cut(texts.join(members.join(sizes, "component").hint("merge"), "id").select("component", "id", "n", "text"), "member_texts")
     zero = [F.lit(0).alias(c) for c in ("ball", "lo", "hi", "side")]
-    pairs = sets_of(sizes.filter(F.col("n") <= NODE)).select("component", *zero, "id", "shingles")
+    pairs = sets_of(own.filter(F.col("n") <= NODE)).select("component", *zero, "id", "shingles")
     edges = []
-    large = sizes.filter(F.col("n") > NODE)
+    large = own.filter(F.col("n") > NODE)
     if large.head(1):
-        left = common.cut(sets_of(large).dropDuplicates(["component", "id"]), "large_classes")
+        left = common.cut(sets_of(large), "large_classes")
         left, edges, more = _balls(left, numerator, denominator)
         for p in more:
             pairs = pairs.unionByName(p)
@@ -354,7 +354,7 @@ def _balls(left: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame
         reps = common.cut(reps, "representatives")
         own = left.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("int")).drop("n")
         out = own.groupBy("component", "part").cogroup(reps.groupBy("component", "part")).applyInArrow(assess, "component long, id long, ball int, center long, rings array<int>")
-        out = common.cut(out, "balls")
+        out = common.cut(out.distinct(), "balls")  # repeated rows of one id agree, or are told apart no more
         edges.append(out.filter("ball >= 0 AND id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")))
         inside, around = out.filter("ball >= 0").select("component", "ball", "id"), out.select("component", F.explode("rings").alias("ball"), "id")
         blocks = lambda df, name: df.groupBy("component", "ball").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
