@@ -22,13 +22,13 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return rows.filter("a <> b").groupBy("a", "b").agg(F.min("cost").alias("cost"))
 
 
-def nearest_source(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:
+def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, source, cost, parent): for each node the source that is reached cheapest, ties to the smaller source, then the
     smaller parent. sources: (node, cost), where to start and at what initial cost. Costs are whole numbers."""
     edges = _cut(both_ways(edges))
     best = sources.select("node", F.col("cost").cast("long").alias("cost"), F.col("node").alias("source"), F.lit(None).cast("long").alias("parent"))
     best = _cut(best.withColumn("fresh", F.lit(True)))
-    for _ in range(rounds):
+    while True:
         step = best.filter("fresh").join(edges.select(F.col("a").alias("node"), F.col("b").alias("to"), F.col("cost").alias("more")), "node")
         step = step.select(F.col("to").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), "source", F.col("node").alias("parent"), F.lit(True).alias("fresh"))
         key = F.struct("cost", "source", F.coalesce("parent", F.lit(-1)).alias("p"))
@@ -40,11 +40,22 @@ def nearest_source(edges: DataFrame, sources: DataFrame, rounds: int = 1000) ->
     return best.select("node", "source", "cost", "parent")
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
+    """(source, node, cost): the cheapest way from each source to each node within limit. Only ways that became cheaper go on."""
+    steps = _cut(both_ways(edges).select(F.col("a").alias("node"), F.col("b").alias("to"), F.col("cost").alias("more")))
+    best = _cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("cost"), F.lit(True).alias("fresh")))
+    while best.filter("fresh").head(1):
+        onward = best.filter("fresh").join(steps, "node").select("source", F.col("to").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), F.lit(True).alias("fresh")).filter(F.col("cost") <= limit)
+        both = best.withColumn("fresh", F.lit(False)).unionByName(onward)
+        best = _cut(both.groupBy("source", "node").agg(F.min(F.struct("cost", "fresh")).alias("m")).select("source", "node", "m.*"))
+    return best.drop("fresh")
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node is connected with, by label passing with pointer jumps."""
     pairs = _cut(both_ways(edges.select("a", "b", F.lit(1).alias("cost"))).select("a", "b"))
     label = _cut(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(rounds):
+    while True:
         near = pairs.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         now = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         up = now.select(F.col("node").alias("component"), F.col("component").alias("top"))
@@ -52,7 +63,6 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFr
         if not now.join(label.withColumnRenamed("component", "old"), "node").filter("component <> old").head(1):
             return now
         label = now
-    return label
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -61,11 +71,11 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(count, "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("degree"))
 
 
-def route_cost(tree: DataFrame, leaves: DataFrame, rounds: int = 1000) -> DataFrame:
+def route_cost(tree: DataFrame, leaves: DataFrame) -> DataFrame:
     """(leaf, hops, cost) of each leaf's way up the parents of a tree (node, parent, cost) to its root."""
     parents = tree.select("node", "parent")
     at = _cut(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("hops")))
-    for _ in range(rounds):
+    while True:
         up = at.join(parents, "node", "left")
         at = _cut(up.select("leaf", F.coalesce("parent", "node").alias("node"), (F.col("hops") + F.col("parent").isNotNull().cast("long")).alias("hops"), F.col("parent").isNotNull().alias("moved")))
         if not at.filter("moved").head(1):

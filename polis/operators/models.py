@@ -70,3 +70,11 @@ def quarantine(df: DataFrame, by: str, value: str, times: float) -> DataFrame:
     """df with suspect: the value is over `times` the group's median. The medians, a row for each group, join back."""
     medians = df.groupBy(by).agg(F.percentile(value, 0.5).alias("__m"))
     return df.join(medians, by).withColumn("suspect", F.col(value) > times * F.col("__m")).drop("__m")
+
+
+def geometric_transfer(df: DataFrame, by: str, value: str, base: str, least: int, bias: float) -> DataFrame:
+    """(by, n, factor, verdict): the geometric mean of value / base of groups of `least` or more; biased where its log is over `bias`."""
+    log = F.ln(value) - F.ln(base)
+    n, mean = F.count("*"), F.avg(log)
+    verdict = F.when(n < least, "too few").when(F.abs(mean) <= bias, "pass").otherwise("biased")
+    return df.groupBy(by).agg(n.alias("n"), F.when(n >= least, F.round(F.exp(mean), 6)).alias("factor"), verdict.alias("verdict"))
