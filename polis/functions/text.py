@@ -81,3 +81,23 @@ def has_code_prefix(code: Column, prefix: str) -> Column:
 def html_script_json(html: Column, script_id: str) -> Column:
     """The content of the script element of an id."""
     return F.regexp_extract(html, f'<script[^>]*id="{script_id}"[^>]*>([^<]*)</script>', 1)
+
+
+def slug(text: Column) -> Column:
+    """Lower case, with one dash for each run of anything but letters and digits."""
+    return F.trim(F.lower(F.regexp_replace(fold(text), "[^A-Z0-9]+", "-")), F.lit("-"))
+
+
+def statute_source(text: Column) -> Column:
+    """The law of a charge as number/year, or the penal code; null where it names neither."""
+    law = F.regexp_extract(text, "nr\\. ([0-9]+/[0-9]{4})", 1)
+    return F.when(law != "", law).when(text.rlike("C\\.pen\\.|NCP"), "penal code")
+
+
+def statute_article(text: Column) -> Column:
+    return F.regexp_extract(text, "^art\\. ?([0-9]+)", 1).try_cast("int")
+
+
+def is_address(text: Column) -> Column:
+    """A kind of street at the start, or a house number after a name."""
+    return text.rlike("(?i)^(str|strada|b-dul|bd|calea|aleea|piata)[. ]") | text.rlike("(?i)[a-z] nr\\. ?[0-9]+")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _cut
+
 
 def kaplan_meier(df: DataFrame, by: list[str], time: str, event: str) -> DataFrame:
     """(by, time, at_risk, events, survival). Rows with a negative or null time take no part; at one time events come before
@@ -78,3 +80,24 @@ def geometric_transfer(df: DataFrame, by: str, value: str, base: str, least: int
     n, mean = F.count("*"), F.avg(log)
     verdict = F.when(n < least, "too few").when(F.abs(mean) <= bias, "pass").otherwise("biased")
     return df.groupBy(by).agg(n.alias("n"), F.when(n >= least, F.round(F.exp(mean), 6)).alias("factor"), verdict.alias("verdict"))
+
+
+def survival_marks(df: DataFrame, by: list[str], time: str, event: str, marks: list[int]) -> DataFrame:
+    """(by, n, median, at_<mark>...): the first time at which half or fewer are left, null where none is, and the share left at
+    each mark, null past the last follow-up. A group without a sound time has no row."""
+    curve = kaplan_meier(df, by, time, event)
+    n, last = F.max("at_risk"), F.max("time")
+    at = [F.when(last >= m, F.round(F.coalesce(F.min(F.when(F.col("time") <= m, F.col("survival"))), F.lit(1.0)), 9)).alias(f"at_{m}") for m in marks]
+    return curve.groupBy(*by).agg(n.alias("n"), F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).cast("long").alias("median"), *at)
+
+
+def parent_chains(tree: DataFrame) -> DataFrame:
+    """(node, path, hops) of each node of a forest (node, parent) that a root reaches, the root first."""
+    tree = _cut(tree.select("node", "parent"))
+    fresh = _cut(tree.filter("parent IS NULL").select("node", F.col("node").cast("string").alias("path"), F.lit(0).cast("long").alias("hops")))
+    found = fresh
+    while fresh.head(1):
+        down = tree.join(fresh.withColumnRenamed("node", "parent"), "parent")
+        fresh = _cut(down.select("node", F.concat_ws(">", "path", "node").alias("path"), (F.col("hops") + 1).alias("hops")))
+        found = found.unionByName(fresh)
+    return found
