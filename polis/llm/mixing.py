@@ -7,26 +7,30 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Slices of a source in which its documents are laid out, so that a hot source is spread over tasks.
-SLICES = 256
+#: Hexadecimal digits of a document's place that name its slice, so that a hot source is spread over 4,096 groups.
+SLICE_DIGITS = 3
 
 
-def source_targets(sizes: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), rounds: int = 60) -> DataFrame:
+def source_targets(sizes: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row per source.
 
     Sources in code point order, null last, weigh `weights` in turn and share all sizes. In each round the sources whose
     share exceeds `epochs` times their size are clamped there and the excess goes to the others by weight; a round clamps
     every source above, so the rounds end when none is. Sources without words get 0.
     """
-    # One row per source, not per document, takes part in the ranking.
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1
-    ranked = common.cut(
-        sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double")).withColumn("cap", F.col("source_size").cast("double") * epochs),
-        "sources",
-    )
+    # Sources are sorted by ranges, so many of them are many tasks' work; only the ranges' sizes come to the driver.
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    parts = common.cut(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources")
+    before, starts = 0, [F.lit(-1), F.lit(0)]
+    for r in sorted(parts.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        starts += [F.lit(r["part"]), F.lit(before)]
+        before += r["n"]
+    rank = F.element_at(F.create_map(*starts), F.col("part")) + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double")
+    ranked = common.cut(parts.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * epochs).drop("part"), "sources")
     total = ranked.agg(F.sum("source_size")).head()[0] or 0
     level, taken_out = 0.0, -1
-    for _ in range(rounds):
+    while True:
         # Clamped are the sources whose cap lies at or below the present water level.
         clamped = F.col("cap") <= F.col("weight") * level
         fixed, free, n = ranked.agg(
@@ -41,20 +45,23 @@ def source_targets(sizes: DataFrame, epochs: int = 3, weights: tuple[int, ...] =
     return ranked.select("source", "source_size", share.alias("target"))
 
 
-def mix(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 6, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, epochs_taken for each row of docs.
+def mix(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 6, key: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, epochs_taken for each row of docs; with carry also row, a struct of all columns
+    of docs.
 
     Every document of a source is taken whole floor(target / source size) times. The rest of the target is a fractional
     repetition: documents in seeded order are taken once more until the words left run out, the last of them in part; so a
-    source's taken words are its target rounded down. Reruns agree. Null text has size 0 and is taken 0 times over; a null
-    source is a source of its own, ranked last; equal rows share their place in the order and differ by at most one
-    document's words; an empty table gives no rows; other columns are left out.
+    source's taken words are its target rounded down. Reruns agree. Null text has size 0 and is taken 0 times over; a very long
+    text counts whole; a null source is a source of its own, ranked last; equal rows share their place in the order and differ
+    by at most one document's words; an empty table gives no rows; other columns, whatever their names, are left out or carried.
     """
     words = F.size(F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # The seeded place of a document in its source: a slice, then the rest of the hash.
-    rows = rows.select("doc_id", "source", words.cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("place"))
-    rows = common.cut(rows.withColumn("slice", F.pmod("place", F.lit(SLICES)).cast("int")), "sizes")
+    extra = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"), *extra)
+    # The seeded place of a document in its source: a slice, then the rest of the digest.
+    place = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    rows = rows.select("doc_id", "source", words.cast("long").alias("size"), place.alias("place"), F.xxhash64("text").alias("tie"), *(["row"] if carry else []))
+    rows = common.cut(rows.withColumn("slice", F.substring("place", 1, SLICE_DIGITS)), "sizes")
     slices = common.cut(rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "slices")
     targets = common.cut(source_targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), epochs, weights), "targets")
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,17 +69,12 @@ def mix(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3),
     laid = slices.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "slice_size")
     laid = laid.withColumnsRenamed({"source": "of", "slice": "of_slice"})
     rows = rows.join(laid, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("of_slice"))).drop("of", "of_slice")
-    within = Window.partitionBy("source", "slice").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("place", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("slice_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    whole = F.least(whole, F.lit(epochs)).cast("long")
+    rows = rows.withColumn("start", start).withColumn("whole", F.least(whole, F.lit(epochs)).cast("long"))
     left = F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start")))
-    return (
-        rows.withColumn("start", start)
-        .withColumn("whole", whole)
-        .withColumn("left", left)
-        .select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), "source")
-        .withColumn("epochs_taken", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))
-        .select("doc_id", "size", "source_size", "target", "taken", "epochs_taken")
-    )
+    extra_words = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("start")))
+    out = rows.withColumn("taken", (F.col("whole") * F.col("size") + extra_words).cast("long"))
+    out = out.withColumn("epochs_taken", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "epochs_taken", *(["row"] if carry else []))

@@ -128,10 +128,24 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(remove
 FROM d LEFT JOIN x USING (doc_id)
 """
 
+_MIX = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('6/' || CAST(doc_id AS VARCHAR)) AS place FROM documents),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+s AS (SELECT source, source_size, CAST([1, 2, 3][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 3 AS cap FROM z),
+l AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS level UNION ALL
+  SELECT i + 1, (SELECT CASE WHEN sum(CASE WHEN cap <= weight * level THEN 0.0 ELSE weight END) = 0 THEN CAST('Infinity' AS DOUBLE)
+    ELSE greatest(level, (sum(source_size) - sum(CASE WHEN cap <= weight * level THEN cap ELSE 0.0 END)) / sum(CASE WHEN cap <= weight * level THEN 0.0 ELSE weight END)) END FROM s) FROM l WHERE i < 50),
+t AS (SELECT source, source_size, least(cap, weight * level) AS target FROM s, (SELECT level FROM l WHERE i = 50)),
+o AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS whole,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CAST(whole * size + greatest(0, least(size, CAST(floor(target - whole * source_size) AS BIGINT) - start)) AS BIGINT) AS taken FROM o)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN size > 0 THEN CAST(taken AS DOUBLE) / size ELSE 0.0 END AS epochs_taken FROM k
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_near_dedup, op4_toxicity, op5_suffix_dedup, op6_mixing, op7_decontamination, op8_language_model, op9_pivot_search, op10_warc,
     )
 }
-SQL = {"op3_near_dedup": _SHINGLES, "op5_suffix_dedup": _REPEATS, "op9_pivot_search": _VECTORS, "op10_warc": _WARC}
+SQL = {"op3_near_dedup": _SHINGLES, "op5_suffix_dedup": _REPEATS, "op6_mixing": _MIX, "op9_pivot_search": _VECTORS, "op10_warc": _WARC}

@@ -74,8 +74,9 @@ def test_mixing(steps):
 
 def test_stages_take_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = spark.createDataFrame([(1, None, None, None, None), (None, "a b c", "en", "s", 1), (2, "", "en", "s", 0), (3, "x y z " * 60, "en", "s", 1), (3, "x y z " * 60, "en", "s", 1), (4, "X y z " * 60, "fr", None, 1)], schema)
-    for docs in (odd, odd.filter("false"), odd.withColumn("row", F.lit(1)).withColumn("kept", F.lit("x")).withColumn("block", F.lit(2))):
+    long = " ".join(f"w{k * k % 9973}" for k in range(20_000))
+    odd = spark.createDataFrame([(9, long, "en", "s", 1), (1, None, None, None, None), (None, "a b c", "en", "s", 1), (2, "", "en", "s", 0), (3, "x y z " * 60, "en", "s", 1), (3, "x y z " * 60, "en", "s", 1), (4, "X y z " * 60, "fr", None, 1)], schema)
+    for docs in (odd, odd.filter("false"), odd.withColumn("row", F.lit(1)).withColumn("kept", F.lit("x")).withColumn("block", F.lit(2)).withColumn("my col-x", F.lit(1)).withColumn("a.b", F.lit("y")).withColumn("size", F.lit(3))):
         columns = docs.columns
         for name, stage in P.STAGES:
             docs = common.cut(stage(spark, docs, SF), name)
