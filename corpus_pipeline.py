@@ -18,7 +18,8 @@ from polis.session import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted label is 0, whole. Rows with null text or doc_id are judged like any other."""
+    """Documents whose predicted label is 0, whole. Rows with null text or doc_id are judged like any other; repeated rows stay
+    or go together; an empty table stays empty; other columns pass through."""
     ship(spark)
     scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
     return scored.filter("predicted = 0").select("row.*")
@@ -47,16 +48,20 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; null and empty texts stay; repeated rows stay or go together; an empty
+    table stays empty; other columns pass through."""
     ship(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
     return found.filter("NOT contaminated").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """The documents with how many of their words the mix takes and how often it repeats them (epochs_taken). Columns of docs
+    that are called as one of the mix's are left out; an empty table gives no rows; repeated rows are taken each."""
     ship(spark)
-    return mix(docs)
+    mixed = mix(docs, carry=True)
+    own = [c for c in mixed.columns if c != "row"]
+    return mixed.select(*own, *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in own])
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontamination", decontamination), ("mixing", mixing)]

@@ -41,11 +41,9 @@ def log_regression(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def leave_one_out(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The spread factor exp(sd) of each value's log against the mean log of the others of its group, in groups of two or more."""
-    rows = df.filter(F.col(value) > 0).select(*by, F.log(value).alias("l"))
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    error = (F.col("l") - F.sum("l").over(w) / n) * n / (n - 1)
-    return rows.withColumn("n", n).filter("n > 1").withColumn("e", error).groupBy(*by).agg(F.count("*").alias("n"), F.exp(F.stddev_pop("e")).alias("factor"))
+    # A log less the mean of the n - 1 others is n / (n - 1) times its distance to the mean of all.
+    n, log = F.count("*"), F.log(value)
+    return df.filter(F.col(value) > 0).groupBy(*by).agg(n.alias("n"), F.exp(F.stddev_pop(log) * n / (n - 1)).alias("factor")).filter("n > 1")
 
 
 def apportion(totals: DataFrame, members: DataFrame, key: str, member: str, weight: str, volume: str) -> DataFrame:

@@ -110,7 +110,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC,
 SELECT o_orderpriority, o_custkey, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
 """)
 def head_customers(read):
-    """The five largest keys of each group with their ranks (AG-09, TK-01, TK-04)."""
+    """The five largest keys of each group with their ranks (AG-09, TK-04, TK-06)."""
     return A.head_counts(read("orders"), ["o_orderpriority"], "o_custkey", 5)
 
 
@@ -150,7 +150,7 @@ SELECT CASE WHEN p_type LIKE 'ECONOMY%' THEN 'economy' WHEN p_type LIKE 'PROMO%'
   sum(CAST(round(p_retailprice * 100) AS BIGINT))::BIGINT AS cents FROM part GROUP BY 1
 """)
 def prefix_sums(read):
-    """The first matching prefix decides; sums by it (PF-01 to PF-03, AG-14)."""
+    """The first matching prefix decides; sums by it (PF-01, AG-14)."""
     family = X.first_prefix(F.col("p_type"), [("ECONOMY", "economy"), ("PROMO", "promo"), ("S", "s")], "other")
     return read("part").groupBy(family.alias("family")).agg(F.count("*").alias("parts"), F.sum(cents("p_retailprice")).alias("cents"))
 
@@ -160,7 +160,7 @@ SELECT o_orderstatus, o_orderpriority, count(*) AS n, sum(CAST(round(o_totalpric
 FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)
 """)
 def rollup_bill(read):
-    """Totals at every level in one pass (AG-15 to AG-17, AG-23)."""
+    """Totals at every level in one pass (AG-17)."""
     return read("orders").rollup("o_orderstatus", "o_orderpriority").agg(
         F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("cents"), F.grouping("o_orderstatus").cast("int").alias("all_statuses"), F.grouping("o_orderpriority").cast("int").alias("all_priorities")
     )
@@ -214,7 +214,7 @@ SELECT c_nationkey, CASE WHEN count(*) = count(CASE WHEN c_acctbal >= 0 THEN 1 E
   CAST(sum(CASE WHEN c_acctbal >= 0 THEN CAST(round(c_acctbal * 100) AS BIGINT) END) AS BIGINT) AS cents, count(CASE WHEN c_acctbal >= 0 THEN 1 END) AS members FROM customer GROUP BY 1
 """)
 def null_aware_sums(read):
-    """A sum that is null if a member is, beside one that skips nulls (AG-53, AG-55)."""
+    """A sum that is null if a member is, beside one that skips nulls (AG-53)."""
     balance = F.when(F.col("c_acctbal") >= 0, cents("c_acctbal"))
     return read("customer").groupBy("c_nationkey").agg(A.strict_sum(balance).alias("strict_cents"), F.sum(balance).alias("cents"), F.count(balance).alias("members"))
 
@@ -224,7 +224,7 @@ WITH f AS (SELECT o_custkey, min(o_orderdate) AS d FROM orders GROUP BY 1), n AS
 SELECT CAST(year AS BIGINT) AS year, customers FROM n WHERE customers >= 10
 """)
 def first_event_cohorts(read):
-    """First event of each key by year, small groups withheld (AG-47 to AG-49)."""
+    """First event of each key by year, small groups withheld (AG-49)."""
     first = read("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("d"))
     return first.groupBy(F.year("d").cast("long").alias("year")).agg(F.count("*").alias("customers")).filter("customers >= 10")
 
@@ -253,7 +253,7 @@ def keep_last_event(read):
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def semi_cohort(read):
-    """Membership in a cohort (JN-06, PF-11)."""
+    """Membership in a cohort (JN-06)."""
     return read("customer").join(read("orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_mktsegment")
 
 
@@ -268,7 +268,7 @@ SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_left, b.k IS NOT NULL AS i
 FROM (SELECT DISTINCT user_id AS k FROM events) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) b ON a.k = b.k
 """)
 def reconcile_registers(read):
-    """Every key of two registers with the sides that have it (JN-08, ST-02 to ST-05)."""
+    """Every key of two registers with the sides that have it (JN-08, ST-02, ST-03)."""
     return J.reconcile(read("events").select(F.col("user_id").alias("k")), read("orders").select(F.col("o_custkey").alias("k")), "k")
 
 
@@ -277,7 +277,7 @@ WITH r AS (SELECT s_nationkey, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS
 SELECT n_nationkey, CASE WHEN r.n = 1 THEN r.t END AS s_suppkey, CASE WHEN r.n = 1 THEN 'unique' WHEN r.n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM nation LEFT JOIN r ON n_nationkey = s_nationkey
 """)
 def crosswalk_unique(read):
-    """A code's target where it is unique, and the status where not (JN-10, JN-11, JN-16)."""
+    """A code's target where it is unique, and the status where not (JN-10, JN-16)."""
     return J.crosswalk(read("nation").select("n_nationkey"), read("supplier"), "n_nationkey", "s_nationkey", "s_suppkey")
 
 
@@ -316,7 +316,7 @@ SELECT a.item_id AS left_id, b.item_id AS right_id, len(list_intersect(a.w, b.w)
 WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.1
 """)
 def token_overlap(read):
-    """Register entries matched by the share of common tokens (JN-12 to JN-15, SF-11)."""
+    """Register entries matched by the share of common tokens (JN-14, SF-03, SF-11)."""
     rows = read("benchmark").select(F.col("item_id").alias("left_id"), X.significant_tokens(F.col("text")).alias("tokens"))
     out = J.token_overlap(rows, rows.withColumnRenamed("left_id", "right_id"), "left_id", "right_id", "tokens", 0.1)
     return out.filter("left_id <> right_id")
@@ -331,7 +331,7 @@ r AS (SELECT o_orderpriority, row_number() OVER w AS r, sum(v) OVER (w ROWS UNBO
 SELECT o_orderpriority, CAST(m AS DOUBLE) AS mark, min(r) AS keys FROM r, (SELECT unnest([0.25, 0.5, 0.75]) AS m) WHERE run >= CAST(m AS DOUBLE) * CAST(a AS DOUBLE) GROUP BY 1, 2
 """)
 def cumulative_cutpoints(read):
-    """How many keys reach each share of the benefit (WN-02, WN-03, MO-13)."""
+    """How many keys reach each share of the benefit (WN-02, WN-03)."""
     sums = read("orders").groupBy("o_orderpriority", "o_custkey").agg(F.sum(cents("o_totalprice")).alias("v"))
     return W.cut_points(sums, "o_orderpriority", "o_custkey", "v", [0.25, 0.5, 0.75])
 
@@ -353,7 +353,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY c, s_suppkey)
 SELECT p_partkey, s_suppkey AS best, CAST(regret AS BIGINT) AS regret FROM r WHERE k = 1
 """)
 def regret(read):
-    """The best option and what the second best costs more (WN-08, MO-07)."""
+    """The best option and what the second best costs more (WN-08)."""
     pairs = read("part").withColumn("s_nationkey", (F.col("p_partkey") % 25).cast("int")).join(read("supplier"), "s_nationkey")
     return W.regret(pairs.select("p_partkey", "s_suppkey", F.abs(F.col("p_size") - F.col("s_suppkey") % 50).cast("long").alias("c")), "p_partkey", "s_suppkey", "c")
 
@@ -362,7 +362,7 @@ def regret(read):
 SELECT CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 3.0 WHEN o_orderdate >= TIMESTAMP '1995-01-01' THEN 2.0 ELSE 1.0 END AS value, count(*) AS orders FROM orders GROUP BY 1
 """)
 def effective_rate(read):
-    """The value in force at a date, the first step before any (WN-11, WN-12)."""
+    """The value in force at a date, the first step before any (WN-11)."""
     out = W.effective_value(read("orders"), "o_orderdate", [("1993-01-01", 1.0), ("1995-01-01", 2.0), ("1997-01-01", 3.0)])
     return out.groupBy("value").agg(F.count("*").alias("orders"))
 
@@ -384,7 +384,7 @@ SELECT l_returnflag, t AS time, at_risk, events, round(CASE WHEN max(CASE WHEN e
 FROM r WINDOW w AS (PARTITION BY l_returnflag ORDER BY t)
 """)
 def kaplan_meier(read):
-    """Survival with censoring (MO-01, SM-05)."""
+    """Survival with censoring (SM-05)."""
     return M.kaplan_meier(_durations(read), ["l_returnflag"], "t", "e").withColumn("survival", F.round("survival", 9))
 
 
@@ -416,7 +416,7 @@ WITH l AS (SELECT c_nationkey, ln(c_acctbal) AS l FROM customer WHERE c_acctbal
 SELECT c_nationkey, count(*) AS n, round(exp(stddev_pop((l - s / n) * n / (n - 1))), 6) AS factor FROM w WHERE n > 1 GROUP BY 1
 """)
 def loo_error(read):
-    """Leave-one-out error as a factor (MO-04, MO-05)."""
+    """Leave-one-out error as a factor (MO-04)."""
     return M.leave_one_out(read("customer"), ["c_nationkey"], "c_acctbal").withColumn("factor", F.round("factor", 6))
 
 
@@ -426,7 +426,7 @@ q AS (SELECT *, v * w / a AS q, floor(v * w / a) AS f FROM t), r AS (SELECT *, v
 SELECT n_regionkey, n_nationkey, CAST(f + CASE WHEN k <= left_over THEN 1 ELSE 0 END AS BIGINT) AS units FROM r
 """)
 def apportion(read):
-    """A volume dealt to members by weight in whole units that add up (MO-08, MO-09, AG-46)."""
+    """A volume dealt to members by weight in whole units that add up (MO-08)."""
     counts = read("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("w"))
     members = read("nation").select("n_regionkey", "n_nationkey").join(counts, "n_nationkey", "left").fillna(0, ["w"])
     totals = read("region").select(F.col("r_regionkey").alias("n_regionkey"), (F.col("r_regionkey") + 1000).cast("long").alias("v"))
@@ -461,7 +461,7 @@ def quarantine(read):
 SELECT doc_id, length(regexp_replace(upper(trim(translate(text, '{X.ACCENTED}', '{X.PLAIN}'))), '[^A-Z]', '', 'g')) AS letters FROM documents
 """)
 def folded_letters(read):
-    """Letters left after folding (SF-01 to SF-06)."""
+    """Letters left after folding (SF-01, SF-02)."""
     return read("documents").select("doc_id", F.length(X.letters_only(F.col("text"))).cast("long").alias("letters"))
 
 
@@ -474,7 +474,7 @@ def anonymise(read):
 
 @query("""SELECT p_brand, regexp_extract(p_brand, '([0-9]+)', 1) AS code, count(*) AS parts FROM part GROUP BY 1, 2""")
 def extracted_codes(read):
-    """Codes parsed from labels (SF-07, SF-15)."""
+    """Codes parsed from labels (parsing by pattern)."""
     return read("part").groupBy("p_brand", F.regexp_extract("p_brand", "([0-9]+)", 1).alias("code")).agg(F.count("*").alias("parts"))
 
 
@@ -490,7 +490,7 @@ SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(2 * 6371000.0 * asin(sqrt(least
 FROM p a JOIN p b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
 """)
 def haversine_pairs(read):
-    """Great-circle distances within a partition (SP-01, SP-02)."""
+    """Great-circle distances within a partition (SP-01)."""
     place = [((F.col("s_suppkey") % 90) - 45.0).alias("lat"), ((F.col("s_suppkey") * 7 % 360) - 180.0).alias("lon")]
     a = read("supplier").select("s_nationkey", F.col("s_suppkey").alias("a"), *place)
     b = a.select("s_nationkey", F.col("a").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
@@ -529,7 +529,7 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '1 hour' AS session_end, count(*) AS n FROM s GROUP BY user_id, k
 """)
 def session_windows(read):
-    """Runs of a user's events (SM-01, SM-03)."""
+    """Runs of a user's events (SM-01)."""
     out = E.sessions(read("events"), "ts", "1 hour", ["user_id"])
     return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
 
@@ -561,12 +561,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, source) AS k
 SELECT node, source, cost FROM k WHERE k = 1
 """)
 def nearest_source(read):
-    """The nearest of several sources along edges, ties to the smaller (GR-01 to GR-04, GR-06)."""
+    """The nearest of several sources along edges, ties to the smaller (GR-02)."""
     sources = read("nation").filter("n_nationkey IN (0, 10, 20)").select(F.col("n_nationkey").cast("long").alias("node"), F.lit(0).cast("long").alias("cost"))
     return G.nearest_source(_edges(read), sources).drop("parent")
 
 
 @query(f"WITH {_EDGES} SELECT CAST(n_nationkey AS BIGINT) AS node, count(u.b) AS degree FROM nation LEFT JOIN u ON u.a = n_nationkey GROUP BY 1")
 def node_degrees(read):
-    """Neighbours of each node, none for isolated ones (GR-10, GR-12)."""
+    """Neighbours of each node, none for isolated ones (GR-10)."""
     return G.degrees(_edges(read), read("nation").select(F.col("n_nationkey").cast("long").alias("node")))
