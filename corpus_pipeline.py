@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The join has brought rows of one doc_id together, so this sorts without another shuffle.
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     own = own.withColumn("__place", first).filter("__place = 1").drop("__place")
-    return own.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return own.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
