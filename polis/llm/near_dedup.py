@@ -16,8 +16,8 @@ from .components import components
 
 #: Minwise tokens of a set; a sketch keeps one byte of each.
 TOKENS = 96
-#: Tokens chosen along a path before a node is first looked at, and where it is looked at again while it is large.
-DEPTHS = (3, 5, 8, 12)
+#: Tokens chosen along a path before a node is first looked at, and before it is looked at again if it is large.
+DEPTHS = (3, 8)
 #: Documents that are compared with one another in one node or block.
 NODE, BLOCK = 512, 256
 #: Recall of all depths together for a pair at the threshold itself, over the choice of trees and of minwise tokens.
