@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ ROUNDS = 3
 CHUNK = 2048
 #: Bytes of text scored at once; models averaged at once.
 RUN_BYTES, FAN_IN = 6 << 20, 64
+#: Classes of at most so many tokens of a training window are computed together.
+TOGETHER = 48
 #: Stands for the end of a text; no word holds white space.
 END = "\n"
 
@@ -39,17 +42,42 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def with_end(text: str) -> list[str]:
-    return [*(w.decode() for w in tokens(text)), END]
+def with_end(text: str) -> list[bytes]:
+    return [*tokens(text), END.encode()]
+
+
+def numbers(of: dict[bytes, int], words: list[bytes], other: int, end: int) -> np.ndarray:
+    """The number of each word, `other` for those without one, and then the end's."""
+    out = np.fromiter(map(of.get, words, repeat(other)), np.int64, len(words))
+    return np.append(out, end)
+
+
+def _exponentials(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exp of e less a shift of each row, its row sums, the shifts); e is spent. Rows are shifted only where they need it."""
+    shift = 0.0
+    if e.size and (e.max() > 60 or e[:, 0].min() < -60):
+        shift = e.max(1, keepdims=True)
+        e -= shift
+        shift = shift[:, 0]
+    np.exp(e, out=e)
+    return e, e @ np.ones(e.shape[1], np.float32), shift
 
 
 def _log_share(logit: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the softmax of logit + bias at the target of each row; logit is spent."""
     logit += bias
-    logit -= logit.max(1, keepdims=True)
     own = logit[np.arange(len(target)), target]
-    np.exp(logit, out=logit)
-    return own - np.log(logit.sum(1))
+    _, total, shift = _exponentials(logit)
+    return own - shift - np.log(total)
+
+
+def _errors(logit: np.ndarray, bias: np.ndarray, target: np.ndarray, scale: np.float32) -> np.ndarray:
+    """(softmax of logit + bias, less 1 at the target of each row) * scale; logit is spent."""
+    logit += bias
+    e, total, _ = _exponentials(logit)
+    e *= (scale / total)[:, None]
+    e[np.arange(len(target)), target] -= scale
+    return e
 
 
 class Model:
@@ -105,27 +133,35 @@ class Model:
         x, own, scale = before.reshape(-1, HIDDEN)[use], ids.ravel()[use], np.float32(1 / max(1, len(use)))
         which, d = own // CLASS, np.zeros((real.size, HIDDEN), np.float32)
 
-        def soft(e: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
-            e += bias
-            e -= e.max(1, keepdims=True)
-            np.exp(e, out=e)
-            e *= scale / e.sum(1, keepdims=True)
-            e[np.arange(len(target)), target] -= scale
-            return e
-
-        e = soft(x @ p["class"], p["class_bias"], which)
+        e = _errors(x @ p["class"], p["class_bias"], which, scale)
         dx = e @ p["class"].T
         steps = [("class", x.T @ e), ("class_bias", e.sum(0))]
         order = np.argsort(which, kind="stable")
         edges = np.searchsorted(which[order], np.arange(CLASSES + 1))
-        present = np.flatnonzero(np.diff(edges))
+        count = np.diff(edges)
+        present = np.flatnonzero(count)
         dword, dbias = np.empty((len(present), HIDDEN, CLASS), np.float32), np.empty((len(present), CLASS), np.float32)
-        for k, c in enumerate(present):
+        for k in np.flatnonzero(count[present] > TOGETHER):
+            c = present[k]
             at = order[edges[c] : edges[c + 1]]
             z = x[at]
-            e = soft(z @ p["word"][c], p["word_bias"][c], own[at] % CLASS)
+            e = _errors(z @ p["word"][c], p["word_bias"][c], own[at] % CLASS, scale)
             dx[at] += e @ p["word"][c].T
             dword[k], dbias[k] = z.T @ e, e.sum(0)
+        # Classes of few tokens at once, each filled up to the same number of rows.
+        few = np.flatnonzero(count[present] <= TOGETHER)
+        if len(few):
+            c, n = present[few], count[present[few]]
+            place = np.arange(n.max())
+            there = place < n[:, None]
+            at = order[np.where(there, edges[c][:, None] + place, edges[c][:, None])]
+            z = x[at] * there[..., None]
+            logit = z @ p["word"][c]
+            logit += p["word_bias"][c][:, None]
+            e = _errors(logit.reshape(-1, CLASS), np.float32(0), (own[at] % CLASS).ravel(), scale).reshape(logit.shape)
+            e *= there[..., None]
+            dx[at[there]] += (e @ p["word"][c].transpose(0, 2, 1))[there]
+            dword[few], dbias[few] = z.transpose(0, 2, 1) @ e, e.sum(1)
         d[use] = dx
         d = d.reshape(*real.shape, HIDDEN)
         dtoken, du = backward(np.concatenate([d[1:], np.zeros_like(d[:1])]), states, saved, p["u"], h, mask)
@@ -205,14 +241,14 @@ def _learner(words, start, rate: float):
 
     def learn(table: pa.Table) -> pa.Table:
         own = Model({k: v.copy() for k, v in start.value.items()})
-        get, end = words.value.get, words.value[END.encode()]
+        of, end = words.value, words.value[END.encode()]
         texts = sorted(table.column("text").to_pylist())
         order, at = np.random.default_rng(8).permutation(len(texts)), 0
         while at < len(order):
             run, size = [], 0
             while at < len(order) and (not run or size <= RUN_BYTES // 2):
                 t = texts[order[at]]
-                run.append(np.array([*(get(w, 0) for w in tokens(t)), end], np.int64))
+                run.append(numbers(of, tokens(t), 0, end))
                 size += len(t)
                 at += 1
             learn_texts(own, run, rate)
@@ -301,8 +337,8 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, key: str
                 ids, values = [], []
                 for t in run:
                     words = tokens(t)
-                    x = np.array([*(place.get(w, -1) for w in words), end], np.int64)
-                    rare = [w.decode() for w, i in zip(words, x) if i < 0]
+                    x = numbers(place, words, -1, end)
+                    rare = [words[i].decode() for i in np.flatnonzero(x < 0)]
                     have = x[x >= 0]
                     s = np.where(x >= 0, symbol[x], 0)
                     outside = int((s == 0).sum())

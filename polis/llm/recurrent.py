@@ -83,12 +83,17 @@ class Adagrad:
         if name not in self.sums:
             self.sums[name] = np.full(value.shape, 1e-6, np.float32)
         total = self.sums[name]
-        if rows is None:
+        if rows is None or len(rows) == len(value):  # rows are distinct and in order
             total += gradient * gradient
             value -= self.rate * gradient / np.sqrt(total)
         else:
-            total[rows] += gradient * gradient
-            value[rows] -= self.rate * gradient / np.sqrt(total[rows])
+            now = total[rows]
+            now += gradient * gradient
+            total[rows] = now
+            np.sqrt(now, out=now)
+            np.divide(gradient, now, out=now)
+            now *= np.float32(self.rate)
+            value[rows] -= now
 
 
 def by_row(ids: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 HELD = 400_000
 
 
-def word_counts(rows: DataFrame, words: Callable[[str], list[str]], label: str | None = None, text: str = "text") -> DataFrame:
-    """(word, label, n): how often each word stands in the texts of each label (null without one). Null text is empty."""
+def word_counts(rows: DataFrame, words: Callable[[str], list[str] | list[bytes]], label: str | None = None, text: str = "text") -> DataFrame:
+    """(word, label, n): how often each word stands in the texts of each label (null without one). Null text is empty;
+    words may be given in UTF-8."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, Counter] = {}
