@@ -80,3 +80,12 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, reach: float) -> DataFr
     met = points.withColumn("__cx", _cell(F.col("x"), reach)).withColumn("__cy", _cell(F.col("y"), reach)).join(spread, ["__cx", "__cy"])
     met = met.withColumn("metres", planar(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).filter(F.col("metres") <= reach)
     return met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("metres", "site"))).filter(F.col("place") <= k).select("id", "site", "metres", "place")
+
+
+def clark_evans(points: DataFrame, area: float, reach: float) -> DataFrame:
+    """(n, mean, dispersion) of points (id, x, y) in an area: the mean way to the nearest other point, and its ratio to that of
+    as many random points. Points without another one within reach are left out."""
+    others = points.select(F.col("id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    least = nearest(points, others, 2, reach).filter("site <> id").groupBy("id").agg(F.min("metres").alias("metres"))
+    n, mean = F.count("*"), F.avg("metres")
+    return least.agg(n.alias("n"), mean.alias("mean"), (mean / (0.5 * F.sqrt(F.lit(area) / n))).alias("dispersion"))

@@ -101,3 +101,29 @@ def statute_article(text: Column) -> Column:
 def is_address(text: Column) -> Column:
     """A kind of street at the start, or a house number after a name."""
     return text.rlike("(?i)^(str|strada|b-dul|bd|calea|aleea|piata)[. ]") | text.rlike("(?i)[a-z] nr\\. ?[0-9]+")
+
+
+def _single_byte(text: Column, charset: str) -> Column:
+    """Text that was read as Latin-1, as of another charset of single bytes; what that does not define stays."""
+    pairs = [(chr(b), bytes([b]).decode(charset, "replace")) for b in range(128, 256)]
+    pairs = [(a, b) for a, b in pairs if b not in (a, "\ufffd")]
+    return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
+def charset(raw: Column) -> Column:
+    """The first of utf-8-sig, utf-8, cp1250 and iso-8859-2 that can read the bytes; the last reads any."""
+    marked = F.hex(F.substring(raw, 1, 3)) == "EFBBBF"
+    undefined = F.decode(raw, "ISO-8859-1").rlike("[\\x81\\x83\\x88\\x90\\x98]")
+    return F.when(~F.is_valid_utf8(raw.cast("string")), F.when(undefined, "iso-8859-2").otherwise("cp1250")).when(marked, "utf-8-sig").otherwise("utf-8")
+
+
+def decoded(raw: Column) -> Column:
+    """Bytes as text of their charset, without a byte order mark."""
+    kind, latin = charset(raw), F.decode(raw, "ISO-8859-1")
+    out = F.when(kind == "utf-8", raw.cast("string")).when(kind == "utf-8-sig", F.substring(raw, 4, 2_147_483_647).cast("string"))
+    return out.when(kind == "cp1250", _single_byte(latin, "cp1250")).otherwise(_single_byte(latin, "iso-8859-2"))
+
+
+def flattened(text: Column) -> Column:
+    """The folded forms of a name in which an accented a-circumflex was made a or i."""
+    return F.array_distinct(F.array(*[fold(F.translate(text, "Ââ", plain)) for plain in ("Aa", "Ii")]))

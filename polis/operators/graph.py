@@ -12,10 +12,21 @@ def _cut(df: DataFrame) -> DataFrame:
     """df without its lineage, kept in the folder that the session shares."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="polis-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="polis-"))
     return df.checkpoint()
 
 
+def of_lines(lines: DataFrame, grid: float) -> DataFrame:
+    """Edges (a, b, cost) in both directions of lines (x1, y1, x2, y2), whose ends are the places of a grid that they lie nearest
+    to; the cost is the line's length, the least of parallel lines."""
+    at = lambda x, y: F.concat_ws(",", *[F.round(F.col(c) / grid).cast("long").cast("string") for c in (x, y)])
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    return both_ways(lines.select(at("x1", "y1").alias("a"), at("x2", "y2").alias("b"), length.alias("cost")))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Edges (a, b, cost) in both directions, the cheapest of parallel ones, without loops."""
     rows = edges.select("a", "b", "cost").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost"))

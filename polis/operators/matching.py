@@ -72,3 +72,14 @@ def complement(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame
     """first, and the rows of second whose key first lacks; origin says which."""
     more = second.join(first.select(*key).distinct(), key, "left_anti")
     return first.withColumn("origin", F.lit("first")).unionByName(more.withColumn("origin", F.lit("second")))
+
+
+def resolve(rows: DataFrame, register: DataFrame, alias: str, county: str, id: str) -> DataFrame:
+    """rows with id and status: unique where one entry of the register has the alias, narrowed where one of the same county has
+    it, ambiguous where several have, none where none has. The register shrinks to its aliases before it is joined."""
+    all_of = register.groupBy(alias).agg(F.count("*").alias("__n"), F.min(id).alias("__id"))
+    own = register.groupBy(alias, county).agg(F.count("*").alias("__m"), F.min(id).alias("__own"))
+    n, m = F.col("__n"), F.col("__m")
+    met = rows.join(all_of, alias, "left").join(own, [alias, county], "left")
+    met = met.withColumn(id, F.when(n == 1, F.col("__id")).when(m == 1, F.col("__own")))
+    return met.withColumn("status", F.when(n.isNull(), "none").when(n == 1, "unique").when(m == 1, "narrowed").otherwise("ambiguous")).drop("__n", "__id", "__m", "__own")

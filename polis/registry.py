@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import measures, registers  # noqa: F401  (its queries register themselves)
+from .plans import landed, measures, registers  # noqa: F401  (its queries register themselves)
 from .plans.queries import QUERIES, SQL
 
 FLAGSHIP = "case_workload"

@@ -65,3 +65,9 @@ def key_values(text: str) -> Column:
     """A map of `"k"=>"v"` pairs."""
     pairs = F.regexp_extract_all(F.col(text), F.lit('"([^"]+)"=>"([^"]*)"'), F.lit(0))
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, '"([^"]+)"=>', 1).alias("key"), F.regexp_extract(p, '=>"([^"]*)"', 1).alias("value"))))
+
+
+def xml_rows(df: DataFrame, column: str, schema: str, items: str) -> DataFrame:
+    """A row for each entry of the repeated child `items` of an XML element, beside the element's other fields."""
+    rows = df.select(F.from_xml(column, schema).alias("x")).select("x.*")
+    return rows.select(*[c for c in rows.columns if c != items], F.inline(items))
