@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column for each name in at."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(value, p).alias(name) for name, p in at.items()])
-
-
 def _ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values of each group with how many rows lie below and up to them: groups shrink to their distinct values
     before any window sees them."""
@@ -25,6 +20,18 @@ def _at(index: Column, value: str) -> Column:
     return F.max(F.when((F.col("__from") <= index) & (index < F.col("__to")), F.col(value)))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column for each name in at, and the number n of values. Groups without a
+    value give no row. No buffer holds a group's values: they are sorted, which spills."""
+
+    def quantile(p: float) -> Column:
+        place = (F.col("__all") - 1) * F.lit(float(p))
+        low, high = _at(F.floor(place), value), _at(F.ceil(place), value)
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return _ranked(df, by, value).groupBy(*by).agg(F.max("__all").alias("n"), *[quantile(p).alias(name) for name, p in at.items()])
+
+
 def order_statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """upper: the upper middle value; integer: the middle two's mean rounded down; p90: the value at the floor of 0.9 (n - 1)."""
     n = F.col("__all")

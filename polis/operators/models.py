@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import quantiles
 from .graph import _cut
 
 
@@ -68,8 +69,8 @@ def seats(votes: DataFrame, by: str, party: str, n: str, total: int, threshold:
 
 def quarantine(df: DataFrame, by: str, value: str, times: float) -> DataFrame:
     """df with suspect: the value is over `times` the group's median. The medians, a row for each group, join back."""
-    medians = df.groupBy(by).agg(F.percentile(value, 0.5).alias("__m"))
-    return df.join(medians, by).withColumn("suspect", F.col(value) > times * F.col("__m")).drop("__m")
+    medians = quantiles(df, [by], value, {"__m": 0.5}).drop("n")
+    return df.join(medians, by, "left").withColumn("suspect", F.col(value) > times * F.col("__m")).drop("__m")
 
 
 def geometric_transfer(df: DataFrame, by: str, value: str, base: str, least: int, bias: float) -> DataFrame:
