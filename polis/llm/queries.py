@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .alignment import align
 from .decontamination import decontaminate
 from .language_id import identify
 from .language_model import score_documents
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pivot_search import top_k
+from .simhash import simhash_duplicates
 from .suffix_dedup import dedup_substrings
 from .token_counts import token_counts
 from .toxicity import score_toxicity
+from .vector_codes import compress
 from .warc import read_warc, write_warc
 
 
@@ -81,6 +84,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_read(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(_read(spark, sf_dir, "documents"), bits=4, words=4)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 #: DuckDB SQL; the words of a text are runs of other than ASCII white space.
 _VECTORS = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -142,10 +157,39 @@ k AS (SELECT *, CAST(whole * size + greatest(0, least(size, CAST(floor(target -
 SELECT doc_id, size, source_size, target, taken, CASE WHEN size > 0 THEN CAST(taken AS DOUBLE) / size ELSE 0.0 END AS epochs_taken FROM k
 """
 
+_K_MEANS = """
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT row, part, list_slice(v, part * (len(v) // 8) + 1, (part + 1) * (len(v) // 8)) AS v FROM k, range(8) t(part)),
+c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v AS c FROM x WHERE row <= 16),
+"""
+
+
+def _k_means(rounds: int) -> str:
+    """The rounds written out one after another."""
+    sql = _K_MEANS
+    for r in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(x.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        sql += f"a{r} AS MATERIALIZED (SELECT x.row, x.part, min({{'d': CAST({distance} AS BIGINT), 'e': c.entry}}) AS best, any_value(x.v) AS v FROM x JOIN c{r} c ON c.part = x.part GROUP BY x.row, x.part),\n"
+        if r < rounds:
+            sql += f"m{r} AS MATERIALIZED (SELECT part, entry, list(m ORDER BY place) AS c FROM (SELECT part, best.e AS entry, i AS place, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM a{r}, range(1, len(v) + 1) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),\n"
+            sql += f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.entry = c.entry),\n"
+    return (
+        sql
+        + f"""
+f AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY row),
+s AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f JOIN k USING (row) GROUP BY label),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT k.vec_id, f.code, f.error, s.label_error, h.codebooks_sha256 FROM k JOIN f USING (row) JOIN s ON s.label IS NOT DISTINCT FROM k.label, h
+"""
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_near_dedup, op4_toxicity, op5_suffix_dedup, op6_mixing, op7_decontamination, op8_language_model, op9_pivot_search, op10_warc,
+        op11_alignment, op12_simhash, op13_vector_codes,
     )
 }
-SQL = {"op3_near_dedup": _SHINGLES, "op5_suffix_dedup": _REPEATS, "op6_mixing": _MIX, "op9_pivot_search": _VECTORS, "op10_warc": _WARC}
+SQL = {"op3_near_dedup": _SHINGLES, "op5_suffix_dedup": _REPEATS, "op6_mixing": _MIX, "op9_pivot_search": _VECTORS, "op10_warc": _WARC, "op13_vector_codes": _k_means(6)}
