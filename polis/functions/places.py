@@ -72,13 +72,20 @@ def within(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
     return met.filter(contains(F.col("ring"), F.col("x"), F.col("y"))).drop("__cx", "__cy", "ring")
 
 
-def nearest(points: DataFrame, sites: DataFrame, k: int, reach: float) -> DataFrame:
-    """(id, site, metres, place): the k nearest sites (site, sx, sy) within reach of each point (id, x, y), ties to the smaller
-    site. Points meet the sites of their own grid cell of size reach and its neighbours."""
+def within_reach(points: DataFrame, sites: DataFrame, reach: float) -> DataFrame:
+    """points (x, y, ...) with each site (site, sx, sy) within reach and metres, how far it is. Points meet the sites of their own
+    grid cell of size reach and its neighbours."""
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     spread = sites.withColumn("__s", F.explode(around)).withColumn("__cx", _cell(F.col("sx"), reach) + F.col("__s.a")).withColumn("__cy", _cell(F.col("sy"), reach) + F.col("__s.b"))
     met = points.withColumn("__cx", _cell(F.col("x"), reach)).withColumn("__cy", _cell(F.col("y"), reach)).join(spread, ["__cx", "__cy"])
     met = met.withColumn("metres", planar(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).filter(F.col("metres") <= reach)
+    return met.drop("__cx", "__cy", "__s", "sx", "sy")
+
+
+def nearest(points: DataFrame, sites: DataFrame, k: int, reach: float) -> DataFrame:
+    """(id, site, metres, place): the k nearest sites (site, sx, sy) within reach of each point (id, x, y), ties to the smaller
+    site."""
+    met = within_reach(points, sites, reach)
     return met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("metres", "site"))).filter(F.col("place") <= k).select("id", "site", "metres", "place")
 
 

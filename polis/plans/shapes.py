@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import places as P
+from ..operators import assignment as AS
 from ..operators import polygons as PG
+from ..operators import routes as RT
 from .queries import query
 
 #: Corners of the grid, in whole metres: (column, row) moved by up to 199 in either direction.
@@ -174,3 +177,110 @@ def snap_cascade(read):
     every = own.select("node", F.col("x").alias("nx"), F.col("y").alias("ny"))  # a polygon may stand without a node
     at = _homes(read).select("id", "x", "y").join(out.select("id", "node", "step"), "id").join(every, "node", "left")
     return at.select("id", "node", "step", F.round(F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2)), 4).alias("metres"))
+
+
+# --- Routes and assignments ---------------------------------------------------------------------------------------------------
+
+_ROADS = f"""{_PARCELS}, road AS (SELECT a.unit AS a, b.unit AS b, 40 + (a.unit * 37 + b.unit * 11) % 50 AS cost FROM parcel a JOIN parcel b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1)
+  WHERE (a.unit * 7 + b.unit) % 5 <> 0 AND a.j // 10 = b.j // 10),
+way AS (SELECT a, b, cost FROM road UNION ALL SELECT b, a, cost FROM road)"""
+
+
+def _roads(read):
+    """(a, b, cost) between neighbours on the grid, of which some have no road."""
+    own = _parcels(read).select("unit", "i", "j")
+    near = own.withColumn("s", F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((1, 0), (0, 1))])))
+    near = near.select(F.col("unit").alias("a"), (F.col("i") + F.col("s.di")).alias("i"), (F.col("j") + F.col("s.dj")).alias("j"))
+    met = near.join(own.withColumnRenamed("unit", "b"), ["i", "j"])
+    return met.filter((F.col("a") * 7 + F.col("b")) % 5 != 0).select("a", "b", (40 + (F.col("a") * 37 + F.col("b") * 11) % 50).alias("cost"))
+
+
+def _zones(read):
+    return _parcels(read).select(F.col("unit").alias("node"), F.floor(F.col("j") / 10).alias("zone"))
+
+
+@query(f"""
+WITH RECURSIVE {_ROADS}, hub AS (SELECT unit AS hub FROM parcel WHERE balance >= 9500),
+d(hub, node, cost) USING KEY (hub, node) AS (SELECT hub, hub, CAST(0 AS BIGINT) FROM hub UNION SELECT d.hub, way.b, min(d.cost + way.cost) FROM d JOIN way ON way.a = d.node LEFT JOIN recurring.d o ON o.hub = d.hub AND o.node = way.b WHERE o.node IS NULL OR d.cost + way.cost < o.cost GROUP BY 1, 2),
+t AS (SELECT d.hub, d.node, d.cost, arg_min(p.node, {{'c': p.cost, 'n': p.node}}) FILTER (WHERE d.node <> d.hub) AS parent FROM d LEFT JOIN way ON way.b = d.node LEFT JOIN d p ON p.hub = d.hub AND p.node = way.a AND p.cost + way.cost = d.cost GROUP BY d.hub, d.node, d.cost),
+m AS (SELECT arg_min(hub, {{'c': cost, 'h': hub}}) AS hub, node FROM d GROUP BY node),
+c AS (SELECT m.hub, m.node, m.node AS stop, 0 AS place FROM m WHERE m.node <> m.hub UNION ALL SELECT c.hub, c.node, t.parent, place + 1 FROM c JOIN t ON t.hub = c.hub AND t.node = c.stop WHERE t.parent IS NOT NULL),
+l AS (SELECT m.hub, m.node, -coalesce(n, 0) AS rank FROM m LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = node WHERE m.node <> m.hub AND NOT EXISTS (SELECT 1 FROM c WHERE c.hub = m.hub AND c.stop = m.node AND place > 0)),
+s AS (SELECT c.hub, c.node AS leaf, c.place, c.stop, rank FROM c JOIN l USING (hub, node)),
+f AS (SELECT s.hub, stop, arg_min(leaf, {{'r': rank, 'l': leaf}}) AS first FROM s JOIN m ON m.hub = s.hub AND m.node = s.stop WHERE stop <> s.hub GROUP BY 1, 2),
+g AS (SELECT s.*, coalesce(first = leaf, false) AS serves, lead(s.stop) OVER (PARTITION BY s.hub, leaf ORDER BY place) AS onward FROM s LEFT JOIN f ON f.hub = s.hub AND f.stop = s.stop)
+SELECT g.hub, g.leaf, count(*) AS stops, sum(CAST(serves AS BIGINT))::BIGINT AS served, any_value(t.cost) AS cost,
+  CASE WHEN bool_or(onward IS NOT NULL AND (g.stop + onward) % 17 = 0) THEN NULL ELSE sum(CASE WHEN onward IS NOT NULL THEN 900 + (g.stop + onward) % 300 END)::BIGINT END AS metres
+FROM g JOIN t ON t.hub = g.hub AND t.node = g.leaf GROUP BY 1, 2
+""")
+def hub_routes(read):
+    """Routes from the leaves of each hub's shortest-path tree, within zones, every stop served once; their lengths, unknown where
+    a step's is (GR-01, GR-06, GR-07)."""
+    roads, zones = _roads(read), _zones(read)
+    hubs = _parcels(read).filter("balance >= 9500").select(F.col("unit").alias("hub"))
+    trees = PG._cut(RT.hub_trees(RT.zone_edges(roads, zones), hubs))
+    members = trees.groupBy("node").agg(F.min(F.struct("cost", "hub")).alias("m")).select("node", "m.hub")
+    people = read("orders").groupBy(F.col("o_custkey").cast("long").alias("node")).agg(F.count("*").alias("population"))
+    stops = PG._cut(RT.leaf_routes(trees, members, people))
+    both = F.col("a") + F.col("b")
+    lengths = roads.filter(both % 17 != 0).select("a", "b", (900 + both % 300).alias("metres"))
+    served = stops.groupBy("hub", "leaf").agg(F.sum(F.col("serves").cast("long")).alias("served"))
+    out = RT.path_metres(stops, lengths, ["hub", "leaf"]).join(served, ["hub", "leaf"])
+    return out.join(trees.select("hub", F.col("node").alias("leaf"), "cost"), ["hub", "leaf"]).select("hub", "leaf", "stops", "served", "cost", F.col("metres").cast("long").alias("metres"))
+
+
+_OPTIONS = """site AS (SELECT s_suppkey AS site, CAST(s_suppkey * 53 % 1000 AS DOUBLE) AS sx, 15.0 * s_suppkey AS sy FROM supplier),
+load AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+item AS (SELECT c_custkey AS item, CAST(c_custkey * 37 % 1000 AS DOUBLE) AS x, CAST(c_custkey AS DOUBLE) AS y, 1 + coalesce(n, 0) AS weight FROM customer LEFT JOIN load ON o_custkey = c_custkey),
+option AS (SELECT item, site, weight, CAST(round(sqrt((sx - x) * (sx - x) + (sy - y) * (sy - y))) AS BIGINT) AS cost FROM item, site WHERE sqrt((sx - x) * (sx - x) + (sy - y) * (sy - y)) <= 400),
+ceil AS (SELECT 1.1 * sum(weight) / (SELECT count(*) FROM supplier) AS most FROM item)"""
+
+
+def _options(read):
+    """(item, site, cost, weight): sites within reach of each customer, whose weight is one and its orders."""
+    k, s = F.col("c_custkey").cast("long"), F.col("s_suppkey").cast("long")
+    load = read("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    items = read("customer").join(load, "c_custkey", "left").select(k.alias("id"), (k * 37 % 1000).cast("double").alias("x"), k.cast("double").alias("y"), (1 + F.coalesce("n", F.lit(0))).alias("weight"))
+    sites = read("supplier").select(s.alias("site"), (s * 53 % 1000).cast("double").alias("sx"), (15.0 * s).alias("sy"))
+    near = P.within_reach(items, sites, 400.0)
+    return near.select(F.col("id").alias("item"), "site", F.round("metres").cast("long").alias("cost"), "weight"), items
+
+
+@query(f"""
+WITH RECURSIVE {_OPTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY cost, site) AS place, lead(cost) OVER (PARTITION BY item ORDER BY cost, site) - cost AS more FROM option),
+p AS (SELECT item, max(weight) AS w, list({{'s': site, 'c': cost}} ORDER BY place) AS o, coalesce(max(CASE WHEN place = 1 THEN more END), 0) AS regret FROM r GROUP BY 1),
+q AS (SELECT *, row_number() OVER (ORDER BY regret DESC, item) AS i FROM p),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT list(CAST(0 AS BIGINT)) FROM range((SELECT max(s_suppkey) + 1 FROM supplier))) AS l, CAST(NULL AS BIGINT) AS item, CAST(0 AS BIGINT) AS k
+  UNION ALL SELECT n.i, list_transform(n.l, lambda v, s: v + CASE WHEN s - 1 = n.o[n.k].s THEN n.w ELSE 0 END), n.item, n.k
+  FROM (SELECT q.i, walk.l, q.item, q.o, q.w, coalesce(list_position(list_transform(q.o, lambda x: walk.l[x.s + 1] + q.w <= most), true), 1) AS k FROM walk JOIN q ON q.i = walk.i + 1 JOIN ceil ON true) n)
+SELECT walk.item, o[k].s AS site, o[k].c AS cost, CAST(k AS INTEGER) AS place FROM walk JOIN q USING (i)
+""")
+def ceiling_assignment(read):
+    """Customers at the nearest site that has room for their cases, those with the most to lose first (MO-07)."""
+    options, items = _options(read)
+    ceiling = 1.1 * items.agg(F.sum("weight")).head()[0] / read("supplier").count()
+    return AS.assign_under_ceiling(options, ceiling)
+
+
+_SHARDS = """load AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1), known AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS c FROM load),
+item AS (SELECT c_custkey AS item, coalesce(n, (SELECT max(known.n) FROM known WHERE k = c // 2)) AS weight FROM customer LEFT JOIN load ON o_custkey = c_custkey),
+q AS (SELECT *, row_number() OVER (ORDER BY weight DESC, item) AS i FROM item),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS t, CAST(0 AS INTEGER) AS shard
+  UNION ALL SELECT n.i, list_transform(n.t, lambda v, s: v + CASE WHEN s - 1 = n.best THEN n.weight ELSE 0 END), n.best FROM (SELECT q.i, walk.t, q.weight, CAST(list_position(walk.t, list_min(walk.t)) - 1 AS INTEGER) AS best FROM walk JOIN q ON q.i = walk.i + 1) n)"""
+
+
+def _sharded(read):
+    load = read("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("weight"))
+    return AS.shards_by_weight(read("customer").join(load, "c_custkey", "left").select(F.col("c_custkey").alias("item"), "weight"), 12)
+
+
+@query(f"WITH RECURSIVE {_SHARDS} SELECT item, weight, shard FROM walk JOIN q USING (i)")
+def weighted_shards(read):
+    """Customers in twelve shards of like many orders; one without known orders counts as the middle one (SM-06)."""
+    return _sharded(read)
+
+
+@query(f"WITH RECURSIVE {_SHARDS}, s AS (SELECT shard, CAST(sum(weight) AS BIGINT) AS load FROM walk JOIN q USING (i) GROUP BY 1) SELECT count(*) AS shards, min(load) AS lightest, max(load) AS heaviest, CAST(max(load) AS DOUBLE) / min(load) AS spread FROM s")
+def shard_balance(read):
+    """How much heavier the heaviest shard is than the lightest (SM-06)."""
+    return AS.imbalance(_sharded(read))
