@@ -389,8 +389,8 @@ def _settled(length: int, gram: int, shallow: int):
 
 
 def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = GRAM, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, n_bytes, spans array<struct<start, stop>>, kept binary for each row of docs; with carry also row, a struct of
-    all columns of docs.
+    """doc_id, n_bytes, spans array<struct<start, stop>>, kept binary for each row of docs; with carry also kept_text, the kept
+    bytes without the halves of characters at the edges of a removed run, and row, a struct of all columns of docs.
 
     A byte goes when a string of `length` bytes that covers it also starts earlier: in a document of smaller id, or earlier
     in the same one. Strings are judged on the input and never cross documents. Spans are the maximal removed runs.
@@ -430,13 +430,13 @@ def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = GRAM, key:
     spans = gone[0]
     for other in gone[1:]:
         spans = spans.unionByName(other)
-    shape = common.shape(rows, "n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    shape = common.shape(rows, "n_bytes long, spans array<struct<start:long,stop:long>>, kept binary" + (", kept_text string" if carry else ""))
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
         held = Block(table)
         doc, start, stop = _joined(*(spans.column(c).to_numpy() for c in ("doc", "start", "stop")))
         lo, hi = np.searchsorted(doc, held.doc), np.searchsorted(doc, held.doc, "right")
-        kept, places = [], []
+        kept, whole, places = [], [], []
         for i, raw in enumerate(held.raw):
             base, own = int(held.base[i]), []
             for a, b in zip(start[lo[i] : hi[i]].tolist(), stop[lo[i] : hi[i]].tolist()):
@@ -444,14 +444,17 @@ def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = GRAM, key:
                 if a < b:
                     own.append({"start": a, "stop": b})
             edges = [0, *(x for s in own for x in (s["start"], s["stop"])), len(raw)]
-            kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            pieces = [raw[a:b] for a, b in zip(edges[::2], edges[1::2])]
+            kept.append(b"".join(pieces))
+            if carry:  # the input is UTF-8, so only the ends of pieces can be broken
+                whole.append("".join(p.decode(errors="ignore") for p in pieces))
             places.append(own)
         order = pa.array(held.order, pa.int64())
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         columns = [table.column("doc_id").take(order), pa.array(held.size, pa.int64()), pa.array(places, span), pa.array(kept, pa.binary())]
         names = ["doc_id", "n_bytes", "spans", "kept"]
         if carry:
-            columns, names = [*columns, table.column("row").take(order)], [*names, "row"]
+            columns, names = [*columns, pa.array(whole, pa.string()), table.column("row").take(order)], [*names, "kept_text", "row"]
         return pa.table(columns, names=names)
 
     whole = rows.select("*", block).repartition(n, "block").groupBy("block")

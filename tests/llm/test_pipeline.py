@@ -81,3 +81,11 @@ def test_stages_take_odd_rows(spark):
         for name, stage in P.STAGES:
             docs = common.cut(stage(spark, docs, SF), name)
             assert name == "mixing" or docs.columns == columns
+
+
+def test_suffix_dedup_keeps_replacement_characters_of_the_input(spark):
+    shared = "some passage that two texts have in common, of more than one hundred bytes so that it goes from the later one"
+    texts = [f"x\ufffdy {shared} end", f"x\ufffdy \u00e9{shared}\u00e9 \ufffd\ufffd", f"\ufffd{shared}\ufffd"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_removed(dict(enumerate(texts)), 100)
+    assert {r.doc_id: (r.text, r.n_chars) for r in P.suffix_dedup(spark, docs, SF).collect()} == {k: (t := "".join(w[0].decode(errors="ignore")), len(t)) for k, w in want.items()}
