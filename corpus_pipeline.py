@@ -27,7 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group; of rows with one doc_id, the first by the hash of the text. Rows
-    without doc_id, and texts without words, stay."""
+    without doc_id, and texts without words, stay; very long texts count whole; an empty table stays empty; columns of any name
+    pass through."""
     ship(spark)
     kept = near_duplicates(docs, numerator=80, denominator=100, words=5).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     own = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
@@ -39,10 +40,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the bytes of 100-byte strings that also start earlier; halves of characters at the edges of a
-    removed run go too. n_chars is counted anew. A text that repeats others throughout becomes empty, null stays null."""
+    removed run go too, and nothing else. n_chars is counted anew. A text that repeats others throughout becomes empty, null stays
+    null; of repeated rows the later ones lose what they repeat; very long texts count whole; an empty table stays empty; columns
+    of any name pass through."""
     ship(spark)
     out = dedup_substrings(docs, length=100, carry=True)
-    text = F.when(F.col("row.text").isNotNull(), F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.expr("regexp_replace(CAST(kept AS STRING), '\\uFFFD', '')")))
+    text = F.when(F.col("row.text").isNotNull(), F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.col("kept_text")))
     fresh = {"text": text, "n_chars": F.when(F.size("spans") == 0, F.col("row.n_chars")).otherwise(F.length(text))}
     return out.select(*[fresh.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
