@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,15 +15,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct pieces of text whose alignment a worker remembers, and transitions of the transducer; beyond that it starts afresh.
-REMEMBERED, MOVES = 150_000, 400_000
+#: Distinct pieces of text after which a worker lets go of those that were not used since as many before, and transitions of the
+#: transducer, after which it starts afresh.
+REMEMBERED, MOVES = 200_000, 400_000
 #: The most frequent id pairs, whose counts go to every task; the others are joined.
 HELD = 500_000
 #: Links of a task that are counted together.
 COUNTED = 4_000_000
 
-#: A single space between two characters that are no white space: both vocabularies begin a token there, whatever surrounds it.
-_BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+#: A single space, or line end, between two characters that are no white space: both vocabularies begin a token there, whatever
+#: surrounds it. The space goes, as both put one before a piece; the line end stays, a token of its own in both.
+_BOUNDARY = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -36,7 +39,7 @@ def byte_level_names() -> dict[str, int]:
 
 class Transducer:
     """Walks two token sequences of the same bytes. A state is the side that leads and the bytes that the other side still owes;
-    the next token is always the lagging side's. Transitions are remembered by (state, token)."""
+    the next token is always the lagging side's. Transitions are remembered by state and token."""
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
         self.bytes = (a_bytes, b_bytes)
@@ -44,10 +47,17 @@ class Transducer:
 
     def _reset(self) -> None:
         self.names: list[tuple[int, bytes]] = [(1, b"")]  # as if B led by nothing: A's token comes next
-        self.numbers, self.moves = {self.names[0]: 0}, {}
+        self.numbers, self.known = {self.names[0]: 0}, 0
+        self.lead: list[int] = [1]  # the side that leads in each state
+        self.moves: list[dict[int, int]] = [{}]  # by state, then by token
+
+    def _learn(self, state: int, token: int) -> int:
+        """The state after the lagging side's token, from now on remembered; -1 where its bytes contradict those owed."""
+        self.known += 1
+        self.moves[state][token] = after = self._move(state, token)
+        return after
 
     def _move(self, state: int, token: int) -> int:
-        """The state after the lagging side's token; -1 where its bytes contradict those owed."""
         lead, owed = self.names[state]
         own = self.bytes[1 - lead][token]
         if owed.startswith(own):
@@ -61,28 +71,41 @@ class Transducer:
         if after not in self.numbers:
             self.numbers[after] = len(self.names)
             self.names.append(after)
+            self.lead.append(after[0])
+            self.moves.append({})
         return self.numbers[after]
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """(end in a, end in b) of each group: the places where nothing is owed. None if the bytes differ."""
-        if len(self.moves) > MOVES:
+    def align(self, a: list[int], b: list[int], shown: tuple[list[str], list[str]], width: int) -> tuple[int, bytes, list[int]] | None:
+        """(number of groups, the groups as text, the links) of a piece: a group ends where nothing is owed, and its last tokens
+        are its link, a * width + b. None if the bytes differ."""
+        if self.known > MOVES:
             self._reset()
-        out, state, i, j, moves, names = [], 0, 0, 0, self.moves, self.names
-        while i < len(a) or j < len(b):
-            from_b = names[state][0] == 0
-            if (j == len(b)) if from_b else (i == len(a)):
-                return None
-            token = b[j] if from_b else a[i]
-            i, j = (i, j + 1) if from_b else (i + 1, j)
-            after = moves.get((state, token))
-            if after is None:
-                after = moves[state, token] = self._move(state, token)
-            if after < 0:
+        moves, lead = self.moves, self.lead
+        out, links, state, i, j, from_i, from_j, n, m = [], [], 0, 0, 0, 0, 0, len(a), len(b)
+        a_shown, b_shown = shown
+        while i < n or j < m:
+            if lead[state]:  # B leads, so A's token comes next
+                if i == n:
+                    return None
+                token = a[i]
+                i += 1
+            else:
+                if j == m:
+                    return None
+                token = b[j]
+                j += 1
+            after = moves[state].get(token)
+            state = self._learn(state, token) if after is None else after
+            if not state:
+                last = a[i - 1], b[j - 1]
+                head = a_shown[last[0]] if i - from_i == 1 else ",".join([a_shown[x] for x in a[from_i:i]])
+                tail = b_shown[last[1]] if j - from_j == 1 else ",".join([b_shown[x] for x in b[from_j:j]])
+                out.append(f"{head}|{tail}")
+                links.append(last[0] * width + last[1])
+                from_i, from_j = i, j
+            elif state < 0:
                 return None
-            state = after
-            if state == 0:
-                out.append((i, j))
-        return out if state == 0 else None
+        return (len(out), ";".join(out).encode(), links) if state == 0 else None
 
 
 class Aligner:
@@ -106,40 +129,53 @@ class Aligner:
         for entry, k in entries.items():
             a_bytes[k] = bytes(names[c] for c in entry) if all(c in names for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError(f"{b_file} has pieces that join words")
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
+            raise ValueError(f"{b_file} has pieces that join words or lines")
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.transducer, self.width = Transducer(a_bytes, b_bytes), len(b_bytes)
         self.kind = np.dtype("<i4") if len(a_bytes) * len(b_bytes) < 1 << 31 else np.dtype("<i8")
-        self.known: dict[str, tuple | None] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        a_bytes, b_bytes = self.transducer.bytes
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        for piece, a, b in zip(pieces, a_ids, self.b.encode(pieces, num_threads=1)):
-            whole = (" " + piece).encode()
-            ends = self.transducer.groups(a, b)
-            if ends is None or b"".join(map(a_bytes.__getitem__, a)) != whole or b"".join(map(b_bytes.__getitem__, b)) != whole:
-                self.known[piece] = None
-                continue
-            i = j = 0
-            shown, links = [], []
-            for x, y in ends:
-                shown.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-                links.append(a[x - 1] * self.width + b[y - 1])  # the two tokens whose bytes end together
-                i, j = x, y
-            self.known[piece] = (len(a), len(b), len(ends), ";".join(shown).encode(), np.array(links, self.kind).tobytes())
+        self.code = "i" if self.kind.itemsize == 4 else "q"
+        self.shown = list(map(str, range(len(a_bytes)))), list(map(str, range(len(b_bytes))))
+        self.known: dict[str | tuple[str], tuple | None] = {}
+        self.older: dict[str | tuple[str], tuple | None] = {}
+
+    def _learn(self, keys: list[str | tuple[str]]) -> None:
+        """Align pieces. One that goes on after a line end starts with it and has no space before it; one that begins a text with
+        a line end is given as a tuple."""
+        a_bytes, own, known = self.transducer.bytes[0], self.transducer.align, self.known
+        pieces = [k if type(k) is str else k[0] for k in keys]
+        goes_on = [type(k) is str and k[0] == "\n" for k in keys]
+        wholes = [p if g else " " + p for p, g in zip(pieces, goes_on)]
+        encoded = self.b.encode(pieces, num_threads=1)
+        for key, whole, on, a, b in zip(keys, wholes, goes_on, self.a.encode_batch_fast(wholes, add_special_tokens=False), encoded):
+            a = a.ids
+            if on:
+                b = b[1:]  # the space that B puts before every text
+            found = own(a, b, self.shown, self.width)
+            # B's bytes are A's where they align.
+            if found is None or b"".join([a_bytes[x] for x in a]) != whole.encode():
+                known[key] = None
+            else:
+                known[key] = (len(a), len(b), found[0], found[1], array(self.code, found[2]).tobytes())
 
     def align(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, digest, links as bytes) of each text."""
         split = [_BOUNDARY.split(t) if t else [] for t in texts]
-        new = set().union(*split)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        pieces = [p for p in new if p not in self.known]
+        for own in split:
+            if own and own[0][0] == "\n":  # before a text there is a space, though not before what else follows a line end
+                own[0] = (own[0],)
+        if len(self.known) > REMEMBERED:  # what is still in use comes back from there
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        pieces = []
+        for p in set().union(*split) - known.keys():
+            if p in older:
+                known[p] = older[p]
+            else:
+                pieces.append(p)
         for at in range(0, len(pieces), 5000):
             self._learn(pieces[at : at + 5000])
-        get, out = self.known.__getitem__, []
+        get, out = known.__getitem__, []
         for own in split:
             found = list(map(get, own))
             if not found or None in found:
@@ -190,7 +226,7 @@ def align(docs: DataFrame, a_file: str = "byte_bpe_50k.json", b_file: str = "pie
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each row of docs.
 
     A encodes a space and the text, B the text, before which it puts a space itself; strings of special tokens are plain text.
-    Texts are cut at single spaces between other characters, where both vocabularies begin a token, so the alignment of a text
+    Texts are cut at single spaces and line ends between other characters, where both vocabularies begin a token, so the alignment of a text
     is that of its pieces one after the other. A group ends where tokens of both end; these two are its link. n_best and
     count_sum look at the counts of id pairs over all links of docs: the `held` most frequent pairs are looked up in the tasks,
     all others are joined.
