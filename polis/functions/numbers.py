@@ -47,5 +47,6 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def clock_minutes(text: Column) -> Column:
-    """Minutes since midnight of HH:MM or HH.MM."""
-    return F.regexp_extract(text, "^([0-9]{1,2})[:.]([0-9]{2})", 1).cast("int") * 60 + F.regexp_extract(text, "^([0-9]{1,2})[:.]([0-9]{2})", 2).cast("int")
+    """Minutes since midnight of HH:MM or HH.MM; null for any other text."""
+    part = lambda k: F.regexp_extract(text, "^([0-9]{1,2})[:.]([0-9]{2})", k).try_cast("int")
+    return part(1) * 60 + part(2)

@@ -91,8 +91,17 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, reach: float) -> DataFr
 
 def clark_evans(points: DataFrame, area: float, reach: float) -> DataFrame:
     """(n, mean, dispersion) of points (id, x, y) in an area: the mean way to the nearest other point, and its ratio to that of
-    as many random points. Points without another one within reach are left out."""
+    as many random points. Points with another one within reach meet only what lies around them; those still alone look twice as
+    far in each further round, so all count, isolated ones too. A single point has no mean. Rows without coordinates are no points."""
+    from ..operators.graph import _cut
+
+    points = _cut(points.filter("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y"))
     others = points.select(F.col("id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    least = nearest(points, others, 2, reach).filter("site <> id").groupBy("id").agg(F.min("metres").alias("metres"))
+    alone, found, several = points, points.select("id", F.lit(None).cast("double").alias("metres")).limit(0), len(points.select("id").distinct().head(2)) > 1
+    while several and alone.head(1):
+        near = within_reach(alone, others, reach).filter("site <> id").groupBy("id").agg(F.min("metres").alias("metres"))
+        near, reach = _cut(near), 2 * reach
+        found, alone = found.unionByName(near), _cut(alone.join(near, "id", "left_anti"))
     n, mean = F.count("*"), F.avg("metres")
-    return least.agg(n.alias("n"), mean.alias("mean"), (mean / (0.5 * F.sqrt(F.lit(area) / n))).alias("dispersion"))
+    every = points.select("id").distinct().join(found, "id", "left")
+    return every.agg(n.alias("n"), mean.alias("mean"), (mean / (0.5 * F.sqrt(F.lit(area) / F.nullif(n, F.lit(0))))).alias("dispersion"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import placed
+
 
 def _ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values of each group with how many rows lie below and up to them: groups shrink to their distinct values
-    before any window sees them."""
+    """Distinct values of each group with how many rows lie below and up to them: groups shrink to their distinct values, and
+    ranges of these are laid end to end, so a group is no single task's work."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    return counts.withColumn("__to", F.sum("__n").over(w)).withColumn("__from", F.col("__to") - F.col("__n")).withColumn("__all", F.sum("__n").over(whole))
+    laid = placed(counts, by, [F.col(value)], {"__n": "__from"})
+    return laid.withColumn("__to", F.col("__from") + F.col("__n")).withColumnRenamed("__from_all", "__all")
 
 
 def _at(index: Column, value: str) -> Column:
@@ -56,10 +57,8 @@ def exclusive_quartiles(df: DataFrame, by: list[str], value: str, least: int = 4
 
 def weighted_median(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
     """The first value at which the running weight reaches half of all."""
-    sums = df.filter(F.col(weight) > 0).groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    run = F.sum("__w").over(Window.partitionBy(*by).orderBy(value))
-    every = F.sum("__w").over(Window.partitionBy(*by))
-    return sums.withColumn("__run", run).withColumn("__half", every / 2).filter("__run >= __half").groupBy(*by).agg(F.min(value).alias("median"))
+    sums = placed(df.filter(F.col(weight) > 0).groupBy(*by, value).agg(F.sum(weight).alias("__w")), by, [F.col(value)], {"__w": "__run"})
+    return sums.filter(F.col("__run") + F.col("__w") >= F.col("__run_all") / 2).groupBy(*by).agg(F.min(value).alias("median"))
 
 
 def mode(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -77,12 +76,9 @@ def shares(df: DataFrame, by: list[str], within: list[str]) -> DataFrame:
 
 def top_share(df: DataFrame, by: list[str], key: str, value: str, fraction: float) -> DataFrame:
     """The share of a group's sum that its largest keys have, a fraction of them (one at least); ties to the smaller key."""
-    sums = df.groupBy(*by, key).agg(F.sum(value).alias("__v"))
-    whole = Window.partitionBy(*by)
-    rank = F.row_number().over(whole.orderBy(F.desc("__v"), key))
-    keep = F.greatest(F.lit(1), F.floor(F.count("*").over(whole) * fraction))
-    ranked = sums.withColumn("__r", rank).withColumn("__k", keep)
-    return ranked.groupBy(*by).agg(F.max("__k").alias("keys"), (F.sum(F.when(F.col("__r") <= F.col("__k"), F.col("__v"))) / F.sum("__v")).alias("share"))
+    sums = placed(df.groupBy(*by, key).agg(F.sum(value).alias("__v")), by, [F.desc("__v"), F.col(key)])
+    keep = F.greatest(F.lit(1), F.floor(F.col("rows") * fraction))
+    return sums.groupBy(*by).agg(F.max(keep).alias("keys"), (F.sum(F.when(F.col("place") <= keep, F.col("__v"))) / F.sum("__v")).alias("share"))
 
 
 def histogram(df: DataFrame, by: list[str], value: str, edges: list[float]) -> DataFrame:

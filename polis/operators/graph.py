@@ -83,13 +83,14 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def route_cost(tree: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(leaf, hops, cost) of each leaf's way up the parents of a tree (node, parent, cost) to its root."""
-    parents = tree.select("node", "parent")
-    at = _cut(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("hops")))
-    while True:
-        up = at.join(parents, "node", "left")
-        at = _cut(up.select("leaf", F.coalesce("parent", "node").alias("node"), (F.col("hops") + F.col("parent").isNotNull().cast("long")).alias("hops"), F.col("parent").isNotNull().alias("moved")))
-        if not at.filter("moved").head(1):
+    """(leaf, hops, cost) of each leaf's way up the parents of a tree (node, parent, cost) to its root. Pointers double, so the
+    rounds are as many as the longest way has binary digits; a leaf whose way runs into a cycle has no root and is left out."""
+    up = _cut(tree.select("node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("hops")))
+    for _ in range(up.count().bit_length() + 1):
+        if not up.filter("up IS NOT NULL").head(1):
             break
-        at = at.drop("moved")
-    return at.select("leaf", "hops").join(tree.select(F.col("node").alias("leaf"), "cost"), "leaf")
+        ahead = up.select(F.col("node").alias("up"), F.col("up").alias("then"), F.col("hops").alias("more"))
+        up = _cut(up.join(ahead, "up", "left").select("node", F.col("then").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+    rooted = up.filter("up IS NULL").select(F.col("node").alias("leaf"), "hops")
+    own = leaves.select(F.col("node").alias("leaf"))
+    return own.join(rooted, "leaf").join(tree.select(F.col("node").alias("leaf"), "cost"), "leaf").select("leaf", "hops", "cost")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, right_order: str, take: list[str]) -> DataFrame:
     """left with the columns `take` of the latest right row of the same key up to its time; of equal times the largest
-    right_order. Both sides meet in one sorted stream for each key, so no pair is ever built."""
+    right_order. A null key or time matches nothing. Both sides meet in one sorted stream for each key, so no pair is ever built."""
     value = F.struct(*take)
+    right = right.filter(F.col(by).isNotNull() & F.col(right_time).isNotNull())
     rows = left.select(F.col(by).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__o"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("__r"))
     more = right.select(F.col(by).alias("__k"), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(right_order).cast("long").alias("__o"), F.lit(None).cast(rows.schema["__l"].dataType).alias("__l"), value.alias("__r"))
     w = Window.partitionBy("__k").orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)

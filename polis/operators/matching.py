@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import _cut
@@ -34,14 +34,27 @@ def prefix_extensions(keys: DataFrame, candidates: DataFrame, by: str, key: str,
     return met.groupBy(*rest).agg(F.max_by(key, F.length(key)).alias(key))
 
 
-def longest_contained(texts: DataFrame, names: DataFrame, text: str, name: str, most_words: int = 3) -> DataFrame:
-    """texts with the longest name that stands in them as whole words, ties to the smaller; null without one. Names have at most
-    most_words words, so a text meets them on its runs of words, by an equi-join."""
+def _runs(words: Column, n: int) -> Column:
+    """All runs of n words, joined by spaces."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def longest_contained(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
+    """texts with the longest name that stands in them as whole words, ties to the smaller; null without one, or without a text.
+
+    A text meets the names by an equi-join on its runs of as many words as names have; their word counts are looked up first.
+    A text is matched once, however many rows have it.
+    """
+    known = names.filter(F.col(name).isNotNull()).select(name).distinct()
+    counts = sorted(r["n"] for r in known.select(F.size(F.split(name, " ")).alias("n")).distinct().collect())
+    if not counts:
+        return texts.withColumn(name, F.lit(None).cast("string"))
     words = F.split(text, " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
-    met = texts.withColumn(name, F.explode(F.array_distinct(runs))).join(names.select(name).distinct(), name)
-    best = met.groupBy(*texts.columns).agg(F.min(F.struct((-F.length(name)).alias("l"), F.col(name).alias("n"))).alias("__b"))
-    return texts.join(best.select(*texts.columns, F.col("__b.n").alias(name)), texts.columns, "left")
+    runs = F.array_distinct(F.concat(*[_runs(words, n) for n in counts]))
+    met = texts.filter(F.col(text).isNotNull()).select(text).distinct().withColumn(name, F.explode(runs)).join(known, name)
+    best = met.groupBy(text).agg(F.min(F.struct((-F.length(name)).alias("l"), F.col(name).alias("n"))).alias("__b"))
+    return texts.join(best.select(text, F.col("__b.n").alias(name)), text, "left").select(*texts.columns, name)
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

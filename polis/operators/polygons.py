@@ -190,15 +190,20 @@ def overlap_shares(absorbers: DataFrame, units: DataFrame, within: str, radii: l
         for c, places in (("x", F.transform(ring, lambda p: p["x"])), ("y", F.transform(ring, lambda p: p["y"]))):
             low, high = (F.floor(f(places) / cell).cast("long") for f in (F.array_min, F.array_max))
             df = df.withColumn(f"{name}_min_{c}", low).withColumn(f"__{c}", F.explode(F.sequence(low, high)))
+            df = df.withColumn(f"{name}_low_{c}", F.array_min(places)).withColumn(f"{name}_high_{c}", F.array_max(places))
         return df
 
     wide = absorbers.filter(F.col("ring").isNotNull()).select("absorber", within, F.col("ring").alias("core")).withColumn("radius", F.explode(F.array(*map(F.lit, map(float, radii)))))
     wide = boxed(wide.withColumn("window", buffered(F.col("core"), F.col("radius"), sides)).drop("core"), "window", "w")
     own = boxed(units.filter(F.col("ring").isNotNull()).select("unit", within, "ring", "seat_x", "seat_y"), "ring", "u")
     met = wide.join(own, [within, "__x", "__y"]).filter("absorber <> unit AND __x = greatest(w_min_x, u_min_x) AND __y = greatest(w_min_y, u_min_y)")
+    met = met.filter("u_low_x <= w_high_x AND w_low_x <= u_high_x AND u_low_y <= w_high_y AND w_low_y <= u_high_y")
     part = F.abs(P.signed_area(clipped(F.col("ring"), F.col("window")))) / F.abs(P.signed_area(F.col("ring")))
+    whole = F.forall("ring", lambda p: covers(F.col("window"), p["x"], p["y"]))
     seat = F.coalesce(covers(F.col("window"), F.col("seat_x"), F.col("seat_y")), F.lit(False))
-    out = met.select("absorber", "radius", "unit", F.round(part, decimals).alias("share"), seat.alias("seat_inside"))
+    # A generator keeps the filter from working the share out once more.
+    share = F.explode(F.array(F.when(whole, 1.0).otherwise(F.round(part, decimals))))
+    out = met.select("absorber", "radius", "unit", share.alias("share"), seat.alias("seat_inside"))
     return out.filter((F.col("share") >= least) | F.col("seat_inside"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import placed
+
 
 def gaps(df: DataFrame, key: str, time: str, order: str) -> DataFrame:
     """df with gap_s, the seconds since the row before of the same key."""
@@ -14,11 +16,10 @@ def gaps(df: DataFrame, key: str, time: str, order: str) -> DataFrame:
 
 def cut_points(df: DataFrame, by: str, key: str, benefit: str, marks: list[float]) -> DataFrame:
     """(by, mark, keys): how many keys, the largest benefit first, reach each share of the group's benefit."""
-    w = Window.partitionBy(by)
-    order = w.orderBy(F.desc(benefit), key)
-    ranked = df.select(by, F.row_number().over(order).alias("r"), F.sum(benefit).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum(benefit).over(w).alias("all"))
-    each = ranked.select(by, "r", "run", "all", F.explode(F.array(*map(F.lit, marks))).alias("mark"))
-    return each.filter(F.col("run") >= F.col("mark") * F.col("all")).groupBy(by, "mark").agg(F.min("r").cast("long").alias("keys"))
+    ranked = placed(df.select(by, key, benefit), [by], [F.desc(benefit), F.col(key)], {benefit: "run"})
+    first = [F.min(F.when(F.col("run") + F.col(benefit) >= F.lit(m) * F.col("run_all"), F.col("place"))).alias(f"m{k}") for k, m in enumerate(marks)]
+    at = F.inline(F.array(*[F.struct(F.lit(m).alias("mark"), F.col(f"m{k}").alias("keys")) for k, m in enumerate(marks)]))
+    return ranked.groupBy(by).agg(*first).select(by, at).filter("keys IS NOT NULL")
 
 
 def fifo_ledger(df: DataFrame, by: str, order: list[str], key: str, amount: str, is_cut: str) -> DataFrame:
@@ -38,8 +39,10 @@ def fifo_ledger(df: DataFrame, by: str, order: list[str], key: str, amount: str,
 
 def regret(df: DataFrame, key: str, option: str, cost: str) -> DataFrame:
     """The cheapest option of each key and what the second cheapest costs more; null with one option."""
-    two = F.slice(F.array_sort(F.collect_list(F.struct(cost, option))), 1, 2)
-    return df.groupBy(key).agg(two.alias("t")).select(key, F.col("t")[0][option].alias("best"), F.when(F.size("t") > 1, F.element_at("t", 2)[cost] - F.col("t")[0][cost]).alias("regret"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(cost, option))
+    two = df.select(key, option, cost).withColumn("__p", place).filter("__p <= 2")  # each task hands on two of a key at most
+    at = lambda k, c: F.max(F.when(F.col("__p") == k, F.col(c)))
+    return two.groupBy(key).agg(at(1, option).alias("best"), (at(2, cost) - at(1, cost)).alias("regret"))
 
 
 def effective_value(df: DataFrame, date: str, series: list[tuple[str, float]]) -> DataFrame:

@@ -185,12 +185,13 @@ def tolerant_names(read):
 
 
 @query(f"""
-WITH {_POINTS}, d AS (SELECT a.id, min(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))) AS metres FROM p a JOIN p b ON a.id <> b.id GROUP BY 1 HAVING metres <= 250)
-SELECT count(*) AS n, round(avg(metres), 6) AS mean, round(avg(metres) / (0.5 * sqrt(1000000.0 / count(*))), 6) AS dispersion FROM d
+WITH {_POINTS}, d AS (SELECT a.id, min(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))) AS metres FROM p a JOIN p b ON a.id <> b.id GROUP BY 1)
+SELECT count(*) AS n, round(avg(metres), 6) AS mean, round(avg(metres) / (0.5 * sqrt(1000.0 * (SELECT max(y) + 1 FROM p) / count(*))), 6) AS dispersion FROM d
 """)
 def dispersion(read):
     """The mean way to the nearest neighbour against that of random points (SP-13)."""
-    return P.clark_evans(_points(read), 1_000_000.0, 250.0).select("n", F.round("mean", 6).alias("mean"), F.round("dispersion", 6).alias("dispersion"))
+    area = 1000.0 * (_points(read).agg(F.max("y")).head()[0] + 1)
+    return P.clark_evans(_points(read), area, 25.0).select("n", F.round("mean", 6).alias("mean"), F.round("dispersion", 6).alias("dispersion"))
 
 
 @query("""

@@ -480,21 +480,25 @@ def extracted_codes(read):
 
 @query("""SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY 1""")
 def json_field(read):
-    """A field of embedded JSON (SC-03, SC-15)."""
-    return read("events").groupBy((F.get_json_object("props", "$.k").cast("long") % 10).alias("k")).agg(F.count("*").alias("n"))
+    """A field of embedded JSON (SC-03)."""
+    return read("events").groupBy((F.get_json_object("props", "$.k").try_cast("long") % 10).alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("""
-WITH p AS (SELECT s_suppkey, (s_suppkey % 90) - 45.0 AS lat, (s_suppkey * 7 % 360) - 180.0 AS lon, s_nationkey FROM supplier)
-SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS metres
-FROM p a JOIN p b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
+WITH p AS (SELECT s_suppkey, (s_suppkey * 37 % 90) - 45.0 AS lat, (s_suppkey * 17 % 60) - 30.0 AS lon FROM supplier),
+d AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS metres FROM p a JOIN p b ON a.s_suppkey < b.s_suppkey)
+SELECT a, b, metres FROM d WHERE metres <= 500000
 """)
 def haversine_pairs(read):
-    """Great-circle distances within a partition (SP-01)."""
-    place = [((F.col("s_suppkey") % 90) - 45.0).alias("lat"), ((F.col("s_suppkey") * 7 % 360) - 180.0).alias("lon")]
-    a = read("supplier").select("s_nationkey", F.col("s_suppkey").alias("a"), *place)
-    b = a.select("s_nationkey", F.col("a").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return a.join(b, "s_nationkey").filter("a < b").select("a", "b", F.round(N.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3).alias("metres"))
+    """Suppliers within 500 km of one another by great circles, met on cells of ten degrees, which up to 60 degrees of latitude
+    are wider than that (SP-01)."""
+    a = read("supplier").select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 37 % 90) - 45.0).alias("lat"), ((F.col("s_suppkey") * 17 % 60) - 30.0).alias("lon"))
+    a = a.withColumn("row", F.floor(F.col("lat") / 10)).withColumn("column", F.floor((F.col("lon") + 180) / 10))
+    b = a.select(F.col("a").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "row", "column")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    b = b.withColumn("s", F.explode(around)).withColumn("row", F.col("row") + F.col("s.i")).withColumn("column", F.pmod(F.col("column") + F.col("s.j"), F.lit(36)))
+    metres = F.round(N.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3)
+    return a.join(b, ["row", "column"]).filter("a < b").select("a", "b", metres.alias("metres")).filter("metres <= 500000")
 
 
 @query("""
@@ -511,7 +515,7 @@ def step_rounding(read):
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def tumbling_windows(read):
-    """Events in windows side by side (SM-01)."""
+    """Events in windows side by side, as a stream would see them."""
     out = E.tumbling(read("events"), "ts", "1 hour", ["event_type"], "value")
     return out.withColumn("total", F.round("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
@@ -520,7 +524,7 @@ def tumbling_windows(read):
 SELECT time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour' * k AS window_start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1
 """)
 def sliding_windows(read):
-    """Events in windows of two hours that start every hour (SM-01)."""
+    """Events in windows of two hours that start every hour, as a stream would see them."""
     return E.sliding(read("events"), "ts", "2 hours", "1 hour", []).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -529,44 +533,52 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '1 hour' AS session_end, count(*) AS n FROM s GROUP BY user_id, k
 """)
 def session_windows(read):
-    """Runs of a user's events (SM-01)."""
+    """Runs of a user's events, as a stream would see them."""
     out = E.sessions(read("events"), "ts", "1 hour", ["user_id"])
     return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
 
 
 # --- Graphs -----------------------------------------------------------------------------------------------------------------
 
-_EDGES = """e AS (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST((n_nationkey * 7 + 3) % 25 AS BIGINT) AS b, CAST(1 + n_nationkey % 5 AS BIGINT) AS cost FROM nation WHERE n_nationkey % 4 <> 3),
+_EDGES = """e AS (SELECT c_custkey AS a, c_custkey + s AS b, 1 + c_custkey % 5 AS cost FROM customer, (SELECT unnest([1, 40]) AS s)
+  WHERE c_custkey + s <= (SELECT max(c_custkey) FROM customer) AND CASE s WHEN 1 THEN c_custkey % 40 <> 39 AND c_custkey * 7 % 5 <> 0 ELSE c_custkey * 11 % 3 <> 0 END),
 u AS (SELECT a, b, min(cost) AS cost FROM (SELECT a, b, cost FROM e UNION ALL SELECT b, a, cost FROM e) WHERE a <> b GROUP BY 1, 2)"""
 
 
 def _edges(read):
-    key = F.col("n_nationkey").cast("long")
-    return read("nation").filter("n_nationkey % 4 <> 3").select(key.alias("a"), ((key * 7 + 3) % 25).alias("b"), (1 + key % 5).alias("cost"))
+    """Customers on a grid, 40 in a row, most linked with the next in their row and in their column."""
+    k, step = F.col("c_custkey").cast("long"), F.col("step")
+    own = read("customer").select(k.alias("a"), F.explode(F.array(F.lit(1), F.lit(40))).alias("step"))
+    linked = F.when(step == 1, (F.col("a") % 40 != 39) & (F.col("a") * 7 % 5 != 0)).otherwise(F.col("a") * 11 % 3 != 0)
+    rows = own.filter(linked).select("a", (F.col("a") + step).alias("b"), (1 + F.col("a") % 5).alias("cost"))
+    return rows.join(read("customer").select(k.alias("b")), "b").select("a", "b", "cost")
+
+
+def _nodes(read):
+    return read("customer").select(F.col("c_custkey").cast("long").alias("node"))
 
 
 @query(f"""
-WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(n_nationkey AS BIGINT) AS other FROM nation UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a)
+WITH RECURSIVE {_EDGES}, r AS (SELECT c_custkey AS node, c_custkey AS other FROM customer UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a)
 SELECT node, min(other) AS component FROM r GROUP BY 1
 """)
 def graph_components(read):
     """Connected sets of nodes (GR-09)."""
-    return G.components(_edges(read), read("nation").select(F.col("n_nationkey").cast("long").alias("node")))
+    return G.components(_edges(read), _nodes(read))
 
 
 @query(f"""
-WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(n_nationkey AS BIGINT) AS source, CAST(0 AS BIGINT) AS cost FROM nation WHERE n_nationkey IN (0, 10, 20)
-  UNION SELECT u.b, r.source, r.cost + u.cost FROM r JOIN u ON r.node = u.a WHERE r.cost + u.cost <= 40),
-k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, source) AS k FROM r)
-SELECT node, source, cost FROM k WHERE k = 1
+WITH RECURSIVE {_EDGES}, r(node, m) USING KEY (node) AS (SELECT c_custkey, {{'c': CAST(0 AS BIGINT), 's': c_custkey}} FROM customer WHERE c_acctbal >= 9800
+  UNION SELECT u.b, min({{'c': r.m.c + u.cost, 's': r.m.s}}) FROM r JOIN u ON u.a = r.node LEFT JOIN recurring.r o ON o.node = u.b WHERE o.node IS NULL OR {{'c': r.m.c + u.cost, 's': r.m.s}} < o.m GROUP BY 1)
+SELECT node, m.s AS source, m.c AS cost FROM r
 """)
 def nearest_source(read):
     """The nearest of several sources along edges, ties to the smaller (GR-02)."""
-    sources = read("nation").filter("n_nationkey IN (0, 10, 20)").select(F.col("n_nationkey").cast("long").alias("node"), F.lit(0).cast("long").alias("cost"))
+    sources = read("customer").filter("c_acctbal >= 9800").select(F.col("c_custkey").cast("long").alias("node"), F.lit(0).cast("long").alias("cost"))
     return G.nearest_source(_edges(read), sources).drop("parent")
 
 
-@query(f"WITH {_EDGES} SELECT CAST(n_nationkey AS BIGINT) AS node, count(u.b) AS degree FROM nation LEFT JOIN u ON u.a = n_nationkey GROUP BY 1")
+@query(f"WITH {_EDGES} SELECT c_custkey AS node, count(u.b) AS degree FROM customer LEFT JOIN u ON u.a = c_custkey GROUP BY 1")
 def node_degrees(read):
     """Neighbours of each node, none for isolated ones (GR-10)."""
-    return G.degrees(_edges(read), read("nation").select(F.col("n_nationkey").cast("long").alias("node")))
+    return G.degrees(_edges(read), _nodes(read))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import placed
+
 
 def parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """A mart as zstd Parquet, dealt by its partition columns so that each folder is written by few tasks."""
@@ -21,7 +23,7 @@ def json_lines(df: DataFrame, path: str, order: list[str]) -> None:
 def interned(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(df with the column's codes, (code, value)): codes count up in the order of the values, which are a vocabulary."""
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    codes = values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    codes = placed(values, [], [F.col("value")]).select("value", (F.col("place") - 1).cast("int").alias("code"))
     out = df.join(codes.withColumnRenamed("value", "__v"), F.col(column) == F.col("__v"), "left").drop(column, "__v")
     return out.withColumnRenamed("code", column), codes.select("code", "value")
 

@@ -5,11 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from polis.functions import numbers as N
+from polis.functions import places as P
 from polis.functions import text as X
 from polis.operators import aggregates as A
 from polis.operators import graph as G
 from polis.operators import joins as J
+from polis.operators import matching as MT
 from polis.operators import models as M
+from polis.operators import ranges as R
 from polis.operators import windows as W
 from polis.sources import sinks, tables
 from polis.streaming import events as E
@@ -157,3 +160,57 @@ def test_streams_agree_with_batches(spark, sf_dir, tmp_path):
     key = ["window_start", "event_type", "n"]
     got = sorted(map(tuple, spark.table("tumbled").select(key).collect()))
     assert got == sorted(map(tuple, E.tumbling(events, "ts", "1 day", ["event_type"], "value").select(key).collect()))
+
+
+def test_as_of_matches_no_nulls(spark):
+    left = spark.createDataFrame([(None, 1), (1, None), (1, 5)], "k int, t int")
+    right = spark.createDataFrame([(None, 0, 1, "a"), (1, None, 2, "b"), (1, 5, 3, "c")], "k int, t int, o int, v string")
+    assert {(r.k, r.t): r.v for r in J.as_of(left, right, "k", "t", "t", "o", ["v"]).collect()} == {(None, 1): None, (1, None): None, (1, 5): "c"}
+
+
+def test_longest_contained_takes_names_of_any_length(spark):
+    texts = [(1, "a b c d e", "x"), (1, "a b c d e", "x"), (2, "a b c d e", None), (3, "b c", "x"), (4, None, "x"), (5, "", None)]
+    names = spark.createDataFrame([("b c d e",), ("b c",), ("c d",), ("zz",), (None,)], "n string")
+    out = MT.longest_contained(spark.createDataFrame(texts, "id int, t string, o string"), names, "t", "n")
+    assert sorted((r.id, r.n) for r in out.filter("n IS NOT NULL").collect()) == [(1, "b c d e"), (1, "b c d e"), (2, "b c d e"), (3, "b c")]
+    assert out.count() == 6
+    assert MT.longest_contained(out.drop("n"), names.limit(0), "t", "n").filter("n IS NULL").count() == 6
+
+
+def test_dispersion_counts_isolated_points(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 3.0), (3, 100.0, 0.0), (4, None, 1.0)], "id int, x double, y double")
+    row = P.clark_evans(points, 10_000.0, 1.0).head()
+    assert (row.n, row["mean"]) == (3, pytest.approx((3 + 3 + 100) / 3)) and row.dispersion == pytest.approx(row["mean"] / (0.5 * (10_000 / 3) ** 0.5))
+    assert tuple(P.clark_evans(points.limit(1), 1.0, 1.0).head())[:2] == (1, None) and P.clark_evans(points.limit(0), 1.0, 1.0).head().n == 0
+
+
+def test_clock_texts_that_are_no_times_are_null(spark):
+    df = spark.createDataFrame([("08:30",), ("7.05 h",), ("closed",), ("",), (None,)], "t string")
+    assert [r.m for r in df.select(N.clock_minutes(F.col("t")).alias("m")).collect()] == [510, 425, None, None, None]
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.95])
+def test_placed_ranks_and_sums_hot_groups(spark, hot):
+    import random
+
+    rng = random.Random(7)
+    rows = [(None if rng.random() < 0.05 else "h" if rng.random() < hot else rng.choice("ab"), rng.randint(0, 20), k, rng.randint(1, 9)) for k in range(400)]
+    out = R.placed(spark.createDataFrame(rows, "g string, v int, id int, w int").repartition(7), ["g"], [F.desc("v"), F.col("id")], {"w": "run"}).collect()
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        before = [sum(r[3] for r in own[:k]) for k in range(len(own))]
+        got = {r.id: (r.place, r.run, r.run_all, r.rows) for r in out if r.g == g}
+        assert got == {r[2]: (k + 1, before[k], sum(x[3] for x in own), len(own)) for k, r in enumerate(own)}
+    assert [r.place for r in R.placed(spark.createDataFrame([("b",), ("a",)], "v string"), [], [F.col("v")]).orderBy("v").collect()] == [1, 2]
+    assert R.placed(spark.createDataFrame([], "v string"), [], [F.col("v")]).count() == 0
+
+
+def test_regret_and_one_option(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 9), ("b", 1, 4)], "k string, o int, c int")
+    assert sorted(map(tuple, W.regret(df, "k", "o", "c").collect())) == [("a", 1, 0), ("b", 1, None)]
+
+
+def test_route_cost_ends_on_cycles(spark):
+    tree = spark.createDataFrame([(1, None, 0), (2, 1, 4), (3, 2, 9), (4, 5, 1), (5, 4, 1), (6, 5, 1)], "node long, parent long, cost long")
+    out = G.route_cost(tree, spark.createDataFrame([(3,), (1,), (6,)], "node long"))
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 0), (3, 2, 9)]
