@@ -127,3 +127,45 @@ def decoded(raw: Column) -> Column:
 def flattened(text: Column) -> Column:
     """The folded forms of a name in which an accented a-circumflex was made a or i."""
     return F.array_distinct(F.array(*[fold(F.translate(text, "Ââ", plain)) for plain in ("Aa", "Ii")]))
+
+
+def join_key(name: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Letters and digits of a folded name, in which spellings of two registers meet; an alias stands for another key. Aliases are
+    given as keys."""
+    key = F.regexp_replace(fold(name), "[^A-Z0-9]", "")
+    if not aliases:
+        return key
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, key), key)
+
+
+def titles(cell: Column, heads: str) -> Column:
+    """The titles of a cell as a struct (kind, titles, qualifier); heads is a regular expression for the words that a title begins
+    with, matched on the folded text.
+
+    Semicolons, else commas, else slashes separate titles where every part begins like one. After the last semicolon's title a
+    comma may bring in a qualifier of all of them (kind mixed). A cell whose semicolons part something else stays whole and needs
+    a review; without separators, or where commas and slashes part something else, it is a single title. Blank cells have none.
+    """
+    raw = F.trim(F.regexp_replace(cell, "\\s+", " "))
+    raw = F.trim(F.regexp_replace(raw, "^[;,\\s]+|[;,\\s]+$", ""))
+    is_title = lambda t: fold(t).rlike(f"^(?:{heads})\\b")
+
+    def parts(separator: str) -> Column:
+        cut = F.transform(F.split(raw, separator), lambda p: F.regexp_replace(p, "^[ .;,/]+|[ .;,/]+$", ""))
+        return F.filter(cut, lambda p: p != "")
+
+    by_semicolon, by_comma, by_slash = parts(";"), parts(","), parts("/")
+    last = F.element_at(by_semicolon, -1)
+    head, tail = F.trim(F.substring_index(last, ",", 1)), F.trim(F.regexp_replace(last, "^[^,]*,", ""))
+    qualified = last.contains(",") & is_title(head) & ~is_title(tail)
+    own = F.when(qualified, F.concat(F.slice(by_semicolon, 1, F.size(by_semicolon) - 1), F.array(head))).otherwise(by_semicolon)
+    every = lambda a: (F.size(a) > 1) & F.forall(a, is_title)
+    none = F.lit(None).cast("string")
+    make = lambda kind, found, qualifier=none: F.struct(F.lit(kind).alias("kind"), found.alias("titles"), qualifier.alias("qualifier"))
+    single = make("single", F.array(raw))
+    semicolon = F.when(F.size(by_semicolon) < 2, single).when(~every(own), make("needs_review", F.array(raw))).when(qualified, make("mixed", own, tail)).otherwise(make("semicolon", own))
+    comma = F.when(every(by_comma), make("comma", by_comma)).otherwise(single)
+    slash = F.when(every(by_slash), make("slash", by_slash)).otherwise(single)
+    some = F.when(raw.contains(";"), semicolon).when(raw.contains(","), comma).when(raw.contains("/"), slash).otherwise(single)
+    return F.when(F.coalesce(raw, F.lit("")) != "", some).otherwise(make("single", F.array().cast("array<string>")))

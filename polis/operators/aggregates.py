@@ -118,3 +118,32 @@ def head_counts(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
 def strict_sum(value: Column) -> Column:
     """A sum that is null if any member is."""
     return F.when(F.count(value) == F.count(F.lit(1)), F.sum(value))
+
+
+def before_after(df: DataFrame, by: list[str], before: str, after: str) -> DataFrame:
+    """(by, n, before, after, saved, ratio, median_before, median_after) of the rows that have both: totals, what is saved, the ratio
+    of the sums (null where before sums to 0) and both medians."""
+    rows = df.filter(F.col(before).isNotNull() & F.col(after).isNotNull())
+    b, a = F.sum(before), F.sum(after)
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), b.alias("before"), a.alias("after"), (b - a).alias("saved"), F.when(b != 0, a.cast("double") / b.cast("double")).alias("ratio"))
+    for value, name in ((before, "median_before"), (after, "median_after")):
+        of = [f"__{c}" for c in by]
+        middle = quantiles(rows, by, value, {name: 0.5}).drop("n").withColumnsRenamed(dict(zip(by, of)))
+        on = [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(by, of)]
+        out = (out.join(middle, on) if on else out.join(F.broadcast(middle))).drop(*of)  # without groups one row
+    return out
+
+
+def decile_spread(df: DataFrame, by: list[str], value: str, least: int = 9) -> DataFrame:
+    """(by, n, p10, p50, p90, most_to_least, p90_to_p10) by exclusive quantiles, whose places are multiples of n + 1, of groups of at
+    least `least` values; ratios are null where the lower value is 0."""
+    n, ranked = F.col("__all"), _ranked(df, by, value)
+
+    def decile(k: int) -> Column:
+        place = (n + 1) * k / 10
+        j = F.greatest(F.lit(1), F.least(F.floor(place), n - 1))
+        return _at(j - 1, value) + (_at(j, value) - _at(j - 1, value)) * F.max(place - j)
+
+    sums = ranked.filter(n >= least).groupBy(*by).agg(F.max(n).alias("n"), *[decile(k).alias(f"p{k}0") for k in (1, 5, 9)], F.max(value).alias("__most"), F.min(value).alias("__least"))
+    over = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
+    return sums.select(*by, "n", "p10", "p50", "p90", over("__most", "__least").alias("most_to_least"), over("p90", "p10").alias("p90_to_p10"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import join_key
+
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, right_order: str, take: list[str]) -> DataFrame:
     """left with the columns `take` of the latest right row of the same key up to its time; of equal times the largest
@@ -83,3 +85,21 @@ def in_bands(df: DataFrame, value: Column, bands: list[tuple[float, float | None
         inside = (value >= low) if high is None else (value >= low) & (value < high)
         out = F.when(inside, F.lit(label)).otherwise(out)
     return out
+
+
+def compared_registers(left: DataFrame, right: DataFrame, name: str, left_measure: str, right_measure: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(key, status, left, right, ratio, left_share, right_share, divergence) of two registers whose names are spelled differently:
+    both are folded to one key, with aliases, and summed by it. status is matched, left_only or right_only.
+
+    Shares are of the matched keys' totals alone, so that no unmatched one makes all others too small; divergence is how much
+    larger the left share is. ratio is left over right, null where right is 0. Null names match nothing and are left out.
+    """
+    side = lambda df, measure, of: df.select(join_key(F.col(name), aliases).alias("key"), F.col(measure).alias("v")).filter("key <> ''").groupBy("key").agg(F.coalesce(F.sum("v"), F.lit(0)).alias(of))
+    both = side(left, left_measure, "left").join(side(right, right_measure, "right"), "key", "full")
+    matched = F.col("left").isNotNull() & F.col("right").isNotNull()
+    totals = both.filter(matched).agg(F.sum("left").alias("__l"), F.sum("right").alias("__r"))
+    share = lambda of, total: F.when(matched & (F.col(total) != 0), F.col(of) / F.col(total))
+    status = F.when(matched, "matched").when(F.col("left").isNotNull(), "left_only").otherwise("right_only")
+    out = both.join(F.broadcast(totals)).withColumn("left_share", share("left", "__l")).withColumn("right_share", share("right", "__r"))  # one row
+    ratio = F.when(matched & (F.col("right") != 0), F.col("left") / F.col("right"))
+    return out.select("key", status.alias("status"), "left", "right", ratio.alias("ratio"), "left_share", "right_share", (F.col("left_share") - F.col("right_share")).alias("divergence"))

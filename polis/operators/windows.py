@@ -57,3 +57,13 @@ def compound(df: DataFrame, key: str, order: list[str], start: float, rate: str)
     """The amount of each key after all rates in order, rounded down to whole units at every step."""
     rates = F.transform(F.array_sort(F.collect_list(F.struct(*order, rate))), lambda s: s[rate])
     return df.groupBy(key).agg(F.count("*").alias("n"), F.aggregate(rates, F.lit(float(start)), lambda total, r: F.floor(total * (1 + r)).cast("double")).alias("amount"))
+
+
+def priority_curve(df: DataFrame, by: list[str], key: str, cost: str, benefit: str) -> DataFrame:
+    """(by, key, cost, benefit, each, place, cost_so_far, benefit_so_far, share): what a unit of benefit costs, the cheapest first
+    (ties to the smaller key), with running sums and the share of all benefit that is reached by then. Rows without a benefit
+    above 0, or without a cost, are on no curve."""
+    rows = df.filter((F.col(benefit) > 0) & F.col(cost).isNotNull()).select(*by, key, cost, benefit, (F.col(cost) / F.col(benefit)).alias("each"))
+    laid = placed(rows, by, [F.col("each"), F.col(key)], {cost: "__c", benefit: "__b"})
+    so_far = [(F.col("__c") + F.col(cost)).alias("cost_so_far"), (F.col("__b") + F.col(benefit)).alias("benefit_so_far"), ((F.col("__b") + F.col(benefit)) / F.col("__b_all")).alias("share")]
+    return laid.select(*by, key, cost, benefit, "each", "place", *so_far)

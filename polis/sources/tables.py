@@ -71,3 +71,38 @@ def xml_rows(df: DataFrame, column: str, schema: str, items: str) -> DataFrame:
     """A row for each entry of the repeated child `items` of an XML element, beside the element's other fields."""
     rows = df.select(F.from_xml(column, schema).alias("x")).select("x.*")
     return rows.select(*[c for c in rows.columns if c != items], F.inline(items))
+
+
+def shredded(df: DataFrame, column: str, schema: str, key: list[str], children: dict[str, str], root: list[str]) -> dict[str, DataFrame]:
+    """Flat tables of nested XML elements, each parsed once: "root" has key and the fields `root`; each child, named by where its
+    array lies in the element ("line", or "line.event" for an array in each entry of another), has key, the place (from 0) of every
+    entry on the way, as place_<name>, and the entry's plain fields. Elements that can't be parsed or lack a key are left out of all; absent
+    children give no rows. The parsed elements are kept in the shared folder, so the tables don't parse them again."""
+    from ..operators.graph import _cut
+
+    parsed = _cut(df.select(F.from_xml(column, schema).alias("x")).select("x.*").filter(F.coalesce(*[F.col(c).cast("string") for c in key]).isNotNull()))
+    out = {"root": parsed.select(*key, *root)}
+    for name, path in children.items():
+        rows, at, places = parsed, "", []
+        for step in path.split("."):
+            entry = f"__{step}"
+            rows = rows.select(*[c for c in rows.columns if c in key or c in places], F.posexplode(f"{at}{step}").alias(f"place_{step}", entry))
+            places, at = [*places, f"place_{step}"], f"{entry}."
+        plain = [f for f in rows.schema[entry].dataType.fields if f.dataType.typeName() not in ("array", "struct", "map")]
+        out[name] = rows.select(*key, *places, *[F.col(f"{entry}.{f.name}").alias(f.name) for f in plain])
+    return out
+
+
+def newest_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """The rows of the newest edition of each key among the Parquet files below a folder, whose paths say what they hold: pattern is a
+    regular expression with two groups, the key and the edition, the newest of which is the greatest as text. Rows have key and
+    edition. The files are listed first, and only those of the newest editions are read; files that do not match are no
+    edition. All files of one key and edition belong together."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    plain = lambda path: F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    named = lambda path: [F.regexp_extract(plain(path), pattern, k).alias(n) for k, n in ((1, "key"), (2, "edition"))]
+    known = files.select("path", *named(F.col("path"))).filter("key <> '' AND edition <> ''")
+    paths = sorted(r["path"] for r in latest_edition(known, "key", "edition").select("path").collect())  # names of files, which Spark lists anyway
+    if not paths:
+        raise EmptySource(f"{folder} has no file like {pattern}")
+    return _guarded(spark.read.parquet(*paths).select("*", *named(F.input_file_name())), folder, None)

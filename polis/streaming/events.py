@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import _cut
+
 
 def _timed(df: DataFrame, time: str, late: str | None) -> DataFrame:
     rows = df.withColumn(time, F.col(time).cast("timestamp"))
@@ -39,8 +43,42 @@ def first_seen(df: DataFrame, keys: list[str], time: str, late: str) -> DataFram
     return df.groupBy(*keys).agg(first.alias("__f")).select(*keys, *[F.col(f"__f.{c}").alias(c) for c in rest])
 
 
-def upsert(batch: DataFrame, path: str, key: list[str], order: list[str]) -> None:
-    """For foreachBatch: append the batch's last row of each key; readers keep the last again, so a repeated batch does no harm."""
+def upsert(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: keep each batch's last row of a key in a folder of the batch's number, so a batch that is run again takes
+    its own place. See upserted."""
     from ..operators.joins import keep_last
 
-    keep_last(batch, key, order).write.mode("append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        keep_last(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def upserted(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
+    """The table that upsert has written: the last row of each key over all batches, as keep_last of all rows at once would be."""
+    from ..operators.joins import keep_last
+
+    return keep_last(spark.read.parquet(path).drop("batch"), key, order)
+
+
+def apply_snapshots(path: str, unit: str, amount: str, people: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: bring snapshots (unit, year, taken, amount) into a mart (unit, year, people, amount, per_person) that lies
+    in path, parted by year, in place. Of several snapshots of a year the latest counts, whole: a unit that it doesn't name has 0.
+    Only years with a snapshot are written anew; others, and units that the mart lacks, stay as they are. A snapshot that comes
+    again, or after a later one of its year, changes nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        mart = spark.read.parquet(path)
+        newest = batch.filter("year IS NOT NULL AND taken IS NOT NULL").groupBy("year").agg(F.max("taken").alias("newest"))
+        kept = mart.groupBy("year").agg(F.max("taken").alias("had"))
+        due = newest.join(kept, "year", "left").filter("had IS NULL OR newest > had").select("year", "newest")
+        own = batch.join(due, "year").filter("taken = newest").groupBy("year", unit).agg(F.sum(amount).alias("__amount"))
+        rows = mart.join(due, "year").join(own, ["year", unit], "left")
+        fresh = F.coalesce("__amount", F.lit(0)).cast(mart.schema[amount].dataType)
+        each = F.when(F.col(people) > 0, fresh / F.col(people)).cast(mart.schema["per_person"].dataType)
+        new = {amount: fresh, "per_person": each, "taken": F.col("newest")}
+        done = rows.select(*[new.get(c, F.col(c)).alias(c) for c in mart.columns])
+        _cut(done).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+    return write
