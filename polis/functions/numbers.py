@@ -50,3 +50,13 @@ def clock_minutes(text: Column) -> Column:
     """Minutes since midnight of HH:MM or HH.MM; null for any other text."""
     part = lambda k: F.regexp_extract(text, "^([0-9]{1,2})[:.]([0-9]{2})", k).try_cast("int")
     return part(1) * 60 + part(2)
+
+
+def square_metres(hectares: Column) -> Column:
+    """Hectares in square metres."""
+    return hectares * 10_000
+
+
+def exchanged(amount: Column, rate: Column) -> Column:
+    """An amount in another currency by units of the first for one of the second, to whole hundredths; null without a rate above 0."""
+    return F.when(rate > 0, F.round(amount / rate, 2))

@@ -147,3 +147,26 @@ def decile_spread(df: DataFrame, by: list[str], value: str, least: int = 9) -> D
     sums = ranked.filter(n >= least).groupBy(*by).agg(F.max(n).alias("n"), *[decile(k).alias(f"p{k}0") for k in (1, 5, 9)], F.max(value).alias("__most"), F.min(value).alias("__least"))
     over = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
     return sums.select(*by, "n", "p10", "p50", "p90", over("__most", "__least").alias("most_to_least"), over("p90", "p10").alias("p90_to_p10"))
+
+
+def band_shares(df: DataFrame, by: list[str], value: str, edges: list[float]) -> DataFrame:
+    """(by, band, n, share, up_to) for every band in order, empty ones too: the share of a group's values in it, and in it and those
+    below. Bands are as in histogram."""
+    bins = histogram(df, by, value, edges)
+    every, until = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("bin")  # as many rows as bands
+    total = F.sum("n").over(every)
+    share = lambda n: F.when(total > 0, n / total)
+    return bins.select(*by, F.col("bin").alias("band"), "n", share(F.col("n")).alias("share"), share(F.sum("n").over(until)).alias("up_to"))
+
+
+def colour_breaks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, b1, b2, b3): the quartiles of the values above 0, where a map changes its colours."""
+    return quantiles(df.filter(F.col(value) > 0), by, value, {"b1": 0.25, "b2": 0.5, "b3": 0.75})
+
+
+def collapsed(df: DataFrame, key: list[str], order: list[str], first: list[str], most: list[str]) -> DataFrame:
+    """A row for each key that several matches have: the columns `first` of the first match in order, the largest of each of
+    `most`, and how many matches there are."""
+    head = F.min_by(F.struct(*first), F.struct(*order))
+    out = df.groupBy(*key).agg(head.alias("__f"), *[F.max(c).alias(c) for c in most], F.count("*").alias("matches"))
+    return out.select(*key, *[F.col(f"__f.{c}").alias(c) for c in first], *most, "matches")

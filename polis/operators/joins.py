@@ -103,3 +103,15 @@ def compared_registers(left: DataFrame, right: DataFrame, name: str, left_measur
     out = both.join(F.broadcast(totals)).withColumn("left_share", share("left", "__l")).withColumn("right_share", share("right", "__r"))  # one row
     ratio = F.when(matched & (F.col("right") != 0), F.col("left") / F.col("right"))
     return out.select("key", status.alias("status"), "left", "right", ratio.alias("ratio"), "left_share", "right_share", (F.col("left_share") - F.col("right_share")).alias("divergence"))
+
+
+def with_rates(df: DataFrame, rates: DataFrame, currency: str, day: str, pinned: dict[str, float] | None = None) -> DataFrame:
+    """df with rate and rate_source: the pinned rate of its currency where there is one, else the latest of rates (currency, quoted,
+    rate) up to its day, else null. Of rates quoted on one day the largest counts. A pinned currency never looks at live rates, so
+    what is computed with it stays."""
+    live = as_of(df, rates.groupBy("currency", "quoted").agg(F.max("rate").alias("rate")).withColumnRenamed("currency", currency).withColumn("__o", F.lit(0)), currency, day, "quoted", "__o", ["rate"])
+    fixed = F.lit(None).cast("double")
+    for name, rate in (pinned or {}).items():
+        fixed = F.when(F.col(currency) == name, F.lit(float(rate))).otherwise(fixed)
+    source = F.when(fixed.isNotNull(), "pinned").when(F.col("rate").isNotNull(), "live")
+    return live.withColumn("rate_source", source).withColumn("rate", F.coalesce(fixed, F.col("rate")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import joins as J
@@ -13,7 +14,7 @@ from ..sources import tables as T
 from ..sources.shared import shared_path
 from ..streaming import events as E
 from .queries import cents, query
-from .shapes import _SHARDS, _sharded
+from .shapes import _LINES, _SHARDS, _lines, _sharded
 
 # --- Titles and vocabularies -------------------------------------------------------------------------------------------------
 
@@ -106,6 +107,58 @@ def price_deciles(read):
     return A.decile_spread(read("orders").select("o_orderpriority", cents("o_totalprice").alias("v")), ["o_orderpriority"], "v")
 
 
+@query("""
+WITH v AS (SELECT o_orderpriority, CASE WHEN o_totalprice >= 400000 THEN 4 WHEN o_totalprice >= 300000 THEN 3 WHEN o_totalprice >= 200000 THEN 2 WHEN o_totalprice >= 100000 THEN 1 ELSE 0 END AS band FROM orders),
+g AS (SELECT DISTINCT o_orderpriority FROM orders), c AS (SELECT g.o_orderpriority, t.b AS band, count(v.band) AS n FROM g CROSS JOIN range(5) t(b) LEFT JOIN v ON v.o_orderpriority = g.o_orderpriority AND v.band = t.b GROUP BY 1, 2)
+SELECT o_orderpriority, CAST(band AS INTEGER) AS band, n, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY o_orderpriority) AS share, CAST(sum(n) OVER (PARTITION BY o_orderpriority ORDER BY band) AS DOUBLE) / sum(n) OVER (PARTITION BY o_orderpriority) AS up_to FROM c
+""")
+def capped_bands(read):
+    """How much of each section lies in and below each band of prices (AG-45)."""
+    return A.band_shares(read("orders"), ["o_orderpriority"], "o_totalprice", [0, 100_000, 200_000, 300_000, 400_000])
+
+
+@query("SELECT c_nationkey, count(*) AS n, quantile_cont(c_acctbal, 0.25) AS b1, quantile_cont(c_acctbal, 0.5) AS b2, quantile_cont(c_acctbal, 0.75) AS b3 FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+def map_breaks(read):
+    """Quartiles of the positive values of each nation (AG-50)."""
+    return A.colour_breaks(read("customer"), ["c_nationkey"], "c_acctbal")
+
+
+@query("""
+SELECT l_orderkey, arg_min(l_partkey, {'d': l_shipdate, 'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}) AS l_partkey, max(l_extendedprice) AS l_extendedprice, count(*) AS matches FROM lineitem GROUP BY 1
+""")
+def collapsed_matches(read):
+    """The first of an order's lines, and the largest price of all (AG-42, AG-41)."""
+    return A.collapsed(read("lineitem"), ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"], ["l_partkey"], ["l_extendedprice"])
+
+
+@query(f"""
+WITH {_LINES}, c AS (SELECT CASE WHEN abs(x2 - x1) >= 2 * abs(y2 - y1) THEN 'east-west' WHEN abs(y2 - y1) >= 2 * abs(x2 - x1) THEN 'north-south' ELSE 'diagonal' END AS class, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS metres FROM l)
+SELECT class, count(*) AS lines, round(sum(metres), 3) AS metres, round(sum(metres) / (SELECT sum(metres) FROM c), 9) AS share FROM c GROUP BY 1
+""")
+def line_classes(read):
+    """Lengths of lines by class, and each class's share of all (AG-52, AG-35)."""
+    dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
+    kind = F.when(dx >= 2 * dy, "east-west").when(dy >= 2 * dx, "north-south").otherwise("diagonal")
+    rows = _lines(read).select(kind.alias("class"), F.sqrt(dx * dx + dy * dy).alias("metres"))
+    sums = rows.groupBy("class").agg(F.count("*").alias("lines"), F.sum("metres").alias("m"))
+    total = sums.agg(F.sum("m").alias("__all"))  # one row
+    return sums.join(F.broadcast(total)).select("class", "lines", F.round("m", 3).alias("metres"), F.round(F.col("m") / F.col("__all"), 9).alias("share"))
+
+
+@query("""
+WITH q AS (SELECT 'C' || (user_id % 3) AS currency, CAST(ts AS DATE) + INTERVAL 0 DAY AS quoted, max(value) AS rate FROM events WHERE value > 0 GROUP BY 1, 2),
+o AS (SELECT o_orderkey, o_totalprice, 'C' || (o_custkey % 4) AS currency, o_orderdate + INTERVAL 25 YEAR AS day FROM orders),
+r AS (SELECT o.*, q.rate FROM o ASOF LEFT JOIN q ON o.currency = q.currency AND o.day >= q.quoted)
+SELECT o_orderkey, currency, CASE WHEN currency = 'C1' THEN 4.9 ELSE rate END AS rate, CASE WHEN currency = 'C1' THEN 'pinned' WHEN rate IS NOT NULL THEN 'live' END AS rate_source, round(o_totalprice / CASE WHEN currency = 'C1' THEN 4.9 ELSE rate END, 2) AS exchanged FROM r
+""")
+def exchanged_totals(read):
+    """Amounts in other currencies by the rate of their day, or by the pinned one (NF-12, NF-13)."""
+    rates = read("events").filter("value > 0").select(F.concat(F.lit("C"), (F.col("user_id") % 3).cast("string")).alias("currency"), F.col("ts").cast("date").cast("timestamp_ntz").alias("quoted"), F.col("value").alias("rate"))
+    rows = read("orders").select("o_orderkey", "o_totalprice", F.concat(F.lit("C"), (F.col("o_custkey") % 4).cast("string")).alias("currency"), F.expr("CAST(o_orderdate AS TIMESTAMP_NTZ) + INTERVAL 25 YEAR").alias("day"))
+    out = J.with_rates(rows, rates, "currency", "day", {"C1": 4.9})
+    return out.select("o_orderkey", "currency", "rate", "rate_source", N.exchanged(F.col("o_totalprice"), F.col("rate")).alias("exchanged"))
+
+
 # --- Landed and nested files -------------------------------------------------------------------------------------------------
 
 

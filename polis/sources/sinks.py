@@ -50,7 +50,7 @@ def merged_coverage(reports: DataFrame, expected: int) -> DataFrame:
     if len(windows) > 1:
         raise MixedWindows("shards read different windows")
     shards = F.count_distinct("shard")
-    every = (shards == expected) & F.coalesce(F.bool_and("complete"), F.lit(False))
+    every = (shards == expected) & F.bool_and(F.coalesce("complete", F.lit(False)))
     return rows.agg(
         shards.alias("collected"), F.lit(expected).cast("long").alias("expected"), every.alias("complete"), F.min("since").alias("since"), F.count_distinct("unit").alias("units"),
         F.coalesce(F.sum("cases"), F.lit(0)).alias("cases"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.count_if(~F.coalesce("unit_complete", F.lit(False))).alias("incomplete"),
