@@ -23,6 +23,14 @@ def mercator_y(lat: Column) -> Column:
     return F.ln(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * RADIUS_M
 
 
+def unprojected_lon(x: Column) -> Column:
+    return F.degrees(x / RADIUS_M)
+
+
+def unprojected_lat(y: Column) -> Column:
+    return F.degrees(2 * F.atan(F.exp(y / RADIUS_M)) - math.pi / 2)
+
+
 def _edges(ring: Column) -> Column:
     """The ring's edges, the last back to the first point."""
     return F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.lit(0), F.size(ring) - 1)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))

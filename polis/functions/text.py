@@ -169,3 +169,17 @@ def titles(cell: Column, heads: str) -> Column:
     slash = F.when(every(by_slash), make("slash", by_slash)).otherwise(single)
     some = F.when(raw.contains(";"), semicolon).when(raw.contains(","), comma).when(raw.contains("/"), slash).otherwise(single)
     return F.when(F.coalesce(raw, F.lit("")) != "", some).otherwise(make("single", F.array().cast("array<string>")))
+
+
+def best_prefix(known: Column, code: Column) -> Column:
+    """The value of the longest key of a map that a code begins with; null without one."""
+    keys = F.array_sort(F.transform(F.filter(F.map_keys(known), lambda k: F.startswith(code, k)), lambda k: F.struct((-F.length(k)).alias("l"), k.alias("k"))))
+    return F.when(F.size(keys) > 0, F.try_element_at(known, F.get(keys, F.lit(0))["k"]))
+
+
+def has_dimensions(known: Column, wanted: dict[str, str]) -> Column:
+    """Whether a map has every wanted dimension at its value; it may have others."""
+    out = F.lit(True)
+    for k, v in wanted.items():
+        out = out & F.coalesce(F.try_element_at(known, F.lit(k)) == v, F.lit(False))
+    return out

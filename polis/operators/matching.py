@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import _cut
+from .ranges import placed
 
 
 def greedy_pairs(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
@@ -96,3 +97,30 @@ def resolve(rows: DataFrame, register: DataFrame, alias: str, county: str, id: s
     met = rows.join(all_of, alias, "left").join(own, [alias, county], "left")
     met = met.withColumn(id, F.when(n == 1, F.col("__id")).when(m == 1, F.col("__own")))
     return met.withColumn("status", F.when(n.isNull(), "none").when(n == 1, "unique").when(m == 1, "narrowed").otherwise("ambiguous")).drop("__n", "__id", "__m", "__own")
+
+
+class NotOneToOne(ValueError):
+    """Keys that a one-to-one join refuses."""
+
+
+def joined_one_to_one(left: DataFrame, right: DataFrame, key: str, complete: bool = True) -> DataFrame:
+    """left and right joined by key, which no side repeats; with complete also none may lack. What breaks this is refused, with how
+    many keys of each kind there are. Null keys are refused as lacking."""
+    bad = one_to_one(left, right, key).filter("status <> 'one_to_one'").groupBy("status").agg(F.count("*").alias("n")).collect()
+    wrong = {r["status"]: r["n"] for r in bad if complete or r["status"].startswith("repeated")}
+    if wrong:
+        raise NotOneToOne(", ".join(f"{n} {status}" for status, n in sorted(wrong.items())))
+    return left.join(right, key)
+
+
+def projected(mart: DataFrame, order: DataFrame, key: str, place: str) -> DataFrame:
+    """The values of a mart in a canonical order (key, place): a row for each place, nulls where the mart lacks the key; keys that
+    the order lacks go."""
+    return order.select(key, place).join(mart, key, "left")
+
+
+def row_offsets(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """(by, start, stop, entries) of a table laid end to end, group after group: where each group's rows lie, from 0 on."""
+    sizes = df.groupBy(by).agg(F.count("*").alias("entries"))
+    laid = placed(sizes, [], [F.col(c) for c in order], {"entries": "start"})
+    return laid.select(by, "start", (F.col("start") + F.col("entries")).alias("stop"), "entries")

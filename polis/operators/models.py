@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import quantiles
@@ -100,3 +100,31 @@ def parent_chains(tree: DataFrame) -> DataFrame:
         fresh = _cut(down.select("node", F.concat_ws(">", "path", "node").alias("path"), (F.col("hops") + 1).alias("hops")))
         found = found.unionByName(fresh)
     return found
+
+
+def survival_marks(table: DataFrame, by: list[str], edges: list[float], follow_up: float, marks: list[float]) -> DataFrame:
+    """(by, median, and done_<mark> for each mark) of a life table (by, bin, survival; bin k ends at edges[k + 1]): when half are
+    done, and which share is by each mark, even between the ends of bins. The last bin is open: nothing is said beyond the last
+    edge, nor beyond follow_up, and a median that is not reached is null. A missing bin changes nothing, so the curve stays level."""
+    points = table.filter(F.col("bin") < len(edges) - 1)
+    curve = F.array_sort(F.collect_list(F.struct("bin", "survival")))  # as many entries as bins
+    rows = points.groupBy(*by).agg(curve.alias("c"))
+    at = F.lit([float(e) for e in edges])
+
+    def alive(k: int) -> Column:
+        """Survival at edges[k]."""
+        known = F.filter("c", lambda p: p["bin"] < k)
+        return F.when(F.size(known) > 0, F.element_at(known, -1)["survival"]).otherwise(1.0) if k else F.lit(1.0)
+
+    rows = rows.withColumn("s", F.array(*[alive(k) for k in range(len(edges))]))
+    s = F.col("s")
+
+    def done(mark: float) -> Column:
+        k = next((k for k in range(1, len(edges)) if edges[k] >= mark), None)
+        if k is None or mark > follow_up:
+            return F.lit(None).cast("double")
+        share = (mark - edges[k - 1]) / (edges[k] - edges[k - 1])
+        return 1 - (s[k - 1] + share * (s[k] - s[k - 1]))
+
+    falls = [F.when((s[k] <= 0.5) & (s[k - 1] > 0.5), at[k - 1] + (s[k - 1] - 0.5) / (s[k - 1] - s[k]) * (edges[k] - edges[k - 1])) for k in range(1, len(edges))]
+    return rows.select(*by, F.coalesce(*falls).alias("median"), *[done(m).alias(f"done_{m:g}") for m in marks])

@@ -297,3 +297,17 @@ def snapped(points: DataFrame, polygons: DataFrame, nodes: DataFrame, cell: floa
     at = nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny"))
     out = points.select("id", "x", "y").join(found, "id", "left").join(at, "node", "left")
     return out.select("id", "node", F.coalesce("step", F.lit("none")).alias("step"), P.planar(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")).alias("metres"))
+
+
+def holding(points: DataFrame, edges: DataFrame, key: str, cell: float, grid: float = 1.0) -> DataFrame:
+    """points (id, x, y) with each key of edges (key, ax, ay, bx, by, in steps of grid) whose area holds them: those from whom a ray to
+    the right crosses an odd number of its edges. Outer rings and holes need no telling apart, nor any ring to be in one place.
+
+    An edge meets the points of the bands of height cell that it runs through; the count of crossings is an aggregate. A point on
+    an edge belongs to one side of it."""
+    e = edges.select(key, *[(F.col(c) * grid).alias(c) for c in _END]).filter("ay <> by")
+    band = lambda y: F.floor(y / cell).cast("long")
+    spread = e.withColumn("__b", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by")))))
+    at = points.filter("x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y", band(F.col("y")).alias("__b")).distinct()
+    met = at.join(spread, "__b").filter(((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")))
+    return met.groupBy("id", key).agg(F.count("*").alias("__n")).filter("__n % 2 = 1").select("id", key)

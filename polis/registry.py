@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import landed, measures, offices, registers, shapes  # noqa: F401  (its queries register themselves)
+from .plans import details, landed, measures, offices, registers, shapes  # noqa: F401  (its queries register themselves)
 from .plans.queries import QUERIES, SQL
 
 FLAGSHIP = "case_workload"

@@ -38,9 +38,10 @@ def delimited(spark: SparkSession, path: str, required: list[str], sep: str = ",
     return _guarded(df, path, required)
 
 
-def documents(spark: SparkSession, path: str, schema: str, items: str) -> DataFrame:
-    """JSON documents, one in a file, with a row for each entry of their array `items` beside the document's other fields."""
-    df = spark.read.schema(schema).json(path, multiLine=True)
+def documents(spark: SparkSession, path: str, schema: str, items: str, lines: bool = False) -> DataFrame:
+    """JSON documents, one in a file or (lines) one on each line, with a row for each entry of their array `items` beside the
+    document's other fields."""
+    df = spark.read.schema(schema).json(path, multiLine=not lines)
     rest = [c for c in df.columns if c != items]
     return _guarded(df.select(*rest, F.inline(items)), path, None)
 
@@ -51,14 +52,15 @@ def latest_edition(df: DataFrame, key: str, edition: str) -> DataFrame:
     return df.join(last, (F.col(key) == F.col("__k")) & (F.col(edition) == F.col("__e"))).drop("__k", "__e")
 
 
-def hypercube(df: DataFrame, sizes: list[tuple[str, int]], values: str) -> DataFrame:
-    """(each dimension's place, value) of a flat array in row-major order; missing values are left out."""
-    out = df.select(F.posexplode(values).alias("__i", "value")).filter("value IS NOT NULL")
+def hypercube(df: DataFrame, sizes: list[tuple[str, int]], values: str, keep: list[str] | None = None) -> DataFrame:
+    """(keep, each dimension's place, value) of a flat array in row-major order; missing values are left out."""
+    keep = keep or []
+    out = df.select(*keep, F.posexplode(values).alias("__i", "value")).filter("value IS NOT NULL")
     stride, columns = 1, []
     for name, size in reversed(sizes):
         columns.insert(0, (F.floor(F.col("__i") / stride) % size).cast("int").alias(name))
         stride *= size
-    return out.select(*columns, "value")
+    return out.select(*keep, *columns, "value")
 
 
 def key_values(text: str) -> Column:
