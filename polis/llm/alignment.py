@@ -23,9 +23,15 @@ HELD = 500_000
 #: Links of a task that are counted together.
 COUNTED = 4_000_000
 
-#: A single space, or line end, between two characters that are no white space: both vocabularies begin a token there, whatever
-#: surrounds it. The space goes, as both put one before a piece; the line end stays, a token of its own in both.
-_BOUNDARY = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+#: Letters of the Latin blocks, and marks that stand in no piece of the second vocabulary after one of them.
+_LETTER, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ".,"
+#: Stands before a full stop or comma that ends a word, while a text is cut.
+_TAIL = "\ue000"
+_ENDING = re.compile(rf"([{_LETTER}])([{_MARKS}])(?=[ \n]|\Z)")
+#: A single space, or line end, between two characters that are no white space, and what ends a word: both vocabularies begin a
+#: token there, whatever surrounds it. The space goes, as both put one before a piece; the line end stays, a token of its own in both.
+_PLAIN = r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)"
+_BOUNDARY, _CUT = re.compile(_PLAIN), re.compile(f"{_PLAIN}|(?={_TAIL})")
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -75,8 +81,8 @@ class Transducer:
             self.moves.append({})
         return self.numbers[after]
 
-    def align(self, a: list[int], b: list[int], shown: tuple[list[str], list[str]], width: int) -> tuple[int, bytes, list[int]] | None:
-        """(number of groups, the groups as text, the links) of a piece: a group ends where nothing is owed, and its last tokens
+    def align(self, a: list[int], b: list[int], shown: tuple[list[str], list[str]], width: int) -> tuple[bytes, list[int]] | None:
+        """(the groups as text, the links) of a piece: a group ends where nothing is owed, and its last tokens
         are its link, a * width + b. None if the bytes differ."""
         if self.known > MOVES:
             self._reset()
@@ -105,7 +111,7 @@ class Transducer:
                 from_i, from_j = i, j
             elif state < 0:
                 return None
-        return (len(out), ";".join(out).encode(), links) if state == 0 else None
+        return (";".join(out).encode(), links) if state == 0 else None
 
 
 class Aligner:
@@ -131,6 +137,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError(f"{b_file} has pieces that join words or lines")
+        if any(re.search(f"[{_LETTER}][{_MARKS}]", p) for p in pieces):
+            raise ValueError(f"{b_file} has pieces that join words and the marks after them")
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.transducer, self.width = Transducer(a_bytes, b_bytes), len(b_bytes)
         self.kind = np.dtype("<i4") if len(a_bytes) * len(b_bytes) < 1 << 31 else np.dtype("<i8")
@@ -140,30 +148,46 @@ class Aligner:
         self.older: dict[str | tuple[str], tuple | None] = {}
 
     def _learn(self, keys: list[str | tuple[str]]) -> None:
-        """Align pieces. One that goes on after a line end starts with it and has no space before it; one that begins a text with
-        a line end is given as a tuple."""
+        """Align pieces. One that goes on after a line end starts with it, one that ends a word with _TAIL; neither has a space
+        before it. All others do, among them those given as a tuple, whatever they start with."""
         a_bytes, own, known = self.transducer.bytes[0], self.transducer.align, self.known
-        pieces = [k if type(k) is str else k[0] for k in keys]
-        goes_on = [type(k) is str and k[0] == "\n" for k in keys]
-        wholes = [p if g else " " + p for p, g in zip(pieces, goes_on)]
-        encoded = self.b.encode(pieces, num_threads=1)
-        for key, whole, on, a, b in zip(keys, wholes, goes_on, self.a.encode_batch_fast(wholes, add_special_tokens=False), encoded):
-            a = a.ids
-            if on:
-                b = b[1:]  # the space that B puts before every text
+        wholes, given, skip = [], [], []
+        for k in keys:
+            if type(k) is tuple:
+                k, kind = k[0], ""
+            else:
+                kind = k[0]
+            if kind == "\n":  # B puts a space before
+                wholes.append(k), given.append((k, k)), skip.append((0, 1))
+            elif kind == _TAIL:  # behind a line end, which is a token of its own
+                wholes.append(k[1:]), given.append(("\n" + k[1:],) * 2), skip.append((1, 2))
+            else:
+                wholes.append(" " + k), given.append((" " + k, k)), skip.append((0, 0))
+        a_found = self.a.encode_batch_fast([g[0] for g in given], add_special_tokens=False)
+        b_found = self.b.encode([g[1] for g in given], num_threads=1)
+        for key, whole, (i, j), a, b in zip(keys, wholes, skip, a_found, b_found):
+            a, b = a.ids[i:], b[j:]
             found = own(a, b, self.shown, self.width)
             # B's bytes are A's where they align.
             if found is None or b"".join([a_bytes[x] for x in a]) != whole.encode():
                 known[key] = None
             else:
-                known[key] = (len(a), len(b), found[0], found[1], array(self.code, found[2]).tobytes())
+                known[key] = (len(a) << 32 | len(b), found[0], array(self.code, found[1]).tobytes())
+
+    def _cut(self, text: str) -> list[str | tuple[str]]:
+        if not text:
+            return []
+        if _TAIL in text:
+            pieces = [(p,) if p[0] == _TAIL else p for p in _BOUNDARY.split(text)]
+        else:
+            pieces = _CUT.split(_ENDING.sub(rf"\1{_TAIL}\2", text))
+        if text[0] == "\n":  # before a text there is a space, though not before what else follows a line end
+            pieces[0] = (pieces[0],)
+        return pieces
 
     def align(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, digest, links as bytes) of each text."""
-        split = [_BOUNDARY.split(t) if t else [] for t in texts]
-        for own in split:
-            if own and own[0][0] == "\n":  # before a text there is a space, though not before what else follows a line end
-                own[0] = (own[0],)
+        split = [self._cut(t) for t in texts]
         if len(self.known) > REMEMBERED:  # what is still in use comes back from there
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -175,14 +199,15 @@ class Aligner:
                 pieces.append(p)
         for at in range(0, len(pieces), 5000):
             self._learn(pieces[at : at + 5000])
-        get, out = known.__getitem__, []
+        get, size, out = known.__getitem__, self.kind.itemsize, []
         for own in split:
             found = list(map(get, own))
             if not found or None in found:
                 out.append((0, 0, 0, "", b""))
                 continue
-            a, b, n, shown, links = zip(*found)
-            out.append((sum(a), sum(b), sum(n), hashlib.sha256(b";".join(shown)).hexdigest(), b"".join(links)))
+            counts, shown, links = zip(*found)
+            n, links = sum(counts), b"".join(links)
+            out.append((n >> 32, n & 0xFFFFFFFF, len(links) // size, hashlib.sha256(b";".join(shown)).hexdigest(), links))
         return out
 
 
@@ -226,7 +251,7 @@ def align(docs: DataFrame, a_file: str = "byte_bpe_50k.json", b_file: str = "pie
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each row of docs.
 
     A encodes a space and the text, B the text, before which it puts a space itself; strings of special tokens are plain text.
-    Texts are cut at single spaces and line ends between other characters, where both vocabularies begin a token, so the alignment of a text
+    Texts are cut at single spaces and line ends between other characters and before what ends a word, where both vocabularies begin a token, so the alignment of a text
     is that of its pieces one after the other. A group ends where tokens of both end; these two are its link. n_best and
     count_sum look at the counts of id pairs over all links of docs: the `held` most frequent pairs are looked up in the tasks,
     all others are joined.
