@@ -64,6 +64,10 @@ def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, verified for each page, from archives that were written and
+    read back. Null html is an empty payload; long payloads go in segments; a null page_id stays null and is the smallest where
+    payloads are equal; of repeated rows each is a record, those of the page kept are responses; an empty table gives no rows;
+    other columns go."""
     pages = _read(spark, sf_dir, "pages")
     path = common.shared_path(spark, "warc")
     write_warc(pages, path)

@@ -204,8 +204,8 @@ class Corpus:
 
 
 def fit(examples: list[tuple[int, str]], seed: int = 4, first: int = 2, later: int = 3, size: int = 256, least: int = 90) -> Network:
-    """Learn from (label, text) of documents: first from all windows of short documents, then from the window of each
-    document that scores highest, and one other window of documents of label 0 beside. Small samples are learned from in
+    """Learn from (label, text) of documents: first from all windows of short documents (of all, where the short ones don't have
+    both labels), then from the window of each document that scores highest, and one other window of documents of label 0 beside. Small samples are learned from in
     smaller batches and more often, in at least `least` steps of the first kind and of the second. Texts without words are
     left out."""
     corpus = Corpus(examples)
@@ -229,6 +229,8 @@ def fit(examples: list[tuple[int, str]], seed: int = 4, first: int = 2, later: i
                 net.step(optimizer, corpus, corpus.first[own], corpus.size[own], label.astype(np.float32), (share[label] * weight[part]).astype(np.float32), r)
 
     short = np.flatnonzero(many[corpus.doc] <= 8)
+    if len(set(labels[corpus.doc[short]].tolist())) < 2:
+        short = np.arange(len(corpus.doc))
     learn(short, many[corpus.doc[short]] ** -0.5, first, least)
     for _ in range(later):
         net.seen.clear()
