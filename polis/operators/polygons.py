@@ -311,3 +311,36 @@ def holding(points: DataFrame, edges: DataFrame, key: str, cell: float, grid: fl
     at = points.filter("x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y", band(F.col("y")).alias("__b")).distinct()
     met = at.join(spread, "__b").filter(((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")))
     return met.groupBy("id", key).agg(F.count("*").alias("__n")).filter("__n % 2 = 1").select("id", key)
+
+
+def meets(a: Column, b: Column) -> Column:
+    """Whether two convex rings (turning left) have a point in common: unless all of one lies beyond an edge of the other."""
+
+    def apart(ring: Column, other: Column) -> Column:
+        return F.exists(P._edges(ring), lambda e: F.forall(other, lambda q: (e["bx"] - e["ax"]) * (q["y"] - e["ay"]) - (e["by"] - e["ay"]) * (q["x"] - e["ax"]) < 0))
+
+    return ~apart(a, b) & ~apart(b, a)
+
+
+def meeting(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """(a, b) of the convex polygons of left (a, ring) and right (b, ring) that have a point in common, met in the first grid cell
+    that the boxes of both touch."""
+
+    def boxed(df: DataFrame, name: str) -> DataFrame:
+        df = df.filter(F.col("ring").isNotNull()).select(name, F.col("ring").alias(f"{name}_ring"))
+        for c, places in (("x", F.transform(f"{name}_ring", lambda p: p["x"])), ("y", F.transform(f"{name}_ring", lambda p: p["y"]))):
+            low, high = (F.floor(f(places) / cell).cast("long") for f in (F.array_min, F.array_max))
+            df = df.withColumn(f"{name}_{c}", low).withColumn(f"__{c}", F.explode(F.sequence(low, high)))
+        return df
+
+    met = boxed(left, "a").join(boxed(right, "b"), ["__x", "__y"]).filter("__x = greatest(a_x, b_x) AND __y = greatest(a_y, b_y)")
+    return met.filter(meets(F.col("a_ring"), F.col("b_ring"))).select("a", "b")
+
+
+def reached(*reaches: DataFrame) -> DataFrame:
+    """(source, node, ways): what each source reaches by any of several ways (source, node), and by how many of them."""
+    rows = None
+    for k, df in enumerate(reaches):
+        own = df.select("source", "node", F.lit(1 << k).alias("__w"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("source", "node").agg(F.bit_count(F.bit_or("__w")).cast("int").alias("ways"))

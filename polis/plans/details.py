@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places as P
 from ..functions import text as X
+from ..operators import marts as MA
 from ..operators import matching as MT
 from ..operators import models as M
 from ..operators import polygons as PG
@@ -126,3 +127,82 @@ def hypercubes(read):
     text = rows.groupBy("c_nationkey").agg(F.to_json(F.array(*count), {"ignoreNullFields": "false"}).alias("json"))
     cubes = text.select("c_nationkey", F.from_json("json", "array<long>").alias("values"))
     return T.hypercube(cubes, [("priority", 5), ("status", 3)], "values", ["c_nationkey"])
+
+
+# --- Marts and reaches -------------------------------------------------------------------------------------------------------
+
+_MEASURES = [
+    MA.Measure("revenue", "revenue"), MA.Measure("own_revenue", "revenue", (), ("4",)), MA.Measure("urgent_revenue", "revenue", ("1",)), MA.Measure("transfers", "revenue", ("4",)),
+    MA.Measure("spending", "spending"), MA.Measure("returned", "spending", ("R",)), MA.Measure("open_spending", "spending", ("N.O",)), MA.Measure("kept", "spending", (), ("R", "N.F")),
+    MA.Measure("development", "development"), MA.Measure("discounts", "development", ("d",)), MA.Measure("levies", "development", ("t",)),
+]
+
+
+@query("""
+WITH u AS (SELECT o_orderkey, c_nationkey AS unit, year(o_orderdate) AS year, substr(o_orderpriority, 1, 1) AS p, o_orderstatus AS s, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders JOIN customer ON c_custkey = o_custkey),
+r AS (SELECT unit, year, 'r' AS k, p || '.' || s AS code, cents AS amount FROM u),
+l AS (SELECT unit, year, l_returnflag || '.' || l_linestatus AS code, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount, CAST(round(l_discount * 100) AS BIGINT) AS d, CAST(round(l_tax * 100) AS BIGINT) AS t FROM lineitem JOIN u ON o_orderkey = l_orderkey),
+a AS (SELECT * FROM r UNION ALL SELECT unit, year, 's', code, amount FROM l UNION ALL SELECT unit, year, 'd', 'd.' || code, d FROM l UNION ALL SELECT unit, year, 'd', 't.' || code, t FROM l),
+m AS (SELECT unit, year, count(*) FILTER (k = 'r') AS lines_revenue, count(*) FILTER (k = 's') AS lines_spending, count(*) FILTER (k = 'd') AS lines_development,
+  coalesce(sum(amount) FILTER (k = 'r'), 0)::BIGINT AS revenue, coalesce(sum(amount) FILTER (k = 'r' AND NOT starts_with(code, '4.')), 0)::BIGINT AS own_revenue, coalesce(sum(amount) FILTER (k = 'r' AND starts_with(code, '1.')), 0)::BIGINT AS urgent_revenue, coalesce(sum(amount) FILTER (k = 'r' AND starts_with(code, '4.')), 0)::BIGINT AS transfers,
+  coalesce(sum(amount) FILTER (k = 's'), 0)::BIGINT AS spending, coalesce(sum(amount) FILTER (k = 's' AND starts_with(code, 'R.')), 0)::BIGINT AS returned, coalesce(sum(amount) FILTER (k = 's' AND code = 'N.O'), 0)::BIGINT AS open_spending, coalesce(sum(amount) FILTER (k = 's' AND NOT starts_with(code, 'R.') AND code <> 'N.F'), 0)::BIGINT AS kept,
+  coalesce(sum(amount) FILTER (k = 'd'), 0)::BIGINT AS development, coalesce(sum(amount) FILTER (k = 'd' AND starts_with(code, 'd.')), 0)::BIGINT AS discounts, coalesce(sum(amount) FILTER (k = 'd' AND starts_with(code, 't.')), 0)::BIGINT AS levies FROM a GROUP BY 1, 2),
+p AS (SELECT c_nationkey AS unit, count(*) AS population FROM customer WHERE c_acctbal > 0 GROUP BY 1)
+SELECT m.*, CAST(revenue AS DOUBLE) / population AS revenue_per_person, CAST(spending AS DOUBLE) / population AS spending_per_person, CAST(levies AS DOUBLE) / population AS levies_per_person,
+  CASE WHEN revenue <> 0 THEN CAST(own_revenue AS DOUBLE) / revenue END AS own_share, CASE WHEN spending <> 0 THEN CAST(kept AS DOUBLE) / spending END AS kept_share, CASE WHEN revenue <> 0 THEN CAST(spending AS DOUBLE) / revenue END AS spent_share, population
+FROM m LEFT JOIN p USING (unit)
+""")
+def mart_years(read):
+    """Records of 20 measures for each nation and year from three sets of lines, by code prefixes, per person and as shares (AG-15,
+    SM-08)."""
+    k = read("orders").join(read("customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", F.col("c_nationkey").alias("unit"), F.year("o_orderdate").cast("long").alias("year"), "o_orderpriority", "o_orderstatus", cents("o_totalprice").alias("amount"))
+    revenue = k.select("unit", "year", F.concat(F.substring("o_orderpriority", 1, 1), F.lit("."), "o_orderstatus").alias("code"), "amount")
+    each = read("lineitem").join(k.select("o_orderkey", "unit", "year"), F.col("o_orderkey") == F.col("l_orderkey"))
+    code = F.concat("l_returnflag", F.lit("."), "l_linestatus")
+    both = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{x}."), code).alias("code"), F.round(F.col(c) * 100).cast("long").alias("amount")) for x, c in (("d", "l_discount"), ("t", "l_tax"))]))
+    lines = {"revenue": revenue, "spending": each.select("unit", "year", code.alias("code"), cents("l_extendedprice").alias("amount")), "development": each.select("unit", "year", both.alias("x")).select("unit", "year", "x.*")}
+    known = read("customer").filter("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("unit")).agg(F.count("*").alias("population"))
+    people = k.select("unit", "year").distinct().join(known, "unit")
+    return MA.mart_records(lines, _MEASURES, people, ["revenue", "spending", "levies"], {"own_share": ("own_revenue", "revenue"), "kept_share": ("kept", "spending"), "spent_share": ("spending", "revenue")})
+
+
+@query(f"""
+WITH {_PARCELS}, p AS (SELECT j // 5 AS block, nation, CASE WHEN balance > -900 THEN CAST(round(balance * 100) AS BIGINT) END AS cents, CASE WHEN segment <> 'MACHINERY' THEN i END AS place FROM parcel)
+SELECT block, count(*) AS members, count(DISTINCT nation) AS owners, CASE WHEN count(cents) = count(*) THEN CAST(sum(cents) AS BIGINT) END AS cents, count(cents) AS cents_known, CASE WHEN count(place) = count(*) THEN CAST(sum(place) AS BIGINT) END AS place, count(place) AS place_known FROM p GROUP BY 1
+""")
+def parcel_blocks(read):
+    """Blocks of parcels: members, distinct owners, and sums that are null where a member's value is (AG-21)."""
+    rows = _parcels(read).select(F.floor(F.col("j") / 5).alias("block"), "nation", F.when(F.col("balance") > -900, cents("balance")).alias("cents"), F.when(F.col("segment") != "MACHINERY", F.col("i")).alias("place"))
+    return MA.cluster_summary(rows, ["block"], "nation", ["cents", "place"])
+
+
+_SQUARES = "sq AS (SELECT s_suppkey AS b, 15 * s_suppkey % 40 * 1000.0 AS x, (15 * s_suppkey // 40) * 1000.0 AS y, 700.0 + s_suppkey % 5 * 300 AS w FROM supplier)"
+
+
+def _squares(read):
+    s = F.col("s_suppkey")
+    x, y, w = (15 * s % 40 * 1000).cast("double"), (F.floor(15 * s / 40) * 1000).cast("double"), 700.0 + s % 5 * 300
+    at = lambda dx, dy: F.struct((x + w * dx).alias("x"), (y + w * dy).alias("y"))
+    return read("supplier").select(s.alias("b"), F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)).alias("ring"))
+
+
+@query(f"""
+WITH {_PARCELS}, {_SQUARES}, c AS (SELECT unit AS a, b, ring, [[x, y], [x + w, y], [x + w, y + w], [x, y + w]] AS box FROM parcel, sq WHERE abs(1000.0 * parcel.i - x) < 4000 AND abs(1000.0 * parcel.j - y) < 4000),
+d AS (SELECT a, b, list_bool_or(list_transform(range(1, 5), lambda s: list_bool_and(list_transform(box, lambda q: (ring[s % 4 + 1][1] - ring[s][1]) * (q[2] - ring[s][2]) - (ring[s % 4 + 1][2] - ring[s][2]) * (q[1] - ring[s][1]) < 0)))) AS one,
+  list_bool_or(list_transform(range(1, 5), lambda s: list_bool_and(list_transform(ring, lambda q: (box[s % 4 + 1][1] - box[s][1]) * (q[2] - box[s][2]) - (box[s % 4 + 1][2] - box[s][2]) * (q[1] - box[s][1]) < 0)))) AS two FROM c)
+SELECT a, b FROM d WHERE NOT one AND NOT two
+""")
+def meeting_polygons(read):
+    """Which parcels meet which suppliers' squares (SP-08)."""
+    return PG.meeting(_parcels(read).select(F.col("unit").alias("a"), "ring"), _squares(read), 1000.0)
+
+
+@query("""
+WITH a AS (SELECT DISTINCT c_nationkey AS source, o_orderpriority AS node FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT s_nationkey AS source, o_orderpriority AS node FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R')
+SELECT source, node, CAST(count(*) AS INTEGER) AS ways FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2
+""")
+def reach_sets(read):
+    """What each nation reaches as a buyer or as a seller, and by how many of both (ST-04)."""
+    bought = read("orders").filter("o_orderstatus = 'F'").join(read("customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("source"), F.col("o_orderpriority").alias("node"))
+    sold = read("lineitem").filter("l_returnflag = 'R'").join(read("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(read("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return PG.reached(bought, sold.select(F.col("s_nationkey").alias("source"), F.col("o_orderpriority").alias("node")))
