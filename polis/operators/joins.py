@@ -73,9 +73,12 @@ def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return pairs.select(left_id, right_id, score.alias("score")).filter(F.col("score") >= least)
 
 
-def complete_grid(df: DataFrame, rows: DataFrame, columns: DataFrame, on: list[str]) -> DataFrame:
-    """df with a row for each combination of two small code lists; absent ones have nulls."""
-    return rows.join(columns).join(df, on, "left")
+def complete_grid(df: DataFrame, rows: DataFrame, columns: DataFrame, on: list[str], most: int = 10_000) -> DataFrame:
+    """df with a row for each combination of a row of rows and one of columns; absent ones have nulls. columns is a code list of at
+    most `most` entries, which is checked; a longer one is refused, as the grid would have that many times the rows."""
+    if columns.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} columns for a grid")
+    return rows.join(F.broadcast(columns)).join(df, on, "left")
 
 
 def in_bands(df: DataFrame, value: Column, bands: list[tuple[float, float | None, str]]) -> Column:

@@ -214,3 +214,11 @@ def test_route_cost_ends_on_cycles(spark):
     tree = spark.createDataFrame([(1, None, 0), (2, 1, 4), (3, 2, 9), (4, 5, 1), (5, 4, 1), (6, 5, 1)], "node long, parent long, cost long")
     out = G.route_cost(tree, spark.createDataFrame([(3,), (1,), (6,)], "node long"))
     assert sorted(map(tuple, out.collect())) == [(1, 0, 0), (3, 2, 9)]
+
+
+def test_grids_of_long_code_lists_are_refused(spark):
+    df = spark.createDataFrame([("a", 1, 5)], "r string, c long, v long")
+    rows, columns = df.select("r"), spark.range(3).withColumnRenamed("id", "c")
+    assert sorted(map(tuple, J.complete_grid(df, rows, columns, ["r", "c"]).collect()), key=repr) == [("a", 0, None), ("a", 1, 5), ("a", 2, None)]
+    with pytest.raises(ValueError, match="more than 2"):
+        J.complete_grid(df, rows, columns, ["r", "c"], most=2)
