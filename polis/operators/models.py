@@ -102,7 +102,7 @@ def parent_chains(tree: DataFrame) -> DataFrame:
     return found
 
 
-def survival_marks(table: DataFrame, by: list[str], edges: list[float], follow_up: float, marks: list[float]) -> DataFrame:
+def table_marks(table: DataFrame, by: list[str], edges: list[float], follow_up: float, marks: list[float]) -> DataFrame:
     """(by, median, and done_<mark> for each mark) of a life table (by, bin, survival; bin k ends at edges[k + 1]): when half are
     done, and which share is by each mark, even between the ends of bins. The last bin is open: nothing is said beyond the last
     edge, nor beyond follow_up, and a median that is not reached is null. A missing bin changes nothing, so the curve stays level."""

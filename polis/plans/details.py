@@ -41,7 +41,7 @@ def survival_at_marks(read):
     """Which share is done by each mark, and when half are, between the ends of a life table's bins (MO-02)."""
     rows = _durations(read).filter("t >= 0").withColumn("bin", F.least(F.lit(5), F.floor(F.col("t") / 30)).cast("long"))
     bins = rows.groupBy("l_returnflag", "bin").agg(F.count(F.when(F.col("e"), 1)).alias("events"), F.count(F.when(~F.col("e"), 1)).alias("censored"))
-    out = M.survival_marks(M.life_table(bins, ["l_returnflag"]), ["l_returnflag"], [0, 30, 60, 90, 120, 150], 150, [15, 90, 200])
+    out = M.table_marks(M.life_table(bins, ["l_returnflag"]), ["l_returnflag"], [0, 30, 60, 90, 120, 150], 150, [15, 90, 200])
     return out.select("l_returnflag", F.round("median", 6).alias("median"), *[F.round(c, 9).alias(c) for c in ("done_15", "done_90", "done_200")])
 
 

@@ -32,7 +32,7 @@ def test_points_in_holes_are_outside(spark):
 
 def test_survival_marks_interpolate(spark):
     table = [("a", 0, 0.8), ("a", 1, 0.4), ("a", 2, 0.4), ("a", 3, 0.1), ("b", 1, 0.9), ("c", 0, 0.0), ("d", 3, 0.2)]
-    out = {r.g: r for r in M.survival_marks(spark.createDataFrame(table, "g string, bin long, survival double"), ["g"], [0, 10, 20, 40], 30, [5, 20, 30, 35, 50]).collect()}
+    out = {r.g: r for r in M.table_marks(spark.createDataFrame(table, "g string, bin long, survival double"), ["g"], [0, 10, 20, 40], 30, [5, 20, 30, 35, 50]).collect()}
     a = out["a"]
     assert (a.done_5, a.done_20, a.done_30) == pytest.approx((0.1, 0.6, 0.6)) and a.done_35 is None and a.done_50 is None and a["median"] == pytest.approx(17.5)
     assert out["b"]["median"] is None and (out["b"].done_5, out["b"].done_20) == pytest.approx((0.0, 0.1))
