@@ -87,7 +87,7 @@ def chained(edges: DataFrame, key: str) -> DataFrame:
     which has place 0.
 
     Pointers double: after k rounds an edge knows the smallest of the 2^k edges that follow it, and who comes after those. Once
-    every ring has its name it is cut before the edge of that name, and pointers double again to count the edges up to the cut.
+    every ring has its name, pointers to the edges before double until they reach the edge of that name, and count the way.
     So a ring of n edges takes about 2 log2 n joins, and no task holds one.
     """
     own = F.struct(*_END)
@@ -100,16 +100,16 @@ def chained(edges: DataFrame, key: str) -> DataFrame:
         at = now.drop("moved")
         if not now.filter("moved").head(1):
             break
-    # steps: how many edges follow up to the ring's last one.
-    end = F.lit(None).cast(named.schema["e"].dataType)
-    walk = named.join(at.select(key, "e", "ring"), [key, "e"])
-    walk = _cut(walk.select(key, "e", "ring", "corner", F.when(F.col("next") != F.col("ring"), F.col("next")).otherwise(end).alias("to"), (F.col("next") != F.col("ring")).cast("long").alias("steps")))
+    # steps: how many edges of the ring come before, up to its first one.
+    before = named.select(key, F.col("next").alias("e"), F.col("e").alias("previous"))
+    first = F.col("e") == F.col("ring")
+    walk = at.select(key, "e", "ring").join(named.select(key, "e", "corner"), [key, "e"]).join(before, [key, "e"])
+    walk = _cut(walk.select(key, "e", "ring", "corner", F.when(~first, F.col("previous")).alias("to"), (~first).cast("long").alias("steps")))
     while walk.filter("to IS NOT NULL").head(1):
         ahead = walk.select(F.col(key).alias("__k"), F.col("e").alias("__e"), F.col("to").alias("__to"), F.col("steps").alias("__s"))
         met = walk.join(ahead, (F.col(key) == F.col("__k")) & (F.col("to") == F.col("__e")), "left")
         walk = _cut(met.select(key, "e", "ring", "corner", F.col("__to").alias("to"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps")))
-    n = walk.groupBy(key, "ring").agg(F.max("steps").alias("last"))
-    return walk.join(n, [key, "ring"]).select(key, "ring", (F.col("last") - F.col("steps")).alias("place"), "e.*", "corner")
+    return walk.select(key, "ring", F.col("steps").alias("place"), "e.*", "corner")
 
 
 def dissolve(rings: DataFrame, key: str, ring: str = "ring", grid: float = 1.0) -> DataFrame:
