@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_path
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the folder that the session shares."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df without its lineage, kept as a table in the folder that the session shares.
+
+    A checkpoint would hand on the plan's estimated size, which a join multiplies: in rounds that join a table with itself the
+    number doubles its digits, and by the 20th round planning takes minutes. A table's size is that of its files.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def of_lines(lines: DataFrame, grid: float) -> DataFrame:

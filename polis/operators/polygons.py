@@ -104,11 +104,14 @@ def chained(edges: DataFrame, key: str) -> DataFrame:
     before = named.select(key, F.col("next").alias("e"), F.col("e").alias("previous"))
     first = F.col("e") == F.col("ring")
     walk = at.select(key, "e", "ring").join(named.select(key, "e", "corner"), [key, "e"]).join(before, [key, "e"])
+    # Edges whose way is counted leave the rounds; each of the others meets where it points to, be that counted or not.
     walk = _cut(walk.select(key, "e", "ring", "corner", F.when(~first, F.col("previous")).alias("to"), (~first).cast("long").alias("steps")))
-    while walk.filter("to IS NOT NULL").head(1):
-        ahead = walk.select(F.col(key).alias("__k"), F.col("e").alias("__e"), F.col("to").alias("__to"), F.col("steps").alias("__s"))
-        met = walk.join(ahead, (F.col(key) == F.col("__k")) & (F.col("to") == F.col("__e")), "left")
-        walk = _cut(met.select(key, "e", "ring", "corner", F.col("__to").alias("to"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps")))
+    done, walk = walk.filter("to IS NULL"), walk.filter("to IS NOT NULL")
+    while walk.head(1):
+        ahead = walk.unionByName(done).select(key, F.col("e").alias("to"), F.col("to").alias("then"), F.col("steps").alias("more"))
+        now = _cut(walk.join(ahead, [key, "to"]).select(key, "e", "ring", "corner", F.col("then").alias("to"), (F.col("steps") + F.col("more")).alias("steps")))
+        done, walk = done.unionByName(now.filter("to IS NULL")), now.filter("to IS NOT NULL")
+    walk = done
     return walk.select(key, "ring", F.col("steps").alias("place"), "e.*", "corner")
 
 
