@@ -59,7 +59,7 @@ SELECT u.a, u.b, score FROM u JOIN p USING (a, b)
 def greedy_match(read):
     """Two registers matched one to one by the share of common words, at least 0.72, the best first (JN-13)."""
     a, b = _two_registers(read)
-    return T.greedy_pairs(J.token_overlap(a, b, "a", "b", "tokens", 0.72), "a", "b", "score")
+    return T.greedy_sets(a, b, "a", "b", "tokens", 0.72)
 
 
 @query("""
