@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import placed
@@ -45,6 +45,16 @@ def regret(df: DataFrame, key: str, option: str, cost: str) -> DataFrame:
     return two.groupBy(key).agg(at(1, option).alias("best"), (at(2, cost) - at(1, cost)).alias("regret"))
 
 
+def shared_regret(keys: DataFrame, options: DataFrame, key: str, on: str, profile: str, option: str, cost: Column) -> DataFrame:
+    """regret of keys (key, on, profile) over the options with the same `on`, where cost sees of a key nothing but its profile. So
+    each profile meets the options once, and its two cheapest are those of all its keys."""
+    kinds = keys.select(on, profile).distinct().join(options, on).withColumn("__c", cost)
+    two = kinds.withColumn("__p", F.row_number().over(Window.partitionBy(on, profile).orderBy("__c", option))).filter("__p <= 2")
+    two = two.select(on, F.col(profile).alias("__profile"), option, "__c")
+    met = keys.join(two.withColumnRenamed(on, "__on"), (F.col(on) == F.col("__on")) & F.col(profile).eqNullSafe(F.col("__profile")))
+    return regret(met, key, option, "__c")
+
+
 def effective_value(df: DataFrame, date: str, series: list[tuple[str, float]]) -> DataFrame:
     """df with value, of the last step that starts up to the date, or the first step's before any."""
     out = F.lit(series[0][1])
