@@ -90,6 +90,32 @@ def within_reach(points: DataFrame, sites: DataFrame, reach: float) -> DataFrame
     return met.drop("__cx", "__cy", "__s", "sx", "sy")
 
 
+def great_circle_pairs(points: DataFrame, most: float, cell: int = 10, block: int = 500) -> DataFrame:
+    """(a, b, metres) of points (id, lat, lon) with a < b that lie at most `most` metres apart, to the millimetre. cell is a
+    divisor of 360 in degrees that is wider than `most` in the latitudes of the points.
+
+    Distinct places are compared, so copies of a place share its way to others. Their points then meet by place, those of a place
+    dealt over blocks, so a place or cell that holds many points is many tasks' work.
+    """
+    from ..operators.graph import _cut
+    from .numbers import haversine_m
+
+    points = points.filter("id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    sizes = _cut(points.groupBy("lat", "lon").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    at = sizes.withColumn("__row", F.floor(F.col("lat") / cell)).withColumn("__column", F.pmod(F.floor((F.col("lon") + 180) / cell), F.lit(360 // cell)))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    b = at.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("blocks").alias("blocks2"), "__row", "__column").withColumn("__s", F.explode(around))
+    b = b.withColumn("__row", F.col("__row") + F.col("__s.i")).withColumn("__column", F.pmod(F.col("__column") + F.col("__s.j"), F.lit(360 // cell)))
+    metres = F.round(haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3)
+    ways = _cut(at.join(b, ["__row", "__column"]).select("lat", "lon", "lat2", "lon2", "blocks2", metres.alias("metres")).filter(F.col("metres") <= most))
+    left = points.select(F.col("id").alias("a"), "lat", "lon").join(ways, ["lat", "lon"])
+    left = left.select("a", "lat2", "lon2", "metres", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)).alias("block"))
+    right = points.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    right = right.join(sizes.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "blocks"), ["lat2", "lon2"])
+    right = right.select("b", "lat2", "lon2", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    return left.join(right.hint("merge"), ["lat2", "lon2", "block"]).filter("a < b").select("a", "b", "metres")
+
+
 def nearest(points: DataFrame, sites: DataFrame, k: int, reach: float) -> DataFrame:
     """(id, site, metres, place): the k nearest sites (site, sx, sy) within reach of each point (id, x, y), ties to the smaller
     site."""
