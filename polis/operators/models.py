@@ -91,12 +91,13 @@ def survival_marks(df: DataFrame, by: list[str], time: str, event: str, marks: l
 
 
 def parent_chains(tree: DataFrame) -> DataFrame:
-    """(node, path, hops) of each node of a forest (node, parent) that a root reaches, the root first."""
+    """(node, path, hops) of each node of a forest (node, parent) that a root reaches, the root first. Sorted sides meet in
+    each round: a broadcast would send every level through the driver."""
     tree = _cut(tree.select("node", "parent"))
     fresh = _cut(tree.filter("parent IS NULL").select("node", F.col("node").cast("string").alias("path"), F.lit(0).cast("long").alias("hops")))
     found = fresh
     while fresh.head(1):
-        down = tree.join(fresh.withColumnRenamed("node", "parent"), "parent")
+        down = tree.join(fresh.withColumnRenamed("node", "parent").hint("merge"), "parent")
         fresh = _cut(down.select("node", F.concat_ws(">", "path", "node").alias("path"), (F.col("hops") + 1).alias("hops")))
         found = found.unionByName(fresh)
     return found
