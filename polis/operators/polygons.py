@@ -158,6 +158,11 @@ def buffered(ring: Column, reach: Column, sides: int = 16) -> Column:
 
 def clipped(ring: Column, window: Column) -> Column:
     """The part of a ring inside a convex window (both turn left): each edge of the window cuts off what lies on its right."""
+    return _cut_off(ring, P._edges(window))
+
+
+def _cut_off(ring: Column, edges: Column) -> Column:
+    """The part of a ring on the left of all edges, which come in the order of a convex window that turns left."""
 
     def cut(points: Column, e: Column) -> Column:
         side = lambda p: (e["bx"] - e["ax"]) * (p["y"] - e["ay"]) - (e["by"] - e["ay"]) * (p["x"] - e["ax"])
@@ -172,7 +177,7 @@ def clipped(ring: Column, window: Column) -> Column:
 
         return F.flatten(F.transform(pairs, kept))
 
-    return F.aggregate(P._edges(window), ring, cut)
+    return F.aggregate(edges, ring, cut)
 
 
 def covers(window: Column, x: Column, y: Column) -> Column:
@@ -201,12 +206,16 @@ def overlap_shares(absorbers: DataFrame, units: DataFrame, within: str, radii: l
     own = boxed(units.filter(F.col("ring").isNotNull()).select("unit", within, "ring", "seat_x", "seat_y"), "ring", "u")
     met = wide.join(own, [within, "__x", "__y"]).filter("absorber <> unit AND __x = greatest(w_min_x, u_min_x) AND __y = greatest(w_min_y, u_min_y)")
     met = met.filter("u_low_x <= w_high_x AND w_low_x <= u_high_x AND u_low_y <= w_high_y AND w_low_y <= u_high_y")
-    part = F.abs(P.signed_area(clipped(F.col("ring"), F.col("window")))) / F.abs(P.signed_area(F.col("ring")))
-    whole = F.forall("ring", lambda p: covers(F.col("window"), p["x"], p["y"]))
-    seat = F.coalesce(covers(F.col("window"), F.col("seat_x"), F.col("seat_y")), F.lit(False))
-    # A generator keeps the filter from working the share out once more.
-    share = F.explode(F.array(F.when(whole, 1.0).otherwise(F.round(part, decimals))))
-    out = met.select("absorber", "radius", "unit", share.alias("share"), seat.alias("seat_inside"))
+    # Generators keep Spark from working out once more what they hold: the window's edges, those of them that some of the ring lies
+    # beyond (a few, and no other cuts anything off), and the share.
+    side = lambda e, p: (e["bx"] - e["ax"]) * (p["y"] - e["ay"]) - (e["by"] - e["ay"]) * (p["x"] - e["ax"])
+    met = met.select("absorber", "radius", "unit", "ring", "seat_x", "seat_y", F.explode(F.array(P._edges(F.col("window")))).alias("__e"))
+    seat = F.coalesce(F.forall("__e", lambda e: side(e, {"x": F.col("seat_x"), "y": F.col("seat_y")}) >= 0), F.lit(False))
+    cuts = F.filter("__e", lambda e: F.exists("ring", lambda p: side(e, p) < 0))
+    met = met.select("absorber", "radius", "unit", "ring", seat.alias("seat_inside"), F.explode(F.array(cuts)).alias("__e"))
+    part = F.abs(P.signed_area(_cut_off(F.col("ring"), F.col("__e")))) / F.abs(P.signed_area(F.col("ring")))
+    share = F.explode(F.array(F.when(F.size("__e") == 0, 1.0).otherwise(F.round(part, decimals))))
+    out = met.select("absorber", "radius", "unit", share.alias("share"), "seat_inside")
     return out.filter((F.col("share") >= least) | F.col("seat_inside"))
 
 
