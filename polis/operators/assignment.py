@@ -22,32 +22,43 @@ def assign_under_ceiling(options: DataFrame, ceiling: float, loads: DataFrame |
     before it chose in the round before. In every round at least one more item of the order is settled for good, so the rounds
     end, with the walk's result; as a choice touches few sites they are few. What stands before an item is a sum within a range
     of the order and a sum of ranges, so a site that many want is not one task's work.
+
+    Rounds carry only the options that an item has asked for: its cheapest at first, and when none of those has room, about as
+    many again, until one has or all were asked for. So they move little more than a row an item, however many options there are.
     """
-    rows = options.filter("item IS NOT NULL AND site IS NOT NULL AND cost IS NOT NULL").groupBy("item", "site").agg(F.min("cost").alias("cost"), F.max(F.coalesce("weight", F.lit(0))).cast("long").alias("weight"))
+    rows = options.filter("item IS NOT NULL AND site IS NOT NULL AND cost IS NOT NULL").select("item", "site", "cost", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+    # Dealt by item once; the aggregate and the windows find an item's options together.
+    rows = rows.repartition("item").groupBy("item", "site").agg(F.min("cost").alias("cost"), F.max("weight").alias("weight"))
     if loads is not None:
         rows = rows.join(loads.groupBy("site").agg(F.sum("load").cast("long").alias("before")), "site", "left")
     else:
         rows = rows.withColumn("before", F.lit(None).cast("long"))
-    cheapest = Window.partitionBy("item").orderBy("cost", "site")
+    cheapest, own = Window.partitionBy("item").orderBy("cost", "site"), Window.partitionBy("item")
     rows = rows.withColumn("place", F.row_number().over(cheapest)).withColumn("second", F.lead("cost").over(cheapest))
-    regret = F.max(F.when(F.col("place") == 1, F.col("second") - F.col("cost"))).over(Window.partitionBy("item"))
-    rows = rows.withColumn("order", -F.coalesce(regret, F.lit(0))).drop("second")
-    # All options of an item share a range of the order.
-    rows = rows.repartitionByRange("order", "item").withColumn("range", F.spark_partition_id())
-    rows = _cut(rows.withColumn("chosen", F.col("place") == 1))
+    regret = F.max(F.when(F.col("place") == 1, F.col("second") - F.col("cost"))).over(own)
+    every = _cut(rows.withColumn("order", -F.coalesce(regret, F.lit(0))).withColumn("options", F.count("*").over(own)).drop("second"))
+    rows = every.filter("place = 1").repartitionByRange("order", "item").withColumn("range", F.spark_partition_id())
+    rows = _cut(rows.withColumn("chosen", F.lit(True)))
     within = Window.partitionBy("site", "range").orderBy("order", "item").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.when(F.col("chosen"), F.col("weight")).otherwise(0)
     while True:
         ranges = rows.groupBy("site", "range").agg(F.sum(taken).alias("load"))
         earlier = Window.partitionBy("site").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         ranges = ranges.select("site", "range", F.coalesce(F.sum("load").over(earlier), F.lit(0)).alias("earlier"))
-        laid = rows.join(ranges, ["site", "range"]).withColumn("there", F.coalesce("before", F.lit(0)) + F.col("earlier") + F.coalesce(F.sum(taken).over(within), F.lit(0)))
+        laid = rows.join(ranges.hint("merge"), ["site", "range"]).withColumn("there", F.coalesce("before", F.lit(0)) + F.col("earlier") + F.coalesce(F.sum(taken).over(within), F.lit(0)))
         fits = F.when(F.col("there") + F.col("weight") <= ceiling, F.col("place"))
-        pick = F.coalesce(F.min(fits).over(Window.partitionBy("item")), F.lit(1))
-        now = _cut(laid.withColumn("pick", pick).select(*rows.columns, "pick"))
-        if not now.filter("chosen <> (place = pick)").head(1):
+        asked = F.max("place").over(own)
+        # Null: none of those asked for has room, and there are more.
+        pick = F.coalesce(F.min(fits).over(own), F.when(asked == F.col("options"), F.lit(1)))
+        now = _cut(laid.withColumn("pick", pick).withColumn("asked", asked).select(*rows.columns, "pick", "asked"))
+        if not now.filter("pick IS NULL OR chosen <> (place = pick)").head(1):
             return now.filter("chosen").select("item", "site", "cost", "place")
-        rows = now.withColumn("chosen", F.col("place") == F.col("pick")).drop("pick")
+        rows = now.withColumn("chosen", F.coalesce(F.col("place") == F.col("pick"), F.lit(False))).drop("pick", "asked")
+        turned = _cut(now.filter("pick IS NULL AND place = 1").select("item", "range", "asked"))
+        if turned.head(1):
+            more = every.join(turned, "item").filter("place > asked AND place <= 2 * asked + 1")
+            more = more.withColumn("chosen", F.col("place") == F.col("asked") + 1).select(*rows.columns)
+            rows = rows.unionByName(_cut(more))
 
 
 def _picks(totals: list[int], weight: int, count: int) -> tuple[list[int], list[int]]:
