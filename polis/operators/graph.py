@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_path
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept as a table in the folder that the session shares.
+def _cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df without its lineage, kept as a table in the folder that the session shares, or at a path there.
 
     A checkpoint would hand on the plan's estimated size, which a join multiplies: in rounds that join a table with itself the
     number doubles its digits, and by the 20th round planning takes minutes. A table's size is that of its files.
     """
-    path = shared_path(df.sparkSession, "cut")
+    path = path or shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -33,22 +33,38 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return rows.filter("a <> b").groupBy("a", "b").agg(F.min("cost").alias("cost"))
 
 
-def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def nearest_source(edges: DataFrame, sources: DataFrame, runs: int = 16) -> DataFrame:
     """(node, source, cost, parent): for each node the source that is reached cheapest, ties to the smaller source, then the
-    smaller parent. sources: (node, cost), where to start and at what initial cost. Costs are whole numbers."""
-    edges = _cut(both_ways(edges))
-    best = sources.select("node", F.col("cost").cast("long").alias("cost"), F.col("node").alias("source"), F.lit(None).cast("long").alias("parent"))
-    best = _cut(best.withColumn("fresh", F.lit(True)))
-    while True:
-        step = best.filter("fresh").join(edges.select(F.col("a").alias("node"), F.col("b").alias("to"), F.col("cost").alias("more")), "node")
-        step = step.select(F.col("to").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), "source", F.col("node").alias("parent"), F.lit(True).alias("fresh"))
-        key = F.struct("cost", "source", F.coalesce("parent", F.lit(-1)).alias("p"))
-        now = best.withColumn("fresh", F.lit(False)).unionByName(step)
-        now = now.groupBy("node").agg(F.min_by(F.struct("cost", "source", "parent", "fresh"), F.struct(key, F.col("fresh"))).alias("m")).select("node", "m.*")
-        best = _cut(now)
-        if not best.filter("fresh").head(1):
-            break
-    return best.select("node", "source", "cost", "parent")
+    smaller parent. sources: (node, cost), where to start and at what initial cost. Costs are whole numbers.
+
+    A round goes two edges on from the nodes that became cheaper in the one before, and keeps only those that do so now, beside
+    what was kept earlier: it moves no other node. Every `runs` rounds what was kept becomes one table again. Parents follow from
+    the final costs.
+    """
+    session, m = edges.sparkSession, F.min(F.struct("cost", "source")).alias("m")
+    steps = _cut(both_ways(edges).select(F.col("a").alias("node"), F.col("b").alias("to"), F.col("cost").alias("more")))
+    onward = lambda df: df.join(steps, "node").select(F.col("to").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), "source")
+    least = lambda df: df.groupBy("node").agg(m).select("node", "m.*")
+    start = sources.groupBy("node").agg(F.min(F.col("cost").cast("long")).alias("cost")).withColumn("source", F.col("node"))
+    folder, turn = shared_path(session, "kept"), 0
+    fresh = _cut(start.select("node", "cost", "source"), f"{folder}/{turn}")
+    kept = lambda: session.read.schema(fresh.schema).option("recursiveFileLookup", True).parquet(folder)
+    while fresh.head(1):
+        near = _cut(least(onward(fresh)))
+        near = _cut(least(near.unionByName(onward(near))))
+        had = least(near.select("node").join(kept(), "node")).select("node", F.struct("cost", "source").alias("had"))
+        turn += 1
+        fresh = _cut(near.join(had, "node", "left").filter("had IS NULL OR struct(cost, source) < had").select("node", "cost", "source"), f"{folder}/{turn}")
+        if turn % runs == 0:
+            whole, folder = least(kept()), shared_path(session, "kept")
+            _cut(whole, f"{folder}/{turn}")
+    best = _cut(least(kept()))
+    # The way to a node ends with any edge over which it is as cheap from the same source, unless it starts there.
+    last = best.join(steps, "node").select(F.col("to").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), "source", F.col("node").alias("parent"))
+    parents = last.join(best, ["node", "cost", "source"]).groupBy("node").agg(F.min("parent").alias("parent"))
+    starts = start.select("node", F.col("cost").alias("own"))
+    parent = F.when((F.col("own") == F.col("cost")) & (F.col("source") == F.col("node")), F.lit(None)).otherwise(F.col("parent"))
+    return best.join(parents, "node", "left").join(starts, "node", "left").select("node", "source", "cost", parent.alias("parent"))
 
 
 def distances(edges: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
