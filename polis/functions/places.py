@@ -80,14 +80,21 @@ def within(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
     return met.filter(contains(F.col("ring"), F.col("x"), F.col("y"))).drop("__cx", "__cy", "ring")
 
 
-def within_reach(points: DataFrame, sites: DataFrame, reach: float) -> DataFrame:
+def _dealt(left: DataFrame, right: DataFrame, on: list[str], parts: int, how: str = "inner") -> DataFrame:
+    """A join of sorted sides in so many tasks. Left to itself, Spark goes by bytes as shuffled, and rows of few different values
+    shrink so much there that one task, or the driver, would get millions of them."""
+    return left.repartition(parts, *on).join(right.repartition(parts, *on).hint("merge"), on, how)
+
+
+def within_reach(points: DataFrame, sites: DataFrame, reach: float, parts: int | None = None) -> DataFrame:
     """points (x, y, ...) with each site (site, sx, sy) within reach and metres, how far it is. Points meet the sites of their own
-    grid cell of size reach and its neighbours."""
+    grid cell of size reach and its neighbours; with parts, in so many tasks."""
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    spread = sites.withColumn("__s", F.explode(around)).withColumn("__cx", _cell(F.col("sx"), reach) + F.col("__s.a")).withColumn("__cy", _cell(F.col("sy"), reach) + F.col("__s.b"))
-    met = points.withColumn("__cx", _cell(F.col("x"), reach)).withColumn("__cy", _cell(F.col("y"), reach)).join(spread, ["__cx", "__cy"])
+    spread = sites.withColumn("__s", F.explode(around)).withColumn("__cx", _cell(F.col("sx"), reach) + F.col("__s.a")).withColumn("__cy", _cell(F.col("sy"), reach) + F.col("__s.b")).drop("__s")
+    placed = points.withColumn("__cx", _cell(F.col("x"), reach)).withColumn("__cy", _cell(F.col("y"), reach))
+    met = placed.join(spread, ["__cx", "__cy"]) if parts is None else _dealt(placed, spread, ["__cx", "__cy"], parts)
     met = met.withColumn("metres", planar(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).filter(F.col("metres") <= reach)
-    return met.drop("__cx", "__cy", "__s", "sx", "sy")
+    return met.drop("__cx", "__cy", "sx", "sy")
 
 
 def great_circle_pairs(points: DataFrame, most: float, cell: int = 10, block: int = 500) -> DataFrame:
@@ -123,19 +130,25 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, reach: float) -> DataFr
     return met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("metres", "site"))).filter(F.col("place") <= k).select("id", "site", "metres", "place")
 
 
-def clark_evans(points: DataFrame, area: float, reach: float) -> DataFrame:
+def clark_evans(points: DataFrame, area: float, reach: float, rows: int = 1_000_000) -> DataFrame:
     """(n, mean, dispersion) of points (id, x, y) in an area: the mean way to the nearest other point, and its ratio to that of
     as many random points. Points with another one within reach meet only what lies around them; those still alone look twice as
-    far in each further round, so all count, isolated ones too. A single point has no mean. Rows without coordinates are no points."""
+    far in each further round, so all count, isolated ones too. A single point has no mean. Rows without coordinates are no points.
+
+    A task gets about `rows` rows: the points that look, in nine cells each, and those that they may find, in one."""
     from ..operators.graph import _cut
 
-    points = _cut(points.filter("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y"))
-    others = points.select(F.col("id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    parts = lambda n: max(1, -(-n // rows))
+    points = points.filter("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y")
+    points = _cut(points.repartition("id"))
+    size = left = points.count()
     alone, found, several = points, points.select("id", F.lit(None).cast("double").alias("metres")).limit(0), len(points.select("id").distinct().head(2)) > 1
-    while several and alone.head(1):
-        near = within_reach(alone, others, reach).filter("site <> id").groupBy("id").agg(F.min("metres").alias("metres"))
+    while several and left:
+        looking = alone.select(F.col("id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+        near = within_reach(points, looking, reach, parts(9 * left + size)).filter("site <> id").groupBy(F.col("site").alias("id")).agg(F.min("metres").alias("metres"))
         near, reach = _cut(near), 2 * reach
-        found, alone = found.unionByName(near), _cut(alone.join(near, "id", "left_anti"))
+        found, alone = found.unionByName(near), _cut(_dealt(alone, near, ["id"], parts(2 * left), "left_anti"))
+        left = alone.count()
     n, mean = F.count("*"), F.avg("metres")
-    every = points.select("id").distinct().join(found, "id", "left")
+    every = _dealt(points.select("id"), found, ["id"], parts(2 * size), "left").groupBy("id").agg(F.first("metres").alias("metres"))
     return every.agg(n.alias("n"), mean.alias("mean"), (mean / (0.5 * F.sqrt(F.lit(area) / F.nullif(n, F.lit(0))))).alias("dispersion"))
