@@ -10,11 +10,12 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .recurrent import Adagrad, backward, by_row, forward
+from .recurrent import Adagrad, gates_backward, gates_forward, sums_by_row
 from .word_counts import word_counts
 
 #: Words of the softmax, in classes of this many; hidden units.
@@ -27,10 +28,12 @@ TRAIN_STEPS, SCORE_STEPS, TRAIN_LANES, SCORE_LANES = 32, 64, 64, 384
 ROUNDS = 3
 #: Tokens whose softmax is computed at once, so that it stays in cache.
 CHUNK = 2048
-#: Bytes of text scored at once; models averaged at once.
-RUN_BYTES, FAN_IN = 6 << 20, 64
-#: Classes of at most so many tokens of a training window are computed together.
-TOGETHER = 48
+#: Bytes of text in a run of training; scored at once, so many that one long text leaves many lanes; models averaged at once.
+RUN_BYTES, SCORE_BYTES, FAN_IN = 3 << 20, 24 << 20, 64
+#: Blocks of texts whose models learn side by side in a task.
+SIDE = 4
+#: Classes of a training window are computed together up to these numbers of tokens, larger ones alone.
+TOGETHER = (4, 8, 16, 32, 64)
 #: Stands for the end of a text; no word holds white space.
 END = "\n"
 
@@ -66,20 +69,41 @@ def _exponentials(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | f
 def _log_share(logit: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the softmax of logit + bias at the target of each row; logit is spent."""
     logit += bias
-    own = logit[np.arange(len(target)), target]
+    own = logit.take(np.arange(len(target)) * logit.shape[1] + target)
     _, total, shift = _exponentials(logit)
     return own - shift - np.log(total)
 
 
-def _errors(logit: np.ndarray, bias: np.ndarray, target: np.ndarray, scale: np.float32) -> np.ndarray:
+def _errors(logit: np.ndarray, bias: np.ndarray, target: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """(softmax of logit + bias, less 1 at the target of each row) * scale; logit is spent."""
     logit += bias
     e, total, _ = _exponentials(logit)
     e *= (scale / total)[:, None]
-    e[np.arange(len(target)), target] -= scale
+    e.reshape(-1)[np.arange(len(target)) * e.shape[1] + target] -= scale
     return e
 
 
+def _column_sums(e: np.ndarray) -> np.ndarray:
+    return np.ones(e.shape[-2], np.float32) @ e
+
+
+def _inputs(ids: np.ndarray) -> np.ndarray:
+    """Rows (T, 3, K, B), for gates_forward, of the tokens' shares, each of three rows."""
+    return ids[:, None].astype(np.int64) * 3 + np.arange(3)[:, None, None]
+
+
+def _by_gate(u: np.ndarray) -> np.ndarray:
+    """(3, K, H, H) of (K, H, 3H)."""
+    return np.ascontiguousarray(u.reshape(-1, HIDDEN, 3, HIDDEN).transpose(2, 0, 1, 3))
+
+
+def _ends(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each step of mask (T, K, B), the models and lanes where a text ends."""
+    t, k, b = np.nonzero(mask == 0)
+    edges = np.searchsorted(t, np.arange(len(mask) + 1))
+    return [(k[i:j], b[i:j]) for i, j in zip(edges[:-1], edges[1:])]
+
+
 class Model:
     """State h predicts a token's class, then the token within its class; then the token changes the state. Symbol 0 is any
     word outside the softmax."""
@@ -102,16 +126,17 @@ class Model:
         }
         return cls({k: v.astype(np.float32) for k, v in p.items()})
 
-    def run(self, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, keep: bool = False):
-        """(states before each token, state after the last, what backward needs)."""
-        states, saved = forward(self.p["token"][ids], self.p["u"], h, mask, keep)
-        return np.concatenate([h[None], states[:-1]]), states[-1], (states, saved)
+    def run(self, ids: np.ndarray, mask: np.ndarray, h: np.ndarray):
+        """(states before each token, state after the last)."""
+        rows, u = self.p["token"].reshape(-1, HIDDEN), _by_gate(self.p["u"][None])
+        states = gates_forward(rows, _inputs(ids[:, None]), u, h[None], _ends(mask[:, None]))[0][:, 0]
+        return states[:-1], states[-1]
 
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each token (n,) from the state before it (n, H)."""
         p, which = self.p, ids // CLASS
-        order = np.argsort(which, kind="stable")
-        which, ids, h = which[order], ids[order], h[order]
+        order = np.argsort(which.astype(np.uint8), kind="stable")
+        which, ids, h = which[order], ids[order], h.take(order, 0)
         got = np.empty(len(ids), np.float32)
         for at in range(0, len(ids), CHUNK):
             part = slice(at, at + CHUNK)
@@ -125,53 +150,80 @@ class Model:
         out[order] = got
         return out
 
+
+class Learners:
+    """Models that learn side by side, each from its own texts: numpy is given the arrays of all at once, none sees another's."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        """p: the arrays of a model, each with the models in front; learning changes them in place."""
+        self.p = p
+        # Tokens and classes of the second model are numbered on from the first's.
+        self.rows = {k: p[k].reshape(-1, *p[k].shape[2:]) for k in ("token", "word", "word_bias")}
+
     def learn(self, optimizer: Adagrad, ids: np.ndarray, mask: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One window of truncated backpropagation; the state after it."""
-        p = self.p
-        before, after, (states, saved) = self.run(ids, mask, h, True)
-        use = np.flatnonzero(real.ravel())
-        x, own, scale = before.reshape(-1, HIDDEN)[use], ids.ravel()[use], np.float32(1 / max(1, len(use)))
-        which, d = own // CLASS, np.zeros((real.size, HIDDEN), np.float32)
-
-        e = _errors(x @ p["class"], p["class_bias"], which, scale)
-        dx = e @ p["class"].T
-        steps = [("class", x.T @ e), ("class_bias", e.sum(0))]
-        order = np.argsort(which, kind="stable")
-        edges = np.searchsorted(which[order], np.arange(CLASSES + 1))
+        """One window (T, K, B) of truncated backpropagation of the first K models from the states h (K, B, H); the states after it."""
+        many, ends = ids.shape[1], _ends(mask)
+        p, models = {k: v[:many] for k, v in self.p.items()}, np.arange(many)
+        u, numbered = _by_gate(p["u"]), ids + models[:, None] * (CLASSES * CLASS)
+        inputs = _inputs(numbered)
+        states, saved = gates_forward(self.rows["token"].reshape(-1, HIDDEN), inputs, u, h, ends, True)
+        # Tokens in the order of their models and classes.
+        use = np.flatnonzero(real)
+        own = numbered.ravel()[use]
+        order = np.argsort((own // CLASS).astype(np.uint16), kind="stable")
+        use, own = use[order], own[order]
+        which, own = own // CLASS, own % CLASS
+        edges = np.searchsorted(which, np.arange(many * CLASSES + 1))
+        sizes = np.diff(edges[::CLASSES])
+        scale = np.repeat((1 / np.maximum(1, sizes)).astype(np.float32), sizes)
+        before = states.reshape(-1, HIDDEN).take(use, 0)
+        # The last row of the states' gradients is that of a state that predicts nothing.
+        dx = np.zeros((len(use) + 1, HIDDEN), np.float32)
+        dclass, dbias = np.zeros_like(p["class"]), np.zeros_like(p["class_bias"])
+        for k in np.flatnonzero(sizes):
+            at = slice(edges[k * CLASSES], edges[(k + 1) * CLASSES])
+            e = _errors(before[at] @ p["class"][k], p["class_bias"][k], which[at] - k * CLASSES, scale[at])
+            np.matmul(e, p["class"][k].T, out=dx[at])
+            dclass[k], dbias[k] = before[at].T @ e, _column_sums(e)
+        self._learn_words(optimizer, before, own, scale, dx, edges)
+        place = np.full(ids.shape, len(use))
+        place.ravel()[use] = np.arange(len(use))
+        place[:-1], place[-1] = place[1:].copy(), len(use)
+        d, du = gates_backward(dx.take(place, 0), states, saved, u, ends)
+        for name, g in (("class", dclass), ("class_bias", dbias), ("u", du.transpose(1, 2, 0, 3).reshape(p["u"].shape))):
+            optimizer.step(name, self.p[name], g, models)
+        parts = np.arange(inputs.size).reshape(inputs.shape).swapaxes(0, 1).reshape(3, -1).T
+        rows, g = sums_by_row(numbered.ravel(), d.reshape(-1, HIDDEN), np.ascontiguousarray(parts))
+        optimizer.step("token", self.rows["token"], g, rows)
+        return states[-1]
+
+    def _learn_words(self, optimizer: Adagrad, x: np.ndarray, own: np.ndarray, scale: np.ndarray, dx: np.ndarray, edges: np.ndarray) -> None:
+        """A step of the softmaxes within classes; the states' gradients are added to dx."""
+        word, bias = self.rows["word"], self.rows["word_bias"]
         count = np.diff(edges)
-        present = np.flatnonzero(count)
-        dword, dbias = np.empty((len(present), HIDDEN, CLASS), np.float32), np.empty((len(present), CLASS), np.float32)
-        for k in np.flatnonzero(count[present] > TOGETHER):
-            c = present[k]
-            at = order[edges[c] : edges[c + 1]]
-            z = x[at]
-            e = _errors(z @ p["word"][c], p["word_bias"][c], own[at] % CLASS, scale)
-            dx[at] += e @ p["word"][c].T
-            dword[k], dbias[k] = z.T @ e, e.sum(0)
+        for c in np.flatnonzero(count > TOGETHER[-1]):
+            at = slice(edges[c], edges[c + 1])
+            e = _errors(x[at] @ word[c], bias[c], own[at], scale[at])
+            dx[at] += e @ word[c].T
+            optimizer.step("word", word, (x[at].T @ e)[None], np.array([c]))
+            optimizer.step("word_bias", bias, _column_sums(e)[None], np.array([c]))
         # Classes of few tokens at once, each filled up to the same number of rows.
-        few = np.flatnonzero(count[present] <= TOGETHER)
-        if len(few):
-            c, n = present[few], count[present[few]]
-            place = np.arange(n.max())
-            there = place < n[:, None]
-            at = order[np.where(there, edges[c][:, None] + place, edges[c][:, None])]
-            z = x[at] * there[..., None]
-            logit = z @ p["word"][c]
-            logit += p["word_bias"][c][:, None]
-            e = _errors(logit.reshape(-1, CLASS), np.float32(0), (own[at] % CLASS).ravel(), scale).reshape(logit.shape)
-            e *= there[..., None]
-            dx[at[there]] += (e @ p["word"][c].transpose(0, 2, 1))[there]
-            dword[few], dbias[few] = z.transpose(0, 2, 1) @ e, e.sum(1)
-        d[use] = dx
-        d = d.reshape(*real.shape, HIDDEN)
-        dtoken, du = backward(np.concatenate([d[1:], np.zeros_like(d[:1])]), states, saved, p["u"], h, mask)
-        for name, g in [*steps, ("u", du)]:
-            optimizer.step(name, p[name], g)
-        optimizer.step("word", p["word"], dword, present)
-        optimizer.step("word_bias", p["word_bias"], dbias, present)
-        rows, g = by_row(ids.ravel(), dtoken.reshape(-1, 3 * HIDDEN))
-        optimizer.step("token", p["token"], g, rows)
-        return after
+        for low, high in zip((0, *TOGETHER), TOGETHER):
+            c = np.flatnonzero((count > low) & (count <= high))
+            if not len(c):
+                continue
+            place = np.arange(count[c].max())
+            there = place < count[c][:, None]
+            at = np.where(there, edges[c][:, None] + place, edges[c][:, None]).ravel()
+            full, there = (len(c), len(place), -1), there.ravel()
+            z, w = x.take(at, 0).reshape(full), word.take(c, 0)
+            logit = z @ w
+            logit += bias.take(c, 0)[:, None]
+            e = _errors(logit.reshape(-1, CLASS), np.float32(0), own[at], scale[at] * there).reshape(full)
+            rows = np.flatnonzero(there)
+            dx[at[rows]] += (e @ w.swapaxes(1, 2)).reshape(-1, HIDDEN).take(rows, 0)
+            optimizer.step("word", word, z.swapaxes(1, 2) @ e, c)
+            optimizer.step("word_bias", bias, _column_sums(e), c)
 
 
 def lanes(sizes: list[int], most: int) -> list[list[int]]:
@@ -189,14 +241,14 @@ def laid_out(texts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray
     """(ids (T, B), 0 where a text ends (T, B), text of each place or -1 (T, B))."""
     plan = lanes([len(x) for x in texts], most)
     steps = max(sum(len(texts[i]) for i in lane) for lane in plan)
-    ids, owner, mask = (np.full((len(plan), steps), v, np.int64) for v in (0, -1, 1))
+    ids, owner, mask = (np.full((steps, len(plan)), v, kind) for v, kind in ((0, np.int16), (-1, np.int32), (1, np.float32)))
     for k, lane in enumerate(plan):
         at = 0
         for i in lane:
-            ids[k, at : at + len(texts[i])], owner[k, at : at + len(texts[i])] = texts[i], i
+            ids[at : at + len(texts[i]), k], owner[at : at + len(texts[i]), k] = texts[i], i
             at += len(texts[i])
-            mask[k, at - 1] = 0
-    return np.ascontiguousarray(ids.T), np.ascontiguousarray(mask.T).astype(np.float32), np.ascontiguousarray(owner.T)
+            mask[at - 1, k] = 0
+    return ids, mask, owner
 
 
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -208,20 +260,50 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     h = np.zeros((ids.shape[1], HIDDEN), np.float32)
     for at in range(0, len(ids), SCORE_STEPS):
         part = slice(at, at + SCORE_STEPS)
-        before, h, _ = model.run(ids[part], mask[part], h)
+        before, h = model.run(ids[part], mask[part], h)
         own = owner[part].ravel()
         use = np.flatnonzero(own >= 0)
-        got = model.log_probabilities(before.reshape(-1, HIDDEN)[use], ids[part].ravel()[use])
+        got = model.log_probabilities(before.reshape(-1, HIDDEN).take(use, 0), ids[part].ravel()[use])
         out += np.bincount(own[use], got.astype(np.float64), len(texts))
     return out
 
 
-def learn_texts(model: Model, texts: list[np.ndarray], rate: float) -> None:
-    ids, mask, owner = laid_out(texts, TRAIN_LANES)
-    h, optimizer = np.zeros((ids.shape[1], HIDDEN), np.float32), Adagrad(rate)
-    for at in range(0, len(ids), TRAIN_STEPS):
-        part = slice(at, at + TRAIN_STEPS)
-        h = model.learn(optimizer, ids[part], mask[part], owner[part] >= 0, h)
+def learn_texts(p: dict[str, np.ndarray], texts: list[list[np.ndarray]], rate: float) -> None:
+    """The models whose arrays stand side by side in p learn, each from its own texts; those with fewer steps are through sooner."""
+    plans = [laid_out(t, TRAIN_LANES) if t else (np.empty((0, 0), int),) * 3 for t in texts]
+    order = sorted(range(len(plans)), key=lambda k: -len(plans[k][0]))
+    plans = [plans[k] for k in order]
+    steps, wide = (max(x[0].shape[i] for x in plans) for i in (0, 1))
+    ids, mask, real = (np.full((steps, len(plans), wide), v, kind) for v, kind in ((0, np.int64), (1, np.float32), (False, bool)))
+    for k, x in enumerate(plans):
+        part = (slice(x[0].shape[0]), k, slice(x[0].shape[1]))
+        ids[part], mask[part], real[part] = x[0], x[1], x[2] >= 0
+    own = Learners({k: v[order] for k, v in p.items()})
+    h, optimizer = np.zeros((len(plans), wide, HIDDEN), np.float32), Adagrad(rate)
+    for at in range(0, steps, TRAIN_STEPS):
+        many = sum(len(x[0]) > at for x in plans)
+        wide = max(x[0].shape[1] for x in plans[:many])
+        part = (slice(at, at + TRAIN_STEPS), slice(many), slice(wide))
+        h = own.learn(optimizer, ids[part], mask[part], real[part], h[:many, :wide])
+    for k, v in own.p.items():
+        p[k][order] = v
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, anew in batches of about SCORE_BYTES of text."""
+    held, size = [], 0
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)), 0
+        while at < len(batch):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SCORE_BYTES - size, side="right")))
+            held.append(batch.slice(at, to - at))
+            size, at = size + int(ends[to - 1]) - before, to
+            if at < len(batch) or size >= SCORE_BYTES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _pack(p: dict[str, np.ndarray]) -> bytes:
@@ -237,22 +319,26 @@ def _unpack(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def _learner(words, start, rate: float):
-    """Learning from one block of texts; the state starts anew with each run of texts."""
+    """Learning from up to SIDE blocks of texts, a model for each; the states start anew with each run of texts."""
 
     def learn(table: pa.Table) -> pa.Table:
-        own = Model({k: v.copy() for k, v in start.value.items()})
         of, end = words.value, words.value[END.encode()]
-        texts = sorted(table.column("text").to_pylist())
-        order, at = np.random.default_rng(8).permutation(len(texts)), 0
-        while at < len(order):
-            run, size = [], 0
-            while at < len(order) and (not run or size <= RUN_BYTES // 2):
-                t = texts[order[at]]
-                run.append(numbers(of, tokens(t), 0, end))
-                size += len(t)
-                at += 1
-            learn_texts(own, run, rate)
-        return pa.table([table.column("block").slice(0, 1), pa.array([float(sum(map(len, texts)) + len(texts))]), pa.array([_pack(own.p)], pa.binary())], names=["block", "weight", "model"])
+        blocks = sorted(pc.unique(table.column("block")).to_pylist())
+        own = {k: np.repeat(v[None], len(blocks), 0) for k, v in start.value.items()}
+        texts = [sorted(table.filter(pc.equal(table.column("block"), b)).column("text").to_pylist()) for b in blocks]
+        order, at = [np.random.default_rng(8).permutation(len(t)) for t in texts], [0] * len(blocks)
+        while any(i < len(t) for i, t in zip(at, texts)):
+            runs = []
+            for k, t in enumerate(texts):
+                run, size = [], 0
+                while at[k] < len(t) and (not run or size <= RUN_BYTES):
+                    run.append(numbers(of, tokens(t[order[k][at[k]]]), 0, end))
+                    size += len(t[order[k][at[k]]])
+                    at[k] += 1
+                runs.append(run)
+            learn_texts(own, runs, rate)
+        weights = [float(sum(map(len, t)) + len(t)) for t in texts]
+        return pa.table([pa.array(blocks, pa.int32()), pa.array(weights), pa.array([_pack({k: v[i] for k, v in own.items()}) for i in range(len(blocks))], pa.binary())], names=["block", "weight", "model"])
 
     return learn
 
@@ -278,7 +364,7 @@ def train(rows: DataFrame, symbols: dict[str, int], frequency: np.ndarray) -> Mo
         n = common.blocks(part)
         learn = _learner(words, session.sparkContext.broadcast(model.p), 0.1 / (turn + 1) ** 0.5)
         shape = "block int, weight double, model binary"
-        models = common.cut(common.by_block(part.withColumn("doc_id", F.xxhash64("doc_id", "text", F.lit(9))), n).select("block", "text").groupBy("block").applyInArrow(learn, shape), "models")
+        models = common.cut(common.by_block(part.withColumn("doc_id", F.xxhash64("doc_id", "text", F.lit(9))), n).select("block", "text").groupBy(F.floor(F.col("block") / SIDE)).applyInArrow(learn, shape), "models")
         while n > 1:
             models = common.cut(models.groupBy(F.floor(F.col("block") / FAN_IN)).applyInPandas(_average, shape), "models")
             n = -(-n // FAN_IN)
@@ -326,28 +412,21 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, key: str
         symbol, count = (np.array([known[w][k] for w in names], np.int64) for k in (0, 1))
         weight = np.log10(count + 0.5)
         end = place[END.encode()]
-        for batch in batches:
-            texts, at, out = batch.column("text").to_pylist(), 0, []
-            while at < len(texts):
-                run, size = [], 0
-                while at < len(texts) and (not run or size + len(texts[at]) <= RUN_BYTES):
-                    run.append(texts[at])
-                    size += len(texts[at])
-                    at += 1
-                ids, values = [], []
-                for t in run:
-                    words = tokens(t)
-                    x = numbers(place, words, -1, end)
-                    rare = [words[i].decode() for i in np.flatnonzero(x < 0)]
-                    have = x[x >= 0]
-                    s = np.where(x >= 0, symbol[x], 0)
-                    outside = int((s == 0).sum())
-                    base = float(weight[have].sum())
-                    inner = float(weight[have[symbol[have] == 0]].sum())
-                    values.append((len(x), int((count[have] > 0).sum()), base - len(x) * base_log, inner - outside * out_log, rare))
-                    ids.append(s)
-                like = log_likelihoods(own, ids) / _LN10 if own else np.array([v[2] - v[3] for v in values])
-                out += [(*v[:3], v[3] + x, v[4]) for v, x in zip(values, like.tolist())]
+        for batch in _joined(batches):
+            out, ids = [], []
+            for t in batch.column("text"):
+                words = tokens(t.as_py())
+                x = numbers(place, words, -1, end)
+                rare = [words[i].decode() for i in np.flatnonzero(x < 0)]
+                have = x[x >= 0]
+                s = np.where(x >= 0, symbol[x], 0).astype(np.int16)
+                outside = int((s == 0).sum())
+                base = float(weight[have].sum())
+                inner = float(weight[have[symbol[have] == 0]].sum())
+                out.append((len(x), int((count[have] > 0).sum()), base - len(x) * base_log, inner - outside * out_log, rare))
+                ids.append(s)
+            like = log_likelihoods(own, ids) / _LN10 if own else np.array([v[2] - v[3] for v in out])
+            out = [(*v[:3], v[3] + x, v[4]) for v, x in zip(out, like.tolist())]
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()))
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("number"), *(pa.array(c, t) for c, t in zip(columns, types))], names=shape.names)

@@ -1,9 +1,12 @@
-"""Gated recurrent layers in numpy, forwards and backwards through time."""
+"""Gated recurrent layers in numpy, forwards and backwards through time, one or several side by side."""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Gradients of one row that are added place by place; more are added at once.
+LAYERS = 16
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -73,6 +76,77 @@ def backward(d: np.ndarray, states: np.ndarray, saved, u: np.ndarray, h0: np.nda
     return dx, before.reshape(-1, size).T @ dg.reshape(-1, 3 * size)
 
 
+def gates_forward(inputs: np.ndarray, rows: np.ndarray, u: np.ndarray, h: np.ndarray, ends: list[tuple[np.ndarray, np.ndarray]], keep: bool = False):
+    """(states (T + 1, K, B, H) before each step and after the last, what gates_backward needs) of K layers side by side, with B lanes each.
+
+    rows (T, 3, K, B) of inputs (N, H) are the inputs' share of the reset, update and new gates. u: (3, K, H, H). h: the states
+    (K, B, H) to start from. ends: for each step, the layers and lanes whose state is nothing after it.
+    """
+    steps, shape = len(rows), h.shape
+    states = np.empty((steps + 1, *shape), np.float32)
+    states[0] = h
+    gates, own = (np.empty((steps if keep else 1, *k, *shape), np.float32) for k in ((3,), ()))
+    less = np.stack([-u[0], -u[1], u[2]])
+    g = np.empty((3, *shape), np.float32)
+    for t in range(steps):
+        h, now, x = states[t], states[t + 1], gates[t if keep else 0]
+        inputs.take(rows[t], 0, out=x, mode="clip")
+        np.matmul(h, less, out=g)
+        a, n = x[:2], x[2]
+        np.subtract(g[:2], a, out=a)
+        np.exp(a, out=a)
+        a += 1
+        np.reciprocal(a, out=a)
+        if keep:
+            own[t] = g[2]
+        g[2] *= x[0]
+        n += g[2]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=now)
+        now *= x[1]
+        now += n
+        if len(ends[t][0]):
+            now[ends[t]] = 0
+    return states, (gates, own)
+
+
+def gates_backward(d: np.ndarray, states: np.ndarray, saved, u: np.ndarray, ends: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(gradients (T, 3, K, B, H) of the inputs' share of the gates, which take the place of what was saved; gradient of u) from d,
+    the gradient of the states after each step (T, K, B, H)."""
+    gates, own = saved
+    dh, part, a, b = np.zeros_like(d[0]), np.empty_like(gates[0]), np.empty_like(d[0]), np.empty_like(d[0])
+    back, du, more = np.ascontiguousarray(u.swapaxes(2, 3)), np.zeros_like(u), np.empty_like(u)
+    for t in range(len(d) - 1, -1, -1):
+        x, h, dr = gates[t], states[t], own[t]
+        r, z, n = x
+        dh += d[t]
+        if len(ends[t][0]):
+            dh[ends[t]] = 0
+        np.subtract(1, z, out=a)
+        a *= dh
+        np.subtract(h, n, out=b)
+        b *= z
+        dh *= z
+        np.multiply(a, b, out=z)
+        n *= n
+        np.subtract(1, n, out=n)
+        a *= n
+        dr *= a
+        dr *= r
+        np.multiply(a, r, out=n)
+        np.subtract(1, r, out=r)
+        r *= dr
+        # Now x holds the gradients of the state's share of the gates, and a that of the input's share of the new one.
+        np.matmul(x, back, out=part)
+        dh += part[0]
+        dh += part[1]
+        dh += part[2]
+        np.matmul(h.swapaxes(1, 2), x, out=more)
+        du += more
+        x[2] = a
+    return gates, du
+
+
 class Adagrad:
     """Steps that shrink where gradients have been large; rows touched seldom keep their pace."""
 
@@ -87,13 +161,13 @@ class Adagrad:
             total += gradient * gradient
             value -= self.rate * gradient / np.sqrt(total)
         else:
-            now = total[rows]
+            now = total.take(rows, 0)
             now += gradient * gradient
             total[rows] = now
             np.sqrt(now, out=now)
             np.divide(gradient, now, out=now)
             now *= np.float32(self.rate)
-            value[rows] -= now
+            value[rows] = value.take(rows, 0) - now
 
 
 def by_row(ids: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,3 +176,24 @@ def by_row(ids: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ids = ids[order]
     head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     return ids[head], np.add.reduceat(gradient[order], head, axis=0)
+
+
+def sums_by_row(ids: np.ndarray, gradient: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids in order, their summed gradients): the gradient of the id at i is the rows parts[i] of gradient, end to end."""
+    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
+    ids, parts = ids.take(order), parts.take(order, 0)
+    head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    count = np.diff(np.r_[head, len(ids)])
+    by = np.argsort(-count, kind="stable")
+    first, count = head[by], count[by]
+    # First places of all, second places of those with two, and so on; the few with many more at once.
+    total = gradient.take(parts.take(first, 0), 0).reshape(len(first), -1)
+    for k in range(1, LAYERS):
+        n = int(np.searchsorted(-count, -k))
+        if not n:
+            break
+        total[:n] += gradient.take(parts.take(first[:n] + k, 0), 0).reshape(n, -1)
+    for k in range(int(np.searchsorted(-count, -LAYERS))):
+        own = gradient.take(parts[first[k] + LAYERS : first[k] + count[k]], 0)
+        total[k] += np.ones(len(own), np.float32) @ own.reshape(len(own), -1)
+    return ids[head], total.take(np.argsort(by), 0)

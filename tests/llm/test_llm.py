@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polis.llm import common, decontamination, language_id, language_model, mixing, near_dedup, pivot_search, queries, suffix_dedup, token_counts, toxicity, warc
+from polis.llm import common, decontamination, language_id, language_model, mixing, near_dedup, pivot_search, queries, recurrent, suffix_dedup, token_counts, toxicity, warc
 from polis.llm.components import components
 from polis.llm.recurrent import backward, forward
 from tests_llm_brute import brute_components, brute_removed, brute_targets
@@ -453,6 +454,42 @@ def test_language_model_is_a_distribution_and_carries_state():
     assert together[2] == pytest.approx(step, rel=1e-4)
 
 
+def test_language_model_learns_side_by_side_as_alone():
+    start = language_model.Model.fresh(np.arange(1, 4000, dtype=float)[::-1].copy()).p
+    r = np.random.default_rng(3)
+    texts = [[r.integers(0, 3000, n) % r.integers(1, 3000) for n in sizes] for sizes in ([700, *[60] * 90], [5, 1], [], [40] * 70)]
+    stack = {k: np.repeat(v[None], len(texts), 0) for k, v in start.items()}
+    language_model.learn_texts(stack, texts, 0.1)
+    for i, own in enumerate(texts):
+        alone = {k: v[None].copy() for k, v in start.items()}
+        language_model.learn_texts(alone, [own], 0.1)
+        for k, v in stack.items():
+            assert np.allclose(v[i], alone[k][0], atol=2e-2) and np.abs(v[i] - alone[k][0]).mean() < 1e-4 and np.array_equal(v[i], start[k]) == (not own)
+
+
+def test_recurrent_gates_side_by_side_as_one_by_one():
+    r, size, many, steps, lanes = np.random.default_rng(4), 8, 3, 6, 5
+    rows, u, h, d = (r.normal(0, 1, s).astype(np.float32) for s in ((40, 3 * size), (many, size, 3 * size), (many, lanes, size), (steps, many, lanes, size)))
+    ids, mask = r.integers(0, 40, (steps, many, lanes)), (r.random((steps, many, lanes)) > 0.3).astype(np.float32)
+    ends = [np.nonzero(m == 0) for m in mask]
+    gates = np.ascontiguousarray(u.reshape(many, size, 3, size).transpose(2, 0, 1, 3))
+    states, saved = recurrent.gates_forward(rows.reshape(-1, size), ids[:, None] * 3 + np.arange(3)[:, None, None], gates, h, ends, True)
+    x, du = recurrent.gates_backward(d, states, saved, gates, ends)
+    for k in range(many):
+        want, kept = recurrent.forward(rows[ids[:, k]], u[k], h[k], mask[:, k], True)
+        dx, own = recurrent.backward(d[:, k], want, kept, u[k], h[k], mask[:, k])
+        assert np.allclose(states[1:, k], want, atol=1e-5)
+        assert np.allclose(x[:, :, k].transpose(0, 2, 1, 3).reshape(dx.shape), dx, atol=1e-4) and np.allclose(du[:, k].transpose(1, 0, 2).reshape(own.shape), own, atol=1e-3)
+
+
+def test_language_model_joins_batches_up_to_a_size(monkeypatch):
+    monkeypatch.setattr(language_model, "SCORE_BYTES", 10)
+    batches = [pa.RecordBatch.from_pydict({"text": t}) for t in (["a" * 4, "b" * 3], ["c" * 2, "d" * 30, "e"], [""] * 3)]
+    out = [b.column("text").to_pylist() for b in language_model._joined(iter(batches))]
+    assert sum(out, []) == sum((b.column("text").to_pylist() for b in batches), []) and [len(x) for x in out] == [3, 1, 4]
+    assert list(language_model._joined(iter([]))) == []
+
+
 def test_language_model_edges(odd, empty):
     out = language_model.score_documents(odd).collect()
     assert len(out) == odd.count() and {r.n_tokens for r in out if r.doc_id in (1, 2)} == {1} and all(math.isfinite(r.score) for r in out)
