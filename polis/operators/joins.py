@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,34 +48,71 @@ def crosswalk(df: DataFrame, registry: DataFrame, code: str, registry_code: str,
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, least: float, common_most: int = 1000) -> DataFrame:
     """(left_id, right_id, score): pairs with a common token whose share of common tokens of the smaller set reaches `least`.
 
-    A set that shares `least` of its n tokens has one of its n - ceil(least n) + 1 rarest among them, so a pair meets on those
-    of its smaller set with any of the other's. A token of more than common_most rows on the right is dealt over as many groups
-    as hold that many each.
+    Pairs come from met_on_tokens, and full sets decide.
     """
-    n = F.col("__n")
-    counts = right.select(F.explode(F.array_distinct(tokens)).alias("__t")).groupBy("__t").agg(F.count("*").alias("__n"))
-
-    def ranked(df: DataFrame, key: str) -> DataFrame:
-        sets = df.select(F.col(key).alias("__id"), F.array_distinct(tokens).alias("__s")).distinct()
-        rows = sets.select("__id", F.xxhash64("__s").alias("__set"), F.size("__s").alias("__size"), F.explode("__s").alias("__t"))
-        rows = rows.join(counts, "__t", "left").withColumn("__n", F.coalesce(n, F.lit(0)))
-        # Nulls come last: they count in the score, but no pair meets on them.
-        rank = F.row_number().over(Window.partitionBy("__id", "__set").orderBy(F.col("__t").isNull(), n, "__t"))
-        need = F.greatest(F.lit(1), F.ceil(F.col("__size") * F.lit(float(least)) - 1e-9))
-        return rows.select("__id", "__size", "__t", F.ceil(n / common_most).cast("int").alias("__groups"), (rank <= F.col("__size") - need + 1).alias("__rare"))
-
-    groups = F.greatest(F.lit(1), F.col("__groups"))
-    a = ranked(left, left_id).withColumn("__g", F.explode(F.sequence(F.lit(0), groups - 1)))
-    b = ranked(right, right_id).withColumn("__g", F.pmod(F.xxhash64("__id"), groups).cast("int"))
-    a = a.select("__t", "__g", F.col("__id").alias("__x"), F.col("__size").alias("__xs"), F.col("__rare").alias("__xr"))
-    b = b.select("__t", "__g", F.col("__id").alias("__y"), F.col("__size").alias("__ys"), F.col("__rare").alias("__yr"))
-    met = a.join(b, ["__t", "__g"]).filter("(__xr AND __xs <= __ys) OR (__yr AND __ys <= __xs)")
-    pairs = met.select(F.col("__x").alias(left_id), F.col("__y").alias(right_id)).distinct()
+    pairs = met_on_tokens(left, right, left_id, right_id, tokens, least, common_most)
     pairs = pairs.join(left.select(left_id, F.col(tokens).alias("__a")), left_id).join(right.select(right_id, F.col(tokens).alias("__b")), right_id)
     score = F.size(F.array_intersect("__a", "__b")) / F.least(F.size(F.array_distinct("__a")), F.size(F.array_distinct("__b")))
     return pairs.select(left_id, right_id, score.alias("score")).filter(F.col("score") >= least)
 
 
+def met_on_tokens(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, least: float, common_most: int = 1000, small: int = 8) -> DataFrame:
+    """(left_id, right_id): distinct pairs among which are all that token_overlap keeps.
+
+    Of the need = ceil(least m) tokens that a smaller set of m must share, k are among the rarest size - need + k of either set. Sets
+    of at most `small` tokens, of which two or more must be shared, meet on two or three at once, for each size of a smaller set
+    that there is; `small` bounds these combinations. All others meet on one of the rarest tokens of the smaller set. What more than
+    common_most rows on the right have is dealt over as many groups as hold that many each.
+    """
+    n, size, ordered = F.col("__n"), F.col("__size"), F.col("__o")
+    need = lambda m: max(1, math.ceil(m * float(least) - 1e-9))
+    several = [m for m in range(1, small + 1) if need(m) > 1]
+    tight = size.isin(several) if several else F.lit(False)
+    counts = right.select(F.explode(F.array_distinct(tokens)).alias("__t")).groupBy("__t").agg(F.count("*").alias("__n"))
+
+    def sizes(df: DataFrame) -> list[int]:
+        found = df.select(F.size(F.array_distinct(tokens)).alias("__size")).filter(tight).distinct().collect()
+        return sorted(r["__size"] for r in found)
+
+    def sets(df: DataFrame, key: str) -> DataFrame:
+        """(__id, __o, __size): the distinct tokens of each set, the rarest first. Nulls come last: they count, but no pair meets on them alone."""
+        own = df.select(F.col(key).alias("__id"), F.array_distinct(tokens).alias("__s")).distinct()
+        rows = own.select("__id", F.xxhash64("__s").alias("__set"), F.explode("__s").alias("__t")).join(counts, "__t", "left")
+        token = F.struct(F.col("__t").isNull().alias("none"), F.coalesce(n, F.lit(0)).alias("n"), F.col("__t").alias("t"))
+        own = rows.groupBy("__id", "__set").agg(F.array_sort(F.collect_list(token)).alias("__o"))
+        return own.select("__id", F.transform("__o", lambda e: e["t"]).alias("__o"), F.size("__o").alias("__size"))
+
+    def single(kind: int, when: Column) -> Column:
+        rare = size - F.greatest(F.lit(1), F.ceil(size * F.lit(float(least)) - 1e-9))
+        return F.transform(F.filter(F.array_compact(ordered), lambda t: when), lambda t, i: F.struct(F.xxhash64(F.lit(kind), t).alias("on"), (i <= rare).alias("rare")))
+
+    def at_once(role: int, m: int, when: Column) -> Column:
+        # Ordered by their last place, the combinations of the first places of a set are the first of all.
+        k = min(need(m), 3)
+        every = F.expr(f"array({', '.join(f'array{c}' for c in sorted(combinations(range(small), k), key=lambda c: c[::-1]))})")
+        many = F.get(F.expr(f"array{tuple(math.comb(p, k) for p in range(small + 1))}"), F.greatest(F.lit(0), size - need(m) + k))
+        these = F.slice(every, F.lit(1), F.when(tight & when, many).otherwise(0))
+        return F.transform(these, lambda c: F.struct(F.xxhash64(F.lit(2 + role), F.lit(m), F.transform(c, lambda i: F.get(ordered, i))).alias("on"), F.lit(True).alias("rare")))
+
+    def meeting(df: DataFrame, kinds: list[Column]) -> DataFrame:
+        each = df.select("__id", "__size", F.explode(F.flatten(F.array(*kinds))).alias("__m"))
+        return each.select("__id", "__size", F.col("__m.on").alias("__on"), F.col("__m.rare").alias("__rare"))
+
+    # The left set is the smaller one or as large in role 0, the right one is smaller in role 1.
+    x_sizes, y_sizes = sizes(left), sizes(right)
+    a = [single(0, F.lit(True)), single(1, ~tight)] + [at_once(0, m, size == m) for m in x_sizes] + [at_once(1, m, size > m) for m in y_sizes]
+    b = [single(0, ~tight), single(1, tight)] + [at_once(0, m, size >= m) for m in x_sizes] + [at_once(1, m, size == m) for m in y_sizes]
+    a, b = meeting(sets(left, left_id), a), meeting(sets(right, right_id), b)
+    dealt = b.groupBy("__on").agg(F.count("*").alias("__n")).filter(n > common_most).select("__on", F.ceil(n / common_most).cast("int").alias("__groups"))
+    groups = F.coalesce("__groups", F.lit(1))
+    a = a.join(dealt, "__on", "left").withColumn("__g", F.explode(F.sequence(F.lit(0), groups - 1)))
+    b = b.join(dealt, "__on", "left").withColumn("__g", F.pmod(F.xxhash64("__id"), groups).cast("int"))
+    a = a.select("__on", "__g", F.col("__id").alias("__x"), F.col("__size").alias("__xs"), F.col("__rare").alias("__xr"))
+    b = b.select("__on", "__g", F.col("__id").alias("__y"), F.col("__size").alias("__ys"), F.col("__rare").alias("__yr"))
+    met = a.join(b, ["__on", "__g"]).filter("(__xr AND __xs <= __ys) OR (__yr AND __ys <= __xs)")
+    return met.select(F.col("__x").alias(left_id), F.col("__y").alias(right_id)).distinct()
+
+
 def complete_grid(df: DataFrame, rows: DataFrame, columns: DataFrame, on: list[str], most: int = 10_000) -> DataFrame:
     """df with a row for each combination of a row of rows and one of columns; absent ones have nulls. columns is a code list of at
     most `most` entries, which is checked; a longer one is refused, as the grid would have that many times the rows."""
